@@ -61,13 +61,13 @@ QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_store
 ORACLES = {
     "op1_line_dedup": """
         WITH cut AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents),
-        seen AS (SELECT source, unnest(list_distinct(list_transform(list_filter(ls, x -> trim(x) <> ''), x -> trim(x)))) AS line FROM cut),
+        seen AS (SELECT source, unnest(list_distinct(list_transform(list_filter(ls, lambda x: trim(x) <> ''), lambda x: trim(x)))) AS line FROM cut),
         held AS (SELECT source, line, count(*) AS holding FROM seen GROUP BY ALL),
         total AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL HAVING count(*) >= 10),
         hot AS (SELECT h.source, list(h.line) AS hot FROM held h JOIN total t ON h.source IS NOT DISTINCT FROM t.source
                 WHERE h.holding > CAST(0.1 AS DOUBLE) * t.pages GROUP BY h.source),
         kept AS (SELECT c.doc_id, c.text, c.ls, CASE WHEN h.hot IS NULL THEN c.ls
-                   ELSE list_filter(c.ls, x -> trim(x) = '' OR NOT list_contains(h.hot, trim(x))) END AS ks
+                   ELSE list_filter(c.ls, lambda x: trim(x) = '' OR NOT list_contains(h.hot, trim(x))) END AS ks
                  FROM cut c LEFT JOIN hot h ON c.source IS NOT DISTINCT FROM h.source)
         SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(ks) = len(ls) THEN text ELSE coalesce(array_to_string(ks, chr(10)), '') END AS text,
                CASE WHEN text IS NULL THEN 0 ELSE CAST(len(ls) AS BIGINT) END AS n_lines,
@@ -77,7 +77,7 @@ ORACLES = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d)
         SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes,
-               array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                  CAST((CAST('0x' || substr(p.d, (i // 4) * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
                CASE WHEN p.page_id = f.first OR f.first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN p.page_id = f.first OR f.first IS NULL THEN NULL ELSE f.first END AS refers_to
@@ -85,13 +85,13 @@ ORACLES = {
     "op7_decontaminate": r"""
         WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-        win AS (SELECT DISTINCT item, len, list_slice(w, at, at + len - 1) AS g FROM
-                 (SELECT item, w, least(len(w), 10) AS len, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS at FROM iw WHERE len(w) > 0)),
+        win AS (SELECT DISTINCT item, len, list_slice(w, b, b + len - 1) AS g FROM
+                 (SELECT item, w, least(len(w), 10) AS len, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS b FROM iw WHERE len(w) > 0)),
         lens AS (SELECT DISTINCT len FROM win),
-        grams AS (SELECT doc_id, len, at, list_slice(w, at, at + len - 1) AS g FROM
-                   (SELECT doc_id, w, len, unnest(range(1, len(w) - len + 2)) AS at FROM dw, lens WHERE len(w) >= len)),
-        hit AS (SELECT g.doc_id, g.at, g.len, w.item FROM grams g JOIN win w ON g.len = w.len AND g.g = w.g),
-        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + len)) AS p FROM hit) GROUP BY doc_id),
+        grams AS (SELECT doc_id, len, b, list_slice(w, b, b + len - 1) AS g FROM
+                   (SELECT doc_id, w, len, unnest(range(1, len(w) - len + 2)) AS b FROM dw, lens WHERE len(w) >= len)),
+        hit AS (SELECT g.doc_id, g.b, g.len, w.item FROM grams g JOIN win w ON g.len = w.len AND g.g = w.g),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + len)) AS p FROM hit) GROUP BY doc_id),
         its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
                coalesce(its.s, sha256('')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
