@@ -8,9 +8,8 @@ meeting fixes where the window would have to start: bounds on position and lengt
 leave out what cannot fit, and the words in that place decide.
 
 Words: A-Z are lower-cased, then runs of characters outside
-``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``. Candidates meet on words lower-cased by
-the JVM (which also folds letters beyond A-Z, so it misses nothing), and the final
-comparison folds A-Z alone.
+``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``. The word list of a document is only read in
+the stage that cuts it; no row that leaves the stage carries it.
 
 Defined results: null or wordless texts have no words and no hits; wordless items
 have no windows; repeated rows get equal results; items with equal texts all count.
@@ -24,27 +23,20 @@ from pyspark.sql import functions as F
 from tessera.llm.scratch import BROADCAST_BYTES, fits, stored
 
 WINDOW = 10
-_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def with_words(df: DataFrame, text: Column) -> DataFrame:
-    """Adds ``words``: the words of ``text`` before lower-casing."""
-    df = df.withColumn("_cut", F.split(F.coalesce(text, F.lit("")), _BREAKS, -1))
-    head = (F.element_at("_cut", 1) == "").cast("int")
-    tail = (F.element_at("_cut", -1) == "").cast("int")
-    none = (F.size("_cut") == 1) & (head == 1)
-    return df.withColumn("words", F.when(none, F.array().cast("array<string>")).otherwise(F.slice("_cut", head + 1, F.greatest(F.size("_cut") - head - tail, F.lit(0))))).drop("_cut")
-
-
-def _folded(words: Column) -> Column:
-    return F.transform(words, lambda w: F.translate(w, _UPPER, _LOWER))
+    """Adds ``words``: the words of ``text``."""
+    folded = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    return df.withColumn("words", F.array_remove(F.split(folded, _BREAKS, -1), ""))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """win (its words), items: every different window, with the ids that hold it."""
     rows = with_words(items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")), F.col("text"))
-    rows = rows.filter(F.size("words") > 0).select("item", _folded(F.col("words")).alias("words"))
+    rows = rows.filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("words") - length + 1)
     wins = rows.select("item", length.alias("len"), F.explode(starts).alias("at"), "words").select("item", F.expr("slice(words, at, len)").alias("win"))
@@ -54,9 +46,9 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
 def prefix_windows(wins: DataFrame, docs: DataFrame, text_col: str, broadcast_bytes: int) -> DataFrame:
     """token, off, len, win_id, win: each different window under its rarest word."""
     wins = wins.select("win").distinct().withColumn("win_id", F.sha2(F.concat_ws(" ", "win"), 256))
-    tokens = wins.select("win_id", F.posexplode("win").alias("off", "word")).withColumn("token", F.lower("word"))
+    tokens = wins.select("win_id", F.posexplode("win").alias("off", "token"))
     vocabulary = stored(tokens.select("token").distinct(), "vocabulary")
-    spread = with_words(docs.select(F.col(text_col).alias("text")), F.col("text")).select(F.explode("words").alias("word")).select(F.lower("word").alias("token"))
+    spread = with_words(docs.select(F.col(text_col).alias("text")), F.col("text")).select(F.explode_outer("words").alias("token"))
     if fits(vocabulary, F.length("token") * 4 + 32, broadcast_bytes):
         spread = spread.join(F.broadcast(vocabulary), "token", "left_semi")
     counts = spread.groupBy("token").agg(F.count("*").alias("n"))
@@ -69,17 +61,18 @@ def prefix_windows(wins: DataFrame, docs: DataFrame, text_col: str, broadcast_by
 def occurrences(docs: DataFrame, prefixes: DataFrame, id_col: str, text_col: str, window: int, broadcast_bytes: int) -> DataFrame:
     """id, key, at, len, win_id: where windows occur in documents (at counts words from 0)."""
     rows = with_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("text")).select("id", F.xxhash64("text").alias("key"), "words")
-    rows = rows.select("id", "key", "words", F.posexplode("words").alias("pos", "word"))
+    rows = rows.select("id", "key", "words", F.posexplode_outer("words").alias("pos", "token"))
     if fits(prefixes, F.lit(96) + 24 * F.col("len") + 4 * F.length(F.concat_ws(" ", "win")), broadcast_bytes):
-        rows = rows.select("id", "key", "words", "pos", F.lower("word").alias("token"), F.lit(0).alias("base"), F.size("words").alias("n"))
+        rows = rows.select("id", "key", "words", "pos", "token", F.lit(0).alias("base"), F.size("words").alias("n"))
         prefixes = F.broadcast(prefixes)
     else:  # both sides are shuffled by the word: send what lies around it, not the document
         base = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-        rows = rows.select("id", "key", F.slice("words", base + 1, 2 * window - 1).alias("words"), "pos", F.lower("word").alias("token"), base.alias("base"), F.size("words").alias("n"))
-    met = rows.join(prefixes, "token").withColumn("at", F.col("pos") - F.col("off"))
-    met = met.filter((F.col("at") >= 0) & (F.col("at") + F.col("len") <= F.col("n")))
-    here = F.slice("words", F.greatest(F.col("at") - F.col("base") + 1, F.lit(1)), F.col("len"))
-    return met.filter(_folded(here) == F.col("win")).select("id", "key", "at", "len", "win_id")
+        rows = rows.select("id", "key", F.slice("words", base + 1, 2 * window - 1).alias("words"), "pos", "token", base.alias("base"), F.size("words").alias("n"))
+    at = F.col("pos") - F.col("off")
+    met = rows.join(prefixes, "token").filter((at >= 0) & (at + F.col("len") <= F.col("n")))
+    # no lambda here: the comparison stays in the generated code of the join
+    met = met.filter(F.slice("words", F.greatest(at - F.col("base") + 1, F.lit(1)), F.col("len")) == F.col("win"))
+    return met.select("id", "key", at.alias("at"), "len", "win_id")
 
 
 def decontamination_report(
