@@ -330,7 +330,7 @@ class TextEncoder:
         self.bpe = RankBPE(load_ranks(rank_path))
         self.many = ManyBPE(self.bpe)
         self.find = regex.compile(pattern).findall
-        self.chunks = chunks.Recent(250_000)
+        self.chunks = chunks.Recent(60_000)
 
     def _encode_pieces(self, texts: list[str]) -> list[list[int]]:
         cut = list(map(self.find, texts))
@@ -338,6 +338,10 @@ class TextEncoder:
         of = dict(zip(need, self.many.encode([p.encode() for p in need]), strict=True))
         return [of[ps[0]] if len(ps) == 1 else [t for p in ps for t in of[p]] for ps in cut]
 
+    def batch(self, texts: pa.Array) -> Iterator[list[int]]:
+        for a, b in chunks.runs(texts):
+            yield from self.encode(texts[a:b].to_pylist())
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """For every text its ids."""
         parts = [t.split(" ") for t in texts]
@@ -367,7 +371,7 @@ def _digests(rank_path: str, pattern: str):
         decimal = [str(i) for i in range(len(encoder.bpe.bytes_of))].__getitem__
         for batch in batches:
             n, of_ids, of_bytes = [], [], []
-            for ids in encoder.encode(batch.column("text").to_pylist()):
+            for ids in encoder.batch(batch.column("text")):
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(encoder.bpe.decode(ids)).hexdigest())
@@ -391,7 +395,7 @@ def encode_ids(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(rank_path, pattern)
         for batch in batches:
-            ids = list(encoder.encode(batch.column("text").to_pylist()))
+            ids = list(encoder.batch(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -33,6 +33,19 @@ class Recent:
         self.new[key] = value
 
 
+def runs(texts: pa.Array, chars: int = 1_000_000) -> list[tuple[int, int]]:
+    """Stretches of a batch that hold about so many bytes of text, so that a batch of
+    very long texts needs no more memory than one of short ones."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    out, start, held = [], 0, 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > chars:
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    return [*out, (start, len(size))] if len(size) else []
+
+
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """bounds (of each text's chunks), codes (of all chunks), chunks (the different ones)."""
     if texts.null_count:

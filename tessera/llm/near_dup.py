@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import chunks
 from tessera.llm.scratch import BROADCAST_BYTES, broadcast_if_small, fits, python_batches, stored
 
 SHINGLE = 5
@@ -114,9 +115,15 @@ def similarity(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndarray) -
     return max(plain, float(total))
 
 
+def _short_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in chunks.runs(batch.column("text")):
+            yield batch.slice(a, b - a)
+
+
 def _signatures(bands: int, rows: int, size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _short_batches(batches):
             bounds, h, counts, keys = shingles(batch.column("text").to_pylist(), size)
             sig = prob_minhash(bounds, h, 1 + np.log2(counts), bands * rows)
             band = np.zeros((len(sig), bands), dtype=np.uint64)
@@ -135,7 +142,7 @@ def _signatures(bands: int, rows: int, size: int):
 
 def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _short_batches(batches):
             bounds, h, counts, _ = shingles(batch.column("text").to_pylist(), size)
             parts = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], [counts[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], ["id", "h", "c"])

@@ -183,9 +183,9 @@ def _tokenize(path: str, end_id: int):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        known = chunks.Recent(150_000)
+        known = chunks.Recent(60_000)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in chunks.runs(b.column("text"))):
             bounds, codes, different = chunks.cut(batch.column("text"))
             found = [known.get(c) for c in different]
             new = [i for i, f in enumerate(found) if f is None]
