@@ -30,9 +30,9 @@ def written(df: DataFrame) -> DataFrame:
 
 def star_edges(rows: DataFrame, key: str, item: str, cap: int | None = None) -> DataFrame:
     """Edges from the smallest item of each key to its others; keys of ``cap`` or more items link nothing."""
-    centre = rows.groupBy(key).agg(F.min(item).alias("a"), F.count_distinct(item).alias("k")).filter("k > 1")
+    centre = rows.groupBy(key).agg(F.min(item).alias("a"), F.count_distinct(item).alias("_members")).filter("_members > 1")
     if cap is not None:
-        centre = centre.filter(F.col("k") < cap)
+        centre = centre.filter(F.col("_members") < cap)
     return rows.join(centre, key).select("a", F.col(item).alias("b")).filter("a <> b").distinct()
 
 
