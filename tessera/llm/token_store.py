@@ -18,9 +18,12 @@ repeated ids follow each other, ordered by their ids' bytes; no documents, no fi
 
 from __future__ import annotations
 
+import os
 import posixpath
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks
-from tessera.llm.scratch import new_path, python_batches, stored
+from tessera.llm.scratch import new_path, python_batches, release, stored
 
 MAX_BITS = 20
 BLOCK = 1024
@@ -174,26 +177,67 @@ def put_file(folder: str, name: str, data: bytes) -> None:
     system.move(part, posixpath.join(path, name))
 
 
-def _tokenize(path: str, end_id: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class ChunkEncoder:
+    """Ids of chunks between spaces. A chunk of letters alone, perhaps with one comma or
+    full stop, goes to the tokenizer's model as the word that its normalizer and splitter
+    would make of it; any other chunk goes through the whole tokenizer."""
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        known = chunks.Recent(60_000)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.tails = {"": b"", **{t: self._whole([t])[0] for t in ",."}}
+        probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ﬁn", "日本"]
+        self.direct = [self._word(c) for c in probe] == self._whole(probe)  # else everything goes through the tokenizer
+
+    def _whole(self, chunk_list: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunk_list, add_special_tokens=False)]
+
+    def _word(self, chunk: str) -> bytes:
+        word, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in ",." else (chunk, "")
+        if word.isascii():
+            word = word.lower()
+        else:
+            word = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + self.tails[tail]
+
+    def __call__(self, chunk_list: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(chunk_list)
+        rest = []
+        for i, c in enumerate(chunk_list):
+            word = c[:-1] if c[-1:] in (",", ".") else c
+            if self.direct and word.isalpha() and len(word) <= 60 and "\u0130" not in word and "\u03a3" not in word:
+                out[i] = self._word(c)
+            else:
+                rest.append(i)
+        for lo in range(0, len(rest), 20_000):
+            for i, ids in zip(rest[lo : lo + 20_000], self._whole([chunk_list[i] for i in rest[lo : lo + 20_000]]), strict=True):
+                out[i] = ids
+        return out
+
+
+def _tokenize(path: str, end_id: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(path)
+        known = chunks.Recent(400_000)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in chunks.runs(b.column("text"))):
             bounds, codes, different = chunks.cut(batch.column("text"))
             found = [known.get(c) for c in different]
             new = [i for i, f in enumerate(found) if f is None]
-            for lo in range(0, len(new), 20_000):
-                some = new[lo : lo + 20_000]
-                for i, e in zip(some, tokenizer.encode_batch_fast([different[i] for i in some], add_special_tokens=False), strict=True):
-                    found[i] = np.array(e.ids, dtype="<u4").tobytes()
-                    known.put(different[i], found[i])
+            for i, ids in zip(new, encoder([different[i] for i in new]), strict=True):
+                found[i] = ids
+                known.put(different[i], ids)
             sizes = np.array([len(f) for f in found], dtype=np.int64) // 4
             flat = np.frombuffer(b"".join(found), dtype="<u4")
             each = sizes[codes]
@@ -261,7 +305,7 @@ def write_tokens(
     python_batches(spark)
     folder = folder or new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tokens = stored(rows.mapInArrow(_tokenize(tokenizer_path, end_id), "id long, n long, ids binary"), "ids")
+    tokens = ids = stored(rows.mapInArrow(_tokenize(tokenizer_path, end_id), "id long, n long, ids binary"), "ids")
     counted = tokens.select("ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary
     if not counted:
         return folder
@@ -278,6 +322,7 @@ def write_tokens(
         bases[b], start = start, start + n
     dealt = tokens.repartition(max(len(bases), 1), "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "ids")
     dealt.mapInArrow(_write(folder, bases, code_lengths(counts), tokens_per_file, block), "files long").agg(F.sum("files")).collect()
+    release(ids)
     return folder
 
 
