@@ -10,9 +10,9 @@ Jaccard similarity of the weighted shingles.
 
 Equal word sequences are one text from here on. Texts that agree in a band of
 ``ROWS`` components are candidates: all members of a bucket are compared with the
-smallest one, and only members that are then still in different groups are
-compared with each other, so no bucket is expanded into all pairs, and no link
-between groups is lost. Candidates are verified exactly: the larger of the
+smallest one. Texts of buckets whose members are then still in different groups
+go through an exact prefix-filtered join (``across``), so no bucket is expanded
+into all pairs, and no link between groups is lost. Candidates are verified exactly: the larger of the
 Jaccard similarity of the shingle sets and the probability Jaccard similarity of
 the weighted shingles must reach ``threshold``. At similarity 0.8 a pair shares
 no band with probability 3e-5. Groups are the connected components of the links.
@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks
@@ -169,6 +169,57 @@ def _verify(threshold: float):
     return run
 
 
+def _weights(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text as rows, with their weights."""
+    for batch in batches:
+        for id_, h, c in zip(*(batch.column(x).to_pylist() for x in ("id", "h", "c")), strict=True):
+            h, w = np.frombuffer(h, dtype=np.int64), 1 + np.log2(np.frombuffer(c, dtype=np.int32))
+            for at in range(0, len(h), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[part]), id_), pa.int64()), pa.array(h[part]), pa.array(w[part])], ["id", "shingle", "weight"])
+
+
+def across(left: DataFrame, docs: DataFrame, size: int, threshold: float, broadcast_bytes: int) -> DataFrame:
+    """pivot, other: all pairs of ``left`` (id, class_id) from different classes that can reach
+    the threshold, by a prefix-filtered join.
+
+    Shingles are put in one order, the rarest first. The shingles that a text does not
+    share with a text as alike as ``threshold`` are at most 1 - threshold of its number
+    (set Jaccard) or of its weight (probability Jaccard is at most the shared weight of
+    either text over its whole weight). So the first shingle that the two share is in the
+    prefix of both that reaches past that part. A passage that many texts hold is
+    frequent, so it lies behind their prefixes and brings no pairs. Where two texts meet
+    at a shingle, what lies ahead of it bounds their similarity further: with unshared
+    parts u, v of their weights, probability Jaccard is at most the harmonic mean of
+    (1-u)/(1+u) and (1-v)/(1+v). Classes meet before their members do, so the members
+    of a class are never paired with each other.
+    """
+    ids = broadcast_if_small(left.select("id"), 16, broadcast_bytes)
+    sets = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, h binary, c binary")
+    tokens = stored(sets.mapInArrow(_weights, "id long, shingle long, weight double"), "shingles")
+    ranked = tokens.join(tokens.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle")
+    own = Window.partitionBy("id")
+    order, slack = own.orderBy("holders", "shingle"), 1 - threshold + 1e-9
+    ahead = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = ranked.select("id", "shingle", "holders", ahead.alias("ahead"), (F.row_number().over(order) - 1).alias("rank"), F.sum("weight").over(own).alias("total"), F.count("*").over(own).alias("n"))
+    ranked = ranked.withColumn("mass", F.col("ahead") / F.col("total")).withColumn("part", F.col("rank") / F.col("n"))
+    prefix = ranked.filter((F.col("mass") <= slack) | (F.col("part") <= slack)).filter("holders > 1")
+    prefix = stored(prefix.select("id", "shingle", "mass", "part", "rank", "n").join(left, "id"), "prefixes")
+    # of two texts, what lies ahead of the first shared shingle is not shared: that bounds both similarities
+    c, eps = threshold / (1 + threshold), 1e-9
+    alike = lambda m: (1 - F.col(m)) / (1 + F.col(m))
+    weighted = lambda a, b: 2 * alike(a) * alike(b) >= (threshold - eps) * (alike(a) + alike(b))
+    over = lambda f: F.greatest((1 - F.col(f)) / c - 1 + eps, F.lit(0.0))
+    kinds = prefix.groupBy("shingle", "class_id").agg(F.min("mass").alias("m"), F.min("part").alias("f"))
+    side = lambda k: kinds.select("shingle", F.col("class_id").alias(f"c{k}"), F.col("m").alias(f"m{k}"), F.col("f").alias(f"f{k}"))
+    met = side("a").join(side("b"), "shingle").filter((F.col("ca") < F.col("cb")) & (weighted("ma", "mb") | (over("fa") * over("fb") >= 1)))
+    met = met.select("shingle", "ca", "cb")
+    member = lambda k, x: prefix.select("shingle", F.col("class_id").alias(f"c{k}"), F.col("id").alias(x), F.col("mass").alias(f"m{x}"), F.col("rank").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    sets_meet = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= c * (F.col("nx") + F.col("ny")) - eps
+    pairs = met.join(member("a", "x"), ["shingle", "ca"]).join(member("b", "y"), ["shingle", "cb"]).filter(sets_meet | weighted("mx", "my"))
+    return pairs.select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("other")).distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, broadcast_bytes: int) -> DataFrame:
     """The (pivot, other) pairs that reach the threshold, as a, b."""
     spark = pairs.sparkSession
@@ -215,13 +266,10 @@ def near_duplicates(
     links = stored(verified(star, docs, size, threshold, broadcast_bytes), "links")
     groups = components(links)
     # members of a bucket that are still in different groups
-    placed = met.select("bucket", "pivot", F.col("rep").alias("id")).join(groups, "id", "left").select("bucket", "pivot", "id", F.coalesce("class_id", "id").alias("class_id"))
+    placed = met.select("bucket", F.col("rep").alias("id")).join(groups, "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class_id"))
     mixed = placed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo <> hi").select("bucket")
-    left = stored(placed.join(broadcast_if_small(stored(mixed, "mixed"), 16, broadcast_bytes), "bucket", "left_semi"), "left")
-    x = left.select("bucket", "pivot", F.col("id").alias("x"), F.col("class_id").alias("cx"))
-    y = left.select("bucket", F.col("id").alias("y"), F.col("class_id").alias("cy"))
-    cross = x.join(y, "bucket").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("x") != F.col("pivot")) & (F.col("y") != F.col("pivot")))
-    cross = stored(cross.select(F.col("x").alias("pivot"), F.col("y").alias("other")).distinct(), "cross")
+    left = placed.join(broadcast_if_small(stored(mixed, "mixed"), 16, broadcast_bytes), "bucket", "left_semi").select("id", "class_id").distinct()
+    cross = stored(across(stored(left, "left"), docs, size, threshold, broadcast_bytes), "cross")
     if not cross.isEmpty():
         cross = cross.join(star, ["pivot", "other"], "left_anti")
         links = stored(links.unionByName(verified(cross, docs, size, threshold, broadcast_bytes)), "links")

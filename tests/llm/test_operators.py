@@ -367,6 +367,31 @@ def test_near_duplicates(spark, limit):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_across_finds_every_link_between_classes(spark, limit):
+    """The prefix-filtered join gives a superset of the links between classes, and few other pairs."""
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    passage = r.choices(words, k=120)
+    rows = []
+    for k in range(60):  # texts that share a passage, and some near copies of them, of many sizes
+        own = passage[: r.choice([30, 60, 120])] + r.choices(words, k=r.randint(5, 90))
+        rows.append((10 * k, " ".join(own), "s"))
+        for c in range(r.randint(0, 2)):
+            copy = list(own) + own[: r.choice([0, 0, 40])]
+            copy[r.randrange(len(copy))] = "changed"
+            rows.append((10 * k + c + 1, " ".join(copy), "s"))
+    bounds, h, c, _ = near_dup.shingles([t for _, t, _ in rows])
+    of = {i: (h[bounds[k] : bounds[k + 1]], c[bounds[k] : bounds[k + 1]]) for k, (i, _, _) in enumerate(rows)}
+    want = {(a, b) for a, b in itertools.combinations(sorted(of), 2) if near_dup.similarity(*of[a], *of[b]) >= 0.8}
+    left = spark.createDataFrame([(i, i) for i in of], "id long, class_id long")
+    texts = docs(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    got = {tuple(x) for x in near_dup.across(left, texts, 5, 0.8, limit).collect()}
+    assert len(want) > 20 and want <= got and len(got) < 0.2 * len(rows) * (len(rows) - 1) / 2
+    one = left.withColumn("class_id", F.lit(0).cast("long"))
+    assert near_dup.across(one, texts, 5, 0.8, limit).isEmpty()
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(8)
     a, b = rng.choice(600, 400, replace=False).astype(np.uint64), rng.choice(600, 400, replace=False).astype(np.uint64)
