@@ -117,3 +117,45 @@ def stable_ids(tx: DataFrame) -> DataFrame:
     row per city, after the aggregation."""
     first = tx.groupBy("city").agg(F.min("rt_id").alias("first"))
     return first.withColumn("gid", F.format_string("G%05d", F.row_number().over(Window.orderBy("first")))).select("city", "gid")
+
+
+def _modal(tx: DataFrame, key: str, value: str) -> DataFrame:
+    """The most common value of each key and how often it occurs; ties go to the one seen first."""
+    n = tx.groupBy(key, value).agg(F.count("*").alias("k"), F.min("rt_id").alias("seen"))
+    return n.groupBy(key).agg(F.max_by(F.struct(value, "k"), F.struct("k", -F.col("seen"))).alias("m")).select(key, f"m.{value}", "m.k")
+
+
+def contact_rollup(tx: DataFrame) -> DataFrame:
+    """Each buyer's usual city and the seller it deals with most."""
+    cities = _modal(tx, "buyer", "city").select("buyer", "city")
+    return _modal(tx, "buyer", "seller").join(cities, "buyer").select("buyer", "city", F.col("seller").alias("modal_seller"), F.col("k").alias("deals"))
+
+
+def shared_signals(tx: DataFrame, cap: int = 50, least: int = 4) -> DataFrame:
+    """a, b, score: buyers that share properties (3 each) or a seller's brand (1 each). A signal held by
+    ``cap`` or more buyers says nothing about any two of them and links none, which also bounds the pairs."""
+
+    def pairs(signal, weight: int) -> DataFrame:
+        held = tx.select("buyer", signal.alias("signal")).distinct()
+        telling = held.groupBy("signal").agg(F.count("*").alias("holders")).filter(F.col("holders").between(2, cap - 1)).select("signal")
+        held = held.join(telling, "signal")
+        met = held.withColumnRenamed("buyer", "a").join(held.withColumnRenamed("buyer", "b"), "signal").filter("a < b")
+        return met.select("a", "b", F.lit(weight).cast("long").alias("w"))
+
+    both = pairs(F.col("prop_key").cast("string"), 3).unionByName(pairs(F.concat_ws("|", "seller", "brand"), 1))
+    return both.groupBy("a", "b").agg(F.sum("w").alias("score")).filter(F.col("score") >= least)
+
+
+def address_collection(tx: DataFrame) -> DataFrame:
+    """Every place named anywhere, with its best priority and all kinds of source, in one pass over the rows."""
+    said = [("address", 1, "property"), ("city", 2, "buyer"), ("municipality", 3, "region"), ("city", 3, "region")]
+    rows = tx.select(F.inline(F.array(*[F.struct(F.col(c).alias("place"), F.lit(p).alias("priority"), F.lit(s).alias("source")) for c, p, s in said])))
+    out = rows.groupBy("place").agg(F.min("priority").alias("priority"), F.collect_set("source").alias("sources"), F.count("*").alias("n"))
+    return out.withColumn("sources", F.array_join(F.array_sort("sources"), ","))
+
+
+def ranked_search(rows: DataFrame, key: str, text: str, term: str, n: int = 50) -> DataFrame:
+    """The best ``n`` rows holding ``term``: equal, then beginning with it, then holding it."""
+    low = F.lower(text)
+    score = F.when(low == term, 100).when(low.startswith(term), 50).when(low.contains(term), 10)
+    return rows.select(key, text, score.alias("score")).filter("score is not null").orderBy(F.desc("score"), key).limit(n)

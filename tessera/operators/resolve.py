@@ -84,6 +84,19 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
 
 
+def divergence(rows: DataFrame, key: str, providers: list[tuple[str, int, int]], metres: float) -> DataFrame:
+    """key, pair, metres: the two providers that disagree most on a place, where they are at least so far apart.
+    Providers are (name, index of latitude, index of longitude) in an offset vector; pairs are built inside
+    the row, so nothing is shuffled. Ties go to the first pair."""
+    at = lambda i, origin: F.lit(origin) + F.get("embedding", F.lit(i)).cast("double") * 0.05
+    pairs = [
+        F.struct(F.round(haversine_m(at(p[1], 43.6), at(p[2], -79.5), at(q[1], 43.6), at(q[2], -79.5)), 2).alias("metres"), F.lit(-k).alias("place"), F.lit(f"{p[0]}-{q[0]}").alias("pair"))
+        for k, (p, q) in enumerate((p, q) for i, p in enumerate(providers) for q in providers[i + 1 :])
+    ]
+    worst = rows.select(key, F.array_max(F.array(*pairs)).alias("worst"))
+    return worst.filter(F.col("worst.metres") >= metres).select(key, "worst.pair", "worst.metres")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key, status, field: one row for each changed field, and for each row that came or went."""
     fields = [c for c in old.columns if c != key]

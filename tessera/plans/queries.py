@@ -24,19 +24,27 @@ def _points(s, d) -> DataFrame:
 _PTS = "pts AS (SELECT vec_id AS id, 43.60::DOUBLE + embedding[1]::DOUBLE * 0.05::DOUBLE AS lat, -79.50::DOUBLE + embedding[2]::DOUBLE * 0.05::DOUBLE AS lng FROM embeddings)"
 
 
-def _quarter(s, d) -> DataFrame:
-    return transactions(s, d).filter(F.col("iso").between("1996-01-01", "1996-03-31"))
+def _cc(s, d) -> DataFrame:
+    rows = transactions(s, d).select("rt_id", "seller", "prop_key")
+    by_pair = rows.withColumn("deal", F.concat_ws("|", "seller", "prop_key"))
+    return R.components(R.star_edges(by_pair, "deal", "rt_id").union(R.star_edges(rows, "prop_key", "rt_id", 5)).distinct())
 
 
-def _cc(s, d) -> DataFrame:
-    rows = _quarter(s, d).select(F.col("rt_id"), F.col("buyer"), F.col("prop_key"))
-    return R.components(R.star_edges(rows, "buyer", "rt_id").union(R.star_edges(rows, "prop_key", "rt_id", 5)).distinct())
+def _customer_state(s, d, as_of: str) -> DataFrame:
+    """Each customer's newest order, and how many orders there were, as seen on a day."""
+    seen = table(s, d, "orders").filter(F.col("o_orderdate") < F.lit(as_of).cast("timestamp_ntz"))
+    last = F.max_by(F.struct("o_orderstatus", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey"))
+    return seen.groupBy("o_custkey").agg(last.alias("l"), F.count("*").alias("n_orders")).select("o_custkey", "l.o_orderstatus", "l.o_orderpriority", "n_orders")
+
 
+def _state_sql(as_of: str) -> str:
+    return f"SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority, count(*) AS n_orders FROM orders WHERE o_orderdate < TIMESTAMP '{as_of}' GROUP BY 1"
 
-def _old_new(s, d):
-    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
-    new = o.filter(F.col("o_orderkey") % 97 != 0).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return o.filter(F.col("o_orderkey") % 89 != 0), new
+
+def _numbered(s, d, name: str, key: str) -> DataFrame:
+    """Names with the block (nation, last two digits) in which they are compared."""
+    col = lambda c: F.col(f"{name[0]}_{c}")
+    return table(s, d, name).select(col(key).alias("id"), col("name").alias("text"), F.concat_ws("|", col("nationkey"), F.right(col("name"), F.lit(2))).alias("block"))
 
 
 _IN = " + ".join(
@@ -126,17 +134,19 @@ ALL = {
         "SELECT flag, count(*) AS n FROM (SELECT unnest([CASE WHEN length(text) < 100 THEN 'short' END, CASE WHEN contains(text, '@') THEN 'email' END, CASE WHEN length(text) > 10000 THEN 'long' END]) AS flag FROM documents) WHERE flag IS NOT NULL GROUP BY 1",
     ),
     "snapshot_diff": (
-        lambda s, d: R.snapshot_diff(*_old_new(s, d), "o_orderkey").groupBy("status", "field").agg(F.count("*").alias("n")),
-        """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 89 <> 0), n AS (SELECT * FROM orders WHERE o_orderkey % 97 <> 0)
-        SELECT CASE WHEN o.o_orderkey IS NULL THEN 'new' WHEN n.o_orderkey IS NULL THEN 'removed' WHEN n.o_orderkey % 10 = 0 THEN 'changed' ELSE 'unchanged' END AS status,
-               CASE WHEN o.o_orderkey IS NOT NULL AND n.o_orderkey IS NOT NULL AND n.o_orderkey % 10 = 0 THEN 'o_orderstatus' END AS field, count(*) AS n
-        FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey GROUP BY 1, 2""",
+        lambda s, d: R.snapshot_diff(_customer_state(s, d, "1995-02-01"), _customer_state(s, d, "1995-05-01"), "o_custkey").groupBy("status", "field").agg(F.count("*").alias("n")),
+        f"""WITH o AS ({_state_sql("1995-02-01")}), n AS ({_state_sql("1995-05-01")}),
+        b AS (SELECT o.o_custkey AS was, n.o_custkey AS now, list_filter([CASE WHEN o.o_orderstatus <> n.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN o.o_orderpriority <> n.o_orderpriority THEN 'o_orderpriority' END,
+              CASE WHEN o.n_orders <> n.n_orders THEN 'n_orders' END], lambda x : x IS NOT NULL) AS fields FROM o FULL JOIN n ON o.o_custkey = n.o_custkey),
+        r AS (SELECT CASE WHEN was IS NULL THEN 'new' WHEN now IS NULL THEN 'removed' WHEN len(fields) > 0 THEN 'changed' ELSE 'unchanged' END AS status, fields FROM b)
+        SELECT status, field, count(*) AS n FROM (SELECT status, unnest(CASE WHEN status = 'changed' THEN fields ELSE [NULL] END) AS field FROM r) GROUP BY 1, 2""",
     ),
     "cc_capped": (
         _cc,
-        f"""WITH RECURSIVE {TX_SQL}, q AS (SELECT rt_id, buyer, prop_key FROM tx WHERE iso BETWEEN '1996-01-01' AND '1996-03-31'),
-        e0 AS (SELECT a.rt_id AS a, b.rt_id AS b FROM q a JOIN q b ON a.buyer = b.buyer AND a.rt_id <> b.rt_id
-               UNION SELECT a.rt_id, b.rt_id FROM q a JOIN q b ON a.prop_key = b.prop_key AND a.rt_id <> b.rt_id WHERE a.prop_key IN (SELECT prop_key FROM q GROUP BY 1 HAVING count(DISTINCT rt_id) < 5)),
+        f"""WITH RECURSIVE {TX_SQL},
+        s1 AS (SELECT min(rt_id) OVER (PARTITION BY seller, prop_key) AS a, rt_id AS b FROM tx),
+        s2 AS (SELECT min(rt_id) OVER (PARTITION BY prop_key) AS a, rt_id AS b FROM tx QUALIFY count(*) OVER (PARTITION BY prop_key) < 5),
+        e AS (SELECT a, b FROM s1 WHERE a <> b UNION SELECT a, b FROM s2 WHERE a <> b), e0 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r AS (SELECT DISTINCT a AS id, a AS c FROM e0 UNION SELECT e0.b, r.c FROM r JOIN e0 ON r.id = e0.a)
         SELECT id, min(c) AS component FROM r GROUP BY 1""",
     ),
@@ -149,12 +159,47 @@ ALL = {
         f"WITH {_PTS} SELECT id FROM pts WHERE ({_IN}) % 2 = 1",
     ),
     "median_coords": (
-        lambda s, d: _points(s, d).groupBy("label").agg(F.round(R.upper_median(F.collect_list("lat")), 9).alias("lat"), F.round(R.upper_median(F.collect_list("lng")), 9).alias("lng")),
-        "WITH pts AS (SELECT label, 43.60::DOUBLE + embedding[1]::DOUBLE * 0.05::DOUBLE AS lat, -79.50::DOUBLE + embedding[2]::DOUBLE * 0.05::DOUBLE AS lng FROM embeddings) SELECT label, round(list_sort(list(lat))[len(list(lat)) // 2 + 1], 9) AS lat, round(list_sort(list(lng))[len(list(lng)) // 2 + 1], 9) AS lng FROM pts GROUP BY 1",
-    ),
-    "fuzzy_best_of": (
-        lambda s, d: R.fuzzy_best(*(table(s, d, "part").filter(F.col("p_partkey") % 2 == k).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.concat("p_brand", F.lit("|"), "p_size").alias("block")) for k in (0, 1)), "block"),
-        None,
+        lambda s, d: table(s, d, "embeddings").select("vec_id", *[F.round(R.upper_median(F.transform(F.array(*[F.get("embedding", F.lit(i)) for i in of]), lambda x: x.cast("double"))), 9).alias(c) for c, of in (("lat", (0, 2, 4, 6)), ("lng", (1, 3, 5)))]),
+        "SELECT vec_id, round(list_sort([embedding[1]::DOUBLE, embedding[3]::DOUBLE, embedding[5]::DOUBLE, embedding[7]::DOUBLE])[3], 9) AS lat, round(list_sort([embedding[2]::DOUBLE, embedding[4]::DOUBLE, embedding[6]::DOUBLE])[2], 9) AS lng FROM embeddings",
+    ),
+    "fuzzy_best_of": (lambda s, d: R.fuzzy_best(_numbered(s, d, "customer", "custkey"), _numbered(s, d, "supplier", "suppkey"), "block"), None),
+    "provider_divergence": (
+        lambda s, d: R.divergence(table(s, d, "embeddings"), "vec_id", [("a", 0, 1), ("b", 2, 3), ("c", 4, 5)], 5_000.0),
+        "WITH v AS (SELECT vec_id, 43.6::DOUBLE + embedding[1]::DOUBLE * 0.05::DOUBLE AS la, -79.5::DOUBLE + embedding[2]::DOUBLE * 0.05::DOUBLE AS ga, 43.6::DOUBLE + embedding[3]::DOUBLE * 0.05::DOUBLE AS lb, -79.5::DOUBLE + embedding[4]::DOUBLE * 0.05::DOUBLE AS gb, 43.6::DOUBLE + embedding[5]::DOUBLE * 0.05::DOUBLE AS lc, -79.5::DOUBLE + embedding[6]::DOUBLE * 0.05::DOUBLE AS gc FROM embeddings), "
+        + "d AS (" + " UNION ALL ".join(f"SELECT vec_id, '{p}-{q}' AS pair, 2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(l{q} - l{p}) / 2), 2) + cos(radians(l{p})) * cos(radians(l{q})) * pow(sin(radians(g{q} - g{p}) / 2), 2))) AS m FROM v" for p, q in ("ab", "ac", "bc")) + ") "
+        "SELECT vec_id, arg_max(pair, m) AS pair, round(max(m), 2) AS metres FROM d GROUP BY 1 HAVING max(m) >= 5000",
+    ),
+    "contact_rollup": (
+        lambda s, d: M.contact_rollup(transactions(s, d)),
+        f"WITH {TX_SQL}, c AS (SELECT buyer, city, count(*) AS k, min(rt_id) AS first FROM tx GROUP BY 1, 2), m AS (SELECT buyer, city FROM c QUALIFY row_number() OVER (PARTITION BY buyer ORDER BY k DESC, first) = 1), b AS (SELECT buyer, seller, count(*) AS k, min(rt_id) AS first FROM tx GROUP BY 1, 2), "
+        "s AS (SELECT buyer, seller AS modal_seller, k AS deals FROM b QUALIFY row_number() OVER (PARTITION BY buyer ORDER BY k DESC, first) = 1) SELECT s.buyer, m.city, modal_seller, deals FROM s JOIN m ON s.buyer = m.buyer",
+    ),
+    "shared_signal_score": (
+        lambda s, d: M.shared_signals(transactions(s, d)),
+        f"""WITH {TX_SQL}, p AS (SELECT DISTINCT buyer, prop_key FROM tx), keep AS (SELECT prop_key FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 49), q AS (SELECT * FROM p SEMI JOIN keep USING (prop_key)),
+        u AS (SELECT DISTINCT buyer, seller || '|' || brand AS signal FROM tx), ku AS (SELECT signal FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND 49), v AS (SELECT * FROM u SEMI JOIN ku USING (signal)),
+        x AS (SELECT a.buyer AS a, b.buyer AS b, 3 AS w FROM q a JOIN q b ON a.prop_key = b.prop_key AND a.buyer < b.buyer UNION ALL SELECT a.buyer, b.buyer, 1 FROM v a JOIN v b ON a.signal = b.signal AND a.buyer < b.buyer)
+        SELECT a, b, CAST(sum(w) AS BIGINT) AS score FROM x GROUP BY 1, 2 HAVING sum(w) >= 4""",
+    ),
+    "address_collection": (
+        lambda s, d: M.address_collection(transactions(s, d)),
+        f"WITH {TX_SQL}, u AS (SELECT address AS place, 1 AS priority, 'property' AS source FROM tx UNION ALL SELECT city, 2, 'buyer' FROM tx UNION ALL SELECT municipality, 3, 'region' FROM tx UNION ALL SELECT city, 3, 'region' FROM tx) SELECT place, min(priority) AS priority, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS n FROM u GROUP BY 1",
+    ),
+    "ranked_search": (
+        lambda s, d: M.ranked_search(table(s, d, "part"), "p_partkey", "p_name", "al", 50),
+        "SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'al' THEN 100 WHEN starts_with(lower(p_name), 'al') THEN 50 ELSE 10 END AS score FROM part WHERE contains(lower(p_name), 'al') ORDER BY score DESC, p_partkey LIMIT 50",
+    ),
+    "price_per_unit": (
+        lambda s, d: table(s, d, "part").select("p_partkey", T.price_per(F.col("p_retailprice"), F.col("p_size")).alias("shown")),
+        "SELECT p_partkey, CASE WHEN p_size > 0 AND p_retailprice > 0 THEN '$' || format('{:,}', CAST(round_even(p_retailprice / p_size, 0) AS BIGINT)) END AS shown FROM part",
+    ),
+    "activity_overlap": (
+        lambda s, d: M.party_rollup(transactions(s, d)).filter((F.col("last") >= "1996-01-01") & (F.col("first") <= "1997-12-31") & (F.col("n") >= 3)).select("name", "first", "last", "n"),
+        f"WITH {TX_SQL}, {_ROLES} SELECT name, min(iso) AS first, max(iso) AS last, count(*) AS n FROM a GROUP BY 1 HAVING max(iso) >= '1996-01-01' AND min(iso) <= '1997-12-31' AND count(*) >= 3",
+    ),
+    "signal_coverage": (
+        lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("text").rlike(p)).alias(k) for k, p in (("phone", r"\(\d{3}\) \d{3}-\d{4}"), ("email", r"[A-Za-z0-9.]+@[A-Za-z0-9.]+"))]),
+        r"SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '\(\d{3}\) \d{3}-\d{4}')) AS phone, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+')) AS email FROM documents GROUP BY 1",
     ),
     "budget_admission": (lambda s, d: R.admitted(table(s, d, "events"), 50), "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used, least(count(*), 50) AS admitted FROM events GROUP BY 1, 2"),
     "seen_dedupe": (lambda s, d: R.first_seen(table(s, d, "events")), "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2"),
