@@ -164,10 +164,10 @@ ALL = {
     ),
     "fuzzy_best_of": (lambda s, d: R.fuzzy_best(_numbered(s, d, "customer", "custkey"), _numbered(s, d, "supplier", "suppkey"), "block"), None),
     "provider_divergence": (
-        lambda s, d: R.divergence(table(s, d, "embeddings"), "vec_id", [("a", 0, 1), ("b", 2, 3), ("c", 4, 5)], 5_000.0),
+        lambda s, d: R.divergence(table(s, d, "embeddings"), "vec_id", [("a", 0, 1), ("b", 2, 3), ("c", 4, 5)], 1_000.0),
         "WITH v AS (SELECT vec_id, 43.6::DOUBLE + embedding[1]::DOUBLE * 0.05::DOUBLE AS la, -79.5::DOUBLE + embedding[2]::DOUBLE * 0.05::DOUBLE AS ga, 43.6::DOUBLE + embedding[3]::DOUBLE * 0.05::DOUBLE AS lb, -79.5::DOUBLE + embedding[4]::DOUBLE * 0.05::DOUBLE AS gb, 43.6::DOUBLE + embedding[5]::DOUBLE * 0.05::DOUBLE AS lc, -79.5::DOUBLE + embedding[6]::DOUBLE * 0.05::DOUBLE AS gc FROM embeddings), "
         + "d AS (" + " UNION ALL ".join(f"SELECT vec_id, '{p}-{q}' AS pair, 2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(l{q} - l{p}) / 2), 2) + cos(radians(l{p})) * cos(radians(l{q})) * pow(sin(radians(g{q} - g{p}) / 2), 2))) AS m FROM v" for p, q in ("ab", "ac", "bc")) + ") "
-        "SELECT vec_id, arg_max(pair, m) AS pair, round(max(m), 2) AS metres FROM d GROUP BY 1 HAVING max(m) >= 5000",
+        "SELECT vec_id, arg_max(pair, m) AS pair, round(max(m), 2) AS metres FROM d GROUP BY 1 HAVING max(m) >= 1000",
     ),
     "contact_rollup": (
         lambda s, d: M.contact_rollup(transactions(s, d)),
