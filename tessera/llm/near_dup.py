@@ -39,6 +39,8 @@ from tessera.llm.scratch import BROADCAST_BYTES, broadcast_if_small, fits, pytho
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
+#: 64-bit words of a text's parity sketch.
+SKETCH = 8
 _WORDS = re.compile(r"\w+").findall
 _U = np.uint64
 
@@ -193,6 +195,13 @@ def across(left: DataFrame, docs: DataFrame, size: int, threshold: float, broadc
     parts u, v of their weights, probability Jaccard is at most the harmonic mean of
     (1-u)/(1+u) and (1-v)/(1+v). Classes meet before their members do, so the members
     of a class are never paired with each other.
+
+    What lies behind the shingle is bounded by parity sketches: every shingle flips one
+    bit, so two texts share all but at least as many shingles as bits differ. Weights
+    are 1 or more, so with D such shingles u + v >= D / T for the larger whole weight T,
+    and the harmonic mean is at most (2 - D/T) / (2 + D/T); the bound on set Jaccard
+    follows from this one. For classes a bit differs if all members of one have it and
+    none of the other. The conditions stand in the join, so what cannot be alike makes no rows.
     """
     ids = broadcast_if_small(left.select("id"), 16, broadcast_bytes)
     sets = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, h binary, c binary")
@@ -201,22 +210,35 @@ def across(left: DataFrame, docs: DataFrame, size: int, threshold: float, broadc
     own = Window.partitionBy("id")
     order, slack = own.orderBy("holders", "shingle"), 1 - threshold + 1e-9
     ahead = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = ranked.select("id", "shingle", "holders", ahead.alias("ahead"), (F.row_number().over(order) - 1).alias("rank"), F.sum("weight").over(own).alias("total"), F.count("*").over(own).alias("n"))
+    flipped = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    word = F.pmod(F.shiftright("shingle", 6), F.lit(SKETCH))
+    sketch = [F.bit_xor(F.when(word == i, flipped).otherwise(F.lit(0).cast("long"))).over(own).alias(f"s{i}") for i in range(SKETCH)]
+    ranked = ranked.select("id", "shingle", "holders", ahead.alias("ahead"), (F.row_number().over(order) - 1).alias("rank"), F.sum("weight").over(own).alias("total"), F.count("*").over(own).alias("n"), *sketch)
     ranked = ranked.withColumn("mass", F.col("ahead") / F.col("total")).withColumn("part", F.col("rank") / F.col("n"))
     prefix = ranked.filter((F.col("mass") <= slack) | (F.col("part") <= slack)).filter("holders > 1")
-    prefix = stored(prefix.select("id", "shingle", "mass", "part", "rank", "n").join(left, "id"), "prefixes")
+    prefix = stored(prefix.select("id", "shingle", "mass", "part", "rank", "n", "total", *(f"s{i}" for i in range(SKETCH))).join(left, "id"), "prefixes")
     # of two texts, what lies ahead of the first shared shingle is not shared: that bounds both similarities
     c, eps = threshold / (1 + threshold), 1e-9
     alike = lambda m: (1 - F.col(m)) / (1 + F.col(m))
     weighted = lambda a, b: 2 * alike(a) * alike(b) >= (threshold - eps) * (alike(a) + alike(b))
     over = lambda f: F.greatest((1 - F.col(f)) / c - 1 + eps, F.lit(0.0))
-    kinds = prefix.groupBy("shingle", "class_id").agg(F.min("mass").alias("m"), F.min("part").alias("f"))
-    side = lambda k: kinds.select("shingle", F.col("class_id").alias(f"c{k}"), F.col("m").alias(f"m{k}"), F.col("f").alias(f"f{k}"))
-    met = side("a").join(side("b"), "shingle").filter((F.col("ca") < F.col("cb")) & (weighted("ma", "mb") | (over("fa") * over("fb") >= 1)))
-    met = met.select("shingle", "ca", "cb")
-    member = lambda k, x: prefix.select("shingle", F.col("class_id").alias(f"c{k}"), F.col("id").alias(x), F.col("mass").alias(f"m{x}"), F.col("rank").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    sets_meet = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= c * (F.col("nx") + F.col("ny")) - eps
-    pairs = met.join(member("a", "x"), ["shingle", "ca"]).join(member("b", "y"), ["shingle", "cb"]).filter(sets_meet | weighted("mx", "my"))
+    near = lambda bits, s, t: sum(map(F.bit_count, bits)) <= 2 * (1 - threshold) / (1 + threshold) * F.greatest(s, t) + eps
+    both = [agg(f"s{i}").alias(f"{name}{i}") for i in range(SKETCH) for agg, name in ((F.bit_and, "all"), (F.bit_or, "any"))]
+    kinds = prefix.groupBy("shingle", "class_id").agg(F.min("mass").alias("m"), F.min("part").alias("f"), F.max("total").alias("t"), *both)
+    side = lambda k: kinds.select("shingle", F.col("class_id").alias(f"c{k}"), *(F.col(c).alias(f"{c}_{k}") for c in kinds.columns[2:]))
+    bit = lambda name, i, k: F.col(f"{name}{i}_{k}")
+    differ = [bit("all", i, x).bitwiseAND(F.bitwise_not(bit("any", i, y))) for i in range(SKETCH) for x, y in ("ab", "ba")]
+    met = side("a").join(side("b"), "shingle").filter((F.col("ca") < F.col("cb")) & (weighted("m_a", "m_b") | (over("f_a") * over("f_b") >= 1)) & near(differ, F.col("t_a"), F.col("t_b")))
+    met = met.select("shingle", "ca", "cb", *(f"{c}_b" for c in kinds.columns[2:]))
+    own_columns = ("mass", "rank", "n", "total", *(f"s{i}" for i in range(SKETCH)))
+    member = lambda k, x: prefix.select("shingle", F.col("class_id").alias(f"c{k}"), F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in own_columns))
+    # each member of a class meets the other class before it meets that one's members
+    alone = [F.col(f"s{i}_x").bitwiseAND(F.bitwise_not(bit("any", i, "b"))) for i in range(SKETCH)] + [bit("all", i, "b").bitwiseAND(F.bitwise_not(F.col(f"s{i}_x"))) for i in range(SKETCH)]
+    alone = (weighted("mass_x", "m_b") | (F.greatest((1 - F.col("rank_x") / F.col("n_x")) / c - 1 + eps, F.lit(0.0)) * over("f_b") >= 1)) & near(alone, F.col("total_x"), F.col("t_b"))
+    half = met.join(member("a", "x"), ["shingle", "ca"]).filter(alone).select("shingle", "ca", "cb", "x", *(f"{c}_x" for c in own_columns))
+    sets_meet = F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y")) >= c * (F.col("n_x") + F.col("n_y")) - eps
+    differ = [F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y")) for i in range(SKETCH)]
+    pairs = half.join(member("b", "y"), ["shingle", "cb"]).filter((sets_meet | weighted("mass_x", "mass_y")) & near(differ, F.col("total_x"), F.col("total_y")))
     return pairs.select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("other")).distinct()
 
 
