@@ -3,9 +3,9 @@
 A bounded number of pages of each host is parsed and their DOM trees are aligned
 with each other by simple tree matching. A node whose text is the same wherever
 it is aligned belongs to the host's template; a node whose text varies is a slot.
-The wrapper of a host is the path of the element under which most varying text
-lies, once slots in menus, headers, footers, sidebars, notices, adverts, forms
-and comments are left out, and the paths outside it whose text varies.
+The wrapper of a host is the path of the smallest element under which all varying
+text lies, once slots in menus, headers, footers, sidebars, notices, adverts, forms
+and comments are left out.
 
 Applied to a page, everything under the wrapper's element is content, except
 what stands in an element of those kinds; template text inside it stays, as an
@@ -246,7 +246,7 @@ def _match(a: tuple, b: tuple, pairs: list[tuple[tuple, tuple]] | None, memo: di
 
 
 def induce(pages: list[str]) -> str | None:
-    """The path of the element that holds most of the varying text of a host's pages."""
+    """The path of the smallest element that holds all the varying text of a host's pages."""
     trees = [_tree(parse(p)) for p in pages]
     if len(trees) < 2:
         return None
@@ -281,7 +281,7 @@ def induce(pages: list[str]) -> str | None:
     best = None
     for path, w in sorted(weight.items(), key=lambda x: (x[0].count("/"), x[0])):
         label = path.rsplit("/", 1)[-1].split(".")[0]
-        if w >= 0.6 * total and label not in _INLINE and label not in ("p", "li", "h1", "h2", "h3", "html", "td", "blockquote", "ul", "ol", "pre", "dd"):
+        if w >= total and label not in _INLINE and label not in ("p", "li", "h1", "h2", "h3", "html", "td", "blockquote", "ul", "ol", "pre", "dd"):
             best = path
     return best
 

@@ -248,6 +248,13 @@ def test_html_wrapper_finds_what_no_tag_tells():
     assert html_extract.content_text(pages[0], html_extract.induce(pages)) == "words alpha of alpha\nmore alpha text alpha"
 
 
+def test_html_keeps_what_varies_beside_the_body():
+    page = "<html><body><div class=top>Shop</div><div class=a><h1>Title {0}</h1><div class=intro>Intro {0}</div><div class=body><p>{1}</p><p>more {1}</p></div></div><div class=end>bye</div></body></html>"
+    pages = [page.format(w, f"{w} long " * 50) for w in ("alpha", "beta", "gamma")]
+    got = html_extract.content_text(pages[0], html_extract.induce(pages)).split("\n")
+    assert got == ["Title alpha", "Intro alpha", ("alpha long " * 50).strip(), "more " + ("alpha long " * 50).strip()]
+
+
 # decontamination
 
 
