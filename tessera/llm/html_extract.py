@@ -1,16 +1,18 @@
 """Main text of web pages by wrapper induction.
 
-A bounded number of pages of each host is parsed and their DOM trees are aligned
-with each other by simple tree matching. A node whose text is the same wherever
-it is aligned belongs to the host's template; a node whose text varies is a slot.
-The wrapper of a host is the path of the smallest element under which all varying
-text lies, once slots in menus, headers, footers, sidebars, notices, adverts, forms
-and comments are left out.
-
-Applied to a page, everything under the wrapper's element is content, except
-what stands in an element of those kinds; template text inside it stays, as an
-article may well be printed twice. Pages without that element give their
-``article`` or ``main`` elements, or the body without its boilerplate elements.
+All pages of each host are parsed, and their DOM trees are aligned from the root:
+blocks are aligned if the labels (tag and classes) on their paths are equal. This is
+simple tree matching with equal siblings merged, so it needs no comparison of pages
+with each other; merged siblings are told apart by their texts. A text which every page
+that has its path holds there, on two different pages at least, belongs to the host's
+template; all other texts are slots. Texts in menus, headers, footers, sidebars,
+notices, adverts, forms and comments are neither.
+
+The main element of a page is the deepest under which most text of its slots lies, or
+the outermost ``article`` around it. Everything in it is content, template text too, as
+an article may well be printed twice; outside it every slot is content as well. Pages
+without slots, and hosts without two different pages, give their ``article`` or ``main``
+elements, or the body without its boilerplate elements.
 
 Blocks are block-level elements; white space in a block becomes one space, blocks
 are joined by a line feed.
@@ -22,27 +24,29 @@ rows and equal URLs give equal texts; a URL without host belongs to the host "".
 from __future__ import annotations
 
 import html
-import json
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import BROADCAST_BYTES, fits, python_batches, stored
+from tessera.llm.scratch import BROADCAST_BYTES, broadcast_if_small, python_batches, stored
 
-#: Pages of a host that are aligned.
-SAMPLE = 8
-#: Nodes of a page that take part in an alignment.
-MATCH_NODES = 400
+#: Part of the text of a page's slots that the main element holds.
+MOST = 0.6
+#: Held back counts of a task before they are handed on.
+HELD = 200_000
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _NEVER = set("head nav header footer aside form script style noscript template iframe button select option input textarea svg canvas object embed noembed noframes dialog menu title".split())
+_SMALL = set("p li h1 h2 h3 html td blockquote ul ol pre dd".split())
 _KINDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|adslot|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|widgets?|toolbar|pagination|pager|search|skip)(?:$|[\s_-])",
     re.I,
@@ -125,20 +129,22 @@ def _clean(pieces: list[str]) -> str:
     return " ".join(html.unescape("".join(pieces)).split())
 
 
-def _blocks(node: Node, out: list[str], held: list[str]) -> None:
-    """Adds the blocks under ``node``; depth is bounded by an explicit stack."""
-    work: list = [(node, iter(node.children))]
+def _blocks(node: Node, out: list[str], held: list[str], skip: Container[int] = ()) -> None:
+    """Adds the blocks under ``node`` but for the own texts of the blocks whose id is in ``skip``;
+    depth is bounded by an explicit stack."""
+    work: list = [(node, iter(node.children), id(node) not in skip)]
     while work:
-        top, rest = work[-1]
+        top, rest, said = work[-1]
         for c in rest:
             if isinstance(c, str):
-                held.append(c)
+                if said:
+                    held.append(c)
             elif c.tag == "br":
                 held.append(" ")
             elif not c.hidden:
                 if c.tag not in _INLINE:
                     _end(out, held)
-                work.append((c, iter(c.children)))
+                work.append((c, iter(c.children), said if c.tag in _INLINE else id(c) not in skip))
                 break
         else:
             work.pop()
@@ -154,172 +160,202 @@ def _end(out: list[str], held: list[str]) -> None:
             out.append(text)
 
 
-def _elements(root: Node) -> Iterator[tuple[str, Node]]:
-    """(path, node) in page order, without what is under hidden elements."""
-    work = [("", root)]
+@dataclass
+class Block:
+    """A block-level element that is not hidden, with the text of its inline elements."""
+
+    node: Node
+    above: int
+    path: int
+    text: str = ""
+    key: int = 0
+
+
+def _key(*parts: bytes) -> int:
+    return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _page_blocks(root: Node) -> list[Block]:
+    """The blocks of a page in its order; ``path`` stands for the labels from the root on,
+    ``key`` for path and text, ``above`` is the number of the block around."""
+    blocks = [Block(root, -1, 0)]
+    pieces: list[list[str]] = [[]]
+    work: list = [(iter(root.children), 0, 0)]
     while work:
-        path, node = work.pop()
-        yield path, node
-        for c in reversed(node.children):
-            if isinstance(c, Node) and not c.hidden:
-                work.append((f"{path}/{c.label}", c))
+        rest, at, path = work[-1]
+        for c in rest:
+            if isinstance(c, str):
+                pieces[at].append(c)
+            elif c.tag == "br":
+                pieces[at].append(" ")
+            elif not c.hidden:
+                below = _key(path.to_bytes(8, "little", signed=True), c.label.encode("utf-8", "replace"))
+                if c.tag not in _INLINE:
+                    blocks.append(Block(c, at, below))
+                    pieces.append([])
+                work.append((iter(c.children), at if c.tag in _INLINE else len(blocks) - 1, below))
+                break
+        else:
+            work.pop()
+    for b, p in zip(blocks, pieces, strict=True):
+        b.text = _clean(p)
+        if b.text:
+            b.key = _key(b.path.to_bytes(8, "little", signed=True), b.text.encode("utf-8", "replace"))
+    return blocks
+
+
+def _main(blocks: list[Block], template: Container[int], part: float) -> int | None:
+    """The number of the deepest element under which ``part`` of the text of the slots lies,
+    None if all text is the template's."""
+    weight = [0 if b.key in template else len(b.text) for b in blocks]
+    for i in range(len(blocks) - 1, 0, -1):
+        weight[blocks[i].above] += weight[i]
+    if not weight[0]:
+        return None
+    # with a part over a half, the elements that qualify stand within each other
+    return max((i for i, b in enumerate(blocks) if weight[i] >= part * weight[0] and b.node.tag not in _SMALL), default=0)
+
 
+def _within(blocks: list[Block], top: int) -> set[int]:
+    inside = {top}
+    for i in range(top + 1, len(blocks)):
+        if blocks[i].above in inside:
+            inside.add(i)
+    return inside
 
-def content_text(page: str | None, wrapper: str | None = None) -> str:
-    """The main text of one page; ``wrapper`` is the path of its host's content element."""
+
+def _article(blocks: list[Block], at: int) -> int:
+    """The outermost ``article`` around block ``at``, or else the block."""
+    best = at
+    while at >= 0:
+        best = at if blocks[at].node.tag == "article" else best
+        at = blocks[at].above
+    return best
+
+
+def _path(blocks: list[Block], at: int) -> str:
+    labels = []
+    while at > 0:
+        labels.append(blocks[at].node.label)
+        at = blocks[at].above
+    return "/" + "/".join(reversed(labels))
+
+
+def _outermost(blocks: list[Block], found: list[int]) -> list[Node]:
+    nodes: list[Node] = []
+    inside: set[int] = set()
+    for i in found:
+        if i not in inside:
+            inside |= _within(blocks, i)
+            nodes.append(blocks[i].node)
+    return nodes
+
+
+def content_text(page: str | None, wrapper: str | None = None, template: Container[int] | None = None) -> str:
+    """The main text of one page. ``template`` has the keys of its host's template texts, None if
+    nothing is known of the host; ``wrapper`` is the path of a content element to take instead."""
     root = parse(page or "")
-    found: list[Node] = []
-    tops: dict[str, list[Node]] = defaultdict(list)
-    body = root
-    for path, node in _elements(root):
-        if node.tag in ("article", "main"):
-            tops[node.tag].append(node)
-        if node.tag == "body":
-            body = node
-        if wrapper and path == wrapper:
-            found.append(node)
-    found = found or tops["article"] or tops["main"] or [body]
+    blocks = _page_blocks(root)
+    main = None if template is None else _main(blocks, template, MOST)
+    found = [i for i in range(len(blocks)) if _path(blocks, i) == wrapper] if wrapper else []
+    skip: set[int] = set()
+    if found or main is None:
+        for tag in ("article", "main"):
+            found = found or [i for i, b in enumerate(blocks) if b.node.tag == tag]
+        found = found or [i for i, b in enumerate(blocks) if b.node.tag == "body"][-1:] or [0]
+        tops = _outermost(blocks, found)
+    else:
+        inside = _within(blocks, _article(blocks, main))
+        tops, skip = [root], {id(b.node) for i, b in enumerate(blocks) if i not in inside and b.key in template}
     out: list[str] = []
-    inside: set[int] = set()
-    for node in found:
-        if id(node) in inside:
-            continue
-        inside.update(id(x) for _, x in _elements(node))
-        held: list[str] = []
-        _blocks(node, out, held)
+    held: list[str] = []
+    for node in tops:
+        _blocks(node, out, held, skip)
         _end(out, held)
     return "\n".join(out)
 
 
-def _own_text(node: Node) -> str:
-    return _clean([c for c in node.children if isinstance(c, str)])
-
-
-def _tree(root: Node) -> tuple:
-    """(label, own text, children, size) of the first ``MATCH_NODES`` nodes, scripts left out."""
-    left = MATCH_NODES
-
-    def build(node: Node, depth: int) -> tuple:
-        nonlocal left
-        kids = []
-        for c in node.children:
-            if isinstance(c, Node) and c.tag not in ("script", "style", "head") and left > 0 and depth < 60:
-                left -= 1
-                kids.append(build(c, depth + 1))
-        return (node.label, _own_text(node), kids, 1 + sum(k[3] for k in kids), node.hidden)
-
-    return build(root, 0)
-
-
-def _match(a: tuple, b: tuple, pairs: list[tuple[tuple, tuple]] | None, memo: dict) -> int:
-    """Simple tree matching: the largest order-preserving matching of two trees with
-    equal labels at their roots. ``pairs`` collects the aligned nodes."""
-    if a[0] != b[0]:
-        return 0
-    key = (id(a), id(b))
-    if pairs is None and key in memo:
-        return memo[key]
-    x, y = a[2], b[2]
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x):
-        row, above = table[i + 1], table[i]
-        for j, q in enumerate(y):
-            best = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if p[0] == q[0]:
-                w = above[j] + (1 if not p[2] and not q[2] else _match(p, q, None, memo))
-                if w > best:
-                    best = w
-            row[j + 1] = best
-    memo[key] = table[-1][-1] + 1
-    if pairs is not None:
-        pairs.append((a, b))
-        i, j = len(x), len(y)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                _match(x[i], y[j], pairs, memo)
-    return memo[key]
+def _counted(page: str) -> tuple[int, set[tuple[int, int]]]:
+    """The key of a page, and its different (path, key) of texts, with (path, 0) once for each path."""
+    blocks = [b for b in _page_blocks(parse(page)) if b.text]
+    return _key(page.encode("utf-8", "replace")), {(b.path, k) for b in blocks for k in (b.key, 0)}
 
 
 def induce(pages: list[str]) -> str | None:
-    """The path of the smallest element that holds all the varying text of a host's pages."""
-    trees = [_tree(parse(p)) for p in pages]
-    if len(trees) < 2:
+    """The path, in the first page, of the smallest element that holds all its slots."""
+    counts: Counter[tuple[int, int]] = Counter()
+    different = {}
+    for key, seen in map(_counted, pages):
+        if key not in different:
+            different[key] = seen
+            counts.update(seen)
+    if len(different) < 2:
         return None
-    weight: Counter[str] = Counter()
-    base = trees[0]
-    where: dict[int, str] = {}
-    shut: dict[int, bool] = {}
-    work = [("", base, False)]
-    while work:
-        path, node, hid = work.pop()
-        where[id(node)], shut[id(node)] = path, hid
-        work += [(f"{path}/{k[0]}", k, hid or k[4]) for k in node[2]]
-    same: dict[int, bool] = {}
-    aligned: Counter[int] = Counter()
-    for other in trees[1:]:
-        pairs: list[tuple[tuple, tuple]] = []
-        _match(base, other, pairs, {})
-        for a, b in pairs:
-            aligned[id(a)] += 1
-            same[id(a)] = same.get(id(a), True) and a[1] == b[1]
-    stack = [base]
-    while stack:
-        node = stack.pop()
-        stack += node[2]
-        slot = id(node) not in same or not same[id(node)]  # varying, or in this page only
-        if slot and node[1] and not shut[id(node)]:
-            path = where[id(node)]
-            parts = path.split("/")
-            for i in range(2, len(parts) + 1):
-                weight["/".join(parts[:i])] += len(node[1])
-    total = weight.get("/html", 0) or max(weight.values(), default=0)
-    best = None
-    for path, w in sorted(weight.items(), key=lambda x: (x[0].count("/"), x[0])):
-        label = path.rsplit("/", 1)[-1].split(".")[0]
-        if w >= total and label not in _INLINE and label not in ("p", "li", "h1", "h2", "h3", "html", "td", "blockquote", "ul", "ol", "pre", "dd"):
-            best = path
-    return best
+    template = {k for (path, k), n in counts.items() if k and 1 < n == counts[path, 0]}
+    blocks = _page_blocks(parse(pages[0]))
+    at = _main(blocks, template, 1)
+    return None if at is None else _path(blocks, at)
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def _induce_host(rows: pd.DataFrame) -> pd.DataFrame:
-    best = induce([p or "" for p in rows.sort_values("key")["page"]])
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(best)]})
+_COUNTS = "host string, path long, text long, n long, least long, most long"
+
 
+def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of ``_COUNTS``, added up over the batches of a task: how many pages hold a text on a
+    path (0: any text), and the least and greatest key of these pages."""
+    held: dict[tuple, list] = {}
 
-def induce_wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str, sample: int = SAMPLE) -> DataFrame:
-    """host, wrapper (JSON): from at most ``sample`` pages of each host, chosen by hash."""
-    rows = pages.select(_host(F.col(url_col)).alias("host"), F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(html_col).alias("page"))
-    chosen = rows.groupBy("host", F.pmod("key", F.lit(sample)).alias("slot")).agg(F.min("key").alias("key")).select("host", "key")
-    chosen = stored(chosen, "sample")
-    if fits(chosen, F.length("host") * 4 + 24):
-        chosen = F.broadcast(chosen)
-    picked = rows.join(chosen, ["host", "key"], "left_semi").dropDuplicates(["host", "key"])
-    return picked.groupBy("host").applyInPandas(_induce_host, "host string, wrapper string")
+    def given() -> pd.DataFrame:
+        rows = [(*k, *v) for k, v in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["host", "path", "text", "n", "least", "most"])
+
+    for batch in batches:
+        for host, page in zip(batch["host"], batch["page"], strict=True):
+            key, seen = _counted(page or "")
+            for path, text in seen:
+                v = held.get((host, path, text))
+                if v is None:
+                    held[host, path, text] = [1, key, key]
+                else:
+                    v[0], v[1], v[2] = v[0] + 1, min(v[1], key), max(v[2], key)
+            if len(held) > HELD:
+                yield given()
+    yield given()
+
+
+def host_templates(pages: DataFrame, url_col: str, html_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """host, template: the keys of its template texts, for each host with two different pages that hold text.
+    All pages count; only texts that two different pages hold on a path are joined."""
+    rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("page"))
+    seen = rows.mapInPandas(_count_batches, _COUNTS).groupBy("host", "path", "text")
+    seen = seen.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    seen = stored(seen.filter((F.col("least") < F.col("most")) | (F.col("text") == 0)), "texts")
+    paths = seen.filter("text = 0 and least < most").select("host", "path", F.col("n").alias("pages"))
+    paths = broadcast_if_small(paths, F.length("host") * 4 + 32, broadcast_bytes)
+    fixed = seen.filter("text <> 0").join(paths, ["host", "path"]).filter("n = pages")
+    fixed = fixed.groupBy("host").agg(F.collect_list("text").alias("template"))
+    hosts = seen.filter("text = 0").groupBy("host").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("host")
+    return hosts.join(fixed, "host", "left").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"))
 
 
 def extract_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Per row: id, url, text, n_chars."""
     python_batches(pages.sparkSession)
-    wrappers = stored(induce_wrappers(pages, id_col, url_col, html_col, sample), "wrappers")
-    if fits(wrappers, (F.length("host") + F.length("wrapper")) * 4 + 16, broadcast_bytes):
-        wrappers = F.broadcast(wrappers)
+    templates = stored(host_templates(pages, url_col, html_col, broadcast_bytes), "templates")
+    templates = broadcast_if_small(templates, F.length("host") * 4 + F.size("template") * 8 + 32, broadcast_bytes)
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for docs, paths in batches:
-            yield pd.Series([content_text(d, json.loads(p) if p else None) for d, p in zip(docs, paths, strict=True)], dtype=object)
+        for docs, keys in batches:
+            yield pd.Series([content_text(d, template=None if k is None else set(k.tolist())) for d, k in zip(docs, keys, strict=True)], dtype=object)
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), _host(F.col(url_col)).alias("host"), F.col(html_col).alias("page"))
-    rows = rows.join(wrappers, "host", "left").select("id", "url", text_of("page", "wrapper").alias("text"))
+    rows = rows.join(templates, "host", "left").select("id", "url", text_of("page", "template").alias("text"))
     return rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

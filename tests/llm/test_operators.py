@@ -255,6 +255,19 @@ def test_html_keeps_what_varies_beside_the_body():
     assert got == ["Title alpha", "Intro alpha", ("alpha long " * 50).strip(), "more " + ("alpha long " * 50).strip()]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_html_counts_all_pages_of_a_host_with_two_templates(spark, limit):
+    """A long menu comes first, the second template is rare and has another body, and copies are many."""
+    menu = "<div class=top>" + "".join(f"<div>M{k}</div>" for k in range(450)) + "</div>"
+    first = "<html><body>" + menu + "<div class=x><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=y><p>words {0} of {0}</p></div></div><div class=end>bye</div></body></html>"
+    second = "<html><body>" + menu + "<div class=z><h2>Head {0}</h2><div>text {0} and more {0}</div></div><div class=y>Terms</div><div class=end>bye</div></body></html>"
+    rows = [(k, f"http://h/{k}", first.format(f"v{k}")) for k in range(40)] + [(k, f"http://h/{k}", second.format(f"w{k}")) for k in (50, 51, 52)] + [(60 + k, "http://h/c", first.format("copy")) for k in range(30)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=limit).collect()
+    want = {k: f"Title {v}\nLead {v}\nwords {v} of {v}" for k, v in [*((k, f"v{k}") for k in range(40)), *((60 + k, "copy") for k in range(30))]}
+    want |= {k: f"Head w{k}\ntext w{k} and more w{k}" for k in (50, 51, 52)}
+    assert {x.page_id: x.text for x in got} == want
+
+
 # decontamination
 
 
