@@ -57,6 +57,15 @@ def test_line_dedup(spark, limit):
     assert line_dedup.boilerplate_report(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_groups_of_copies(spark):
+    """Copies hold a third of host a, a plain pair stands on host b of 12 pages; host c has 6 pages with a menu."""
+    rows = [(k, "only here\nand this", "a") for k in range(20)] + [(100 + k, f"menu\ntext {k}", "a") for k in range(40)]
+    rows += [(200, "twice\nlonger", "b"), (201, "twice\nlonger", "b")] + [(210 + k, f"page {k}", "b") for k in range(10)] + [(300 + k, f"menu\nown {k}", "c") for k in range(6)]
+    want = {i: t.removeprefix("menu\n") for i, t, _ in rows}
+    for limit in (0, 1 << 20):
+        assert {x.doc_id: x.text for x in line_dedup.drop_boilerplate(docs(spark, rows), broadcast_bytes=limit).collect()} == want
+
+
 # toxicity
 
 
