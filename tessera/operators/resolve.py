@@ -28,11 +28,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def star_edges(rows: DataFrame, key: str, item: str, cap: int | None = None) -> DataFrame:
-    """Edges from the smallest item of each key to its others; keys of ``cap`` or more items link nothing."""
-    centre = rows.groupBy(key).agg(F.min(item).alias("a"), F.count_distinct(item).alias("_members")).filter("_members > 1")
+def star_edges(rows: DataFrame, key: str, item: str, cap: int | None = None, capped: str | None = None) -> DataFrame:
+    """Edges from the smallest item of each key to its others; keys of ``cap`` or more items, or else
+    different values of ``capped``, link nothing."""
+    counts = [F.min(item).alias("a"), F.count_distinct(item).alias("_members"), F.count_distinct(capped or item).alias("_capped")]
+    centre = rows.groupBy(key).agg(*counts).filter("_members > 1")
     if cap is not None:
-        centre = centre.filter(F.col("_members") < cap)
+        centre = centre.filter(F.col("_capped") < cap)
     return rows.join(centre, key).select("a", F.col(item).alias("b")).filter("a <> b").distinct()
 
 

@@ -30,6 +30,13 @@ def _cc(s, d) -> DataFrame:
     return R.components(R.star_edges(by_pair, "deal", "rt_id").union(R.star_edges(rows, "prop_key", "rt_id", 5)).distinct())
 
 
+def _cc_names(s, d) -> DataFrame:
+    """As ``_cc``, with the cap on the different names of a property, not on its transactions."""
+    rows = transactions(s, d).select("rt_id", "seller", "prop_key", T.normalize_name(F.col("seller")).alias("name"))
+    by_pair = rows.withColumn("deal", F.concat_ws("|", "seller", "prop_key"))
+    return R.components(R.star_edges(by_pair, "deal", "rt_id").union(R.star_edges(rows, "prop_key", "rt_id", 5, "name")).distinct())
+
+
 def _customer_state(s, d, as_of: str) -> DataFrame:
     """Each customer's newest order, and how many orders there were, as seen on a day."""
     seen = table(s, d, "orders").filter(F.col("o_orderdate") < F.lit(as_of).cast("timestamp_ntz"))
@@ -150,6 +157,16 @@ ALL = {
         r AS (SELECT DISTINCT a AS id, a AS c FROM e0 UNION SELECT e0.b, r.c FROM r JOIN e0 ON r.id = e0.a)
         SELECT id, min(c) AS component FROM r GROUP BY 1""",
     ),
+    "cc_capped_names": (
+        _cc_names,
+        f"""WITH RECURSIVE {TX_SQL},
+        few AS (SELECT prop_key FROM tx GROUP BY 1 HAVING count(DISTINCT regexp_replace(trim(regexp_replace(upper(seller), '\\s+', ' ', 'g')), '[.,;:]+$', '')) < 5),
+        s1 AS (SELECT min(rt_id) OVER (PARTITION BY seller, prop_key) AS a, rt_id AS b FROM tx),
+        s2 AS (SELECT min(rt_id) OVER (PARTITION BY prop_key) AS a, rt_id AS b FROM tx SEMI JOIN few USING (prop_key)),
+        e AS (SELECT a, b FROM s1 WHERE a <> b UNION SELECT a, b FROM s2 WHERE a <> b), e0 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r AS (SELECT DISTINCT a AS id, a AS c FROM e0 UNION SELECT e0.b, r.c FROM r JOIN e0 ON r.id = e0.a)
+        SELECT id, min(c) AS component FROM r GROUP BY 1""",
+    ),
     "nearest_property": (
         lambda s, d: R.nearest_within(_points(s, d), _points(s, d), 150.0),
         f"WITH {_PTS}, m AS (SELECT p.id AS probe_id, b.id AS build_id, {_HAV} AS d FROM pts p JOIN pts b ON p.id <> b.id AND abs(p.lat - b.lat) < 0.0075 AND abs(p.lng - b.lng) < 0.0075 WHERE {_HAV} <= 150) SELECT probe_id, build_id, round(d, 3) AS metres, count(*) OVER (PARTITION BY probe_id) - 1 AS alternatives FROM m QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY d, build_id) = 1",

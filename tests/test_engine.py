@@ -55,6 +55,12 @@ def test_components_and_caps(spark):
     assert got == {1: 1, 2: 1, 3: 1}
 
 
+def test_cap_counts_names_not_transactions(spark):
+    """Property x is traded six times between two parties, y five times between five."""
+    rows = spark.createDataFrame([*((k, "x", f"n{k % 2}") for k in range(6)), *((10 + k, "y", f"n{k}") for k in range(5))], "id long, k string, name string")
+    assert {tuple(r) for r in R.star_edges(rows, "k", "id", 5, "name").collect()} == {(0, k) for k in range(1, 6)}
+
+
 def test_polygon_and_median(spark):
     p = spark.createDataFrame([(0.5, 0.5), (2.0, 0.5)], "x double, y double")
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
