@@ -146,6 +146,17 @@ def shared_signals(tx: DataFrame, cap: int = 50, least: int = 4) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("w").alias("score")).filter(F.col("score") >= least)
 
 
+def signal_suggestions(tx: DataFrame, targets: DataFrame) -> DataFrame:
+    """buyer, other, score: for each buyer in ``targets`` every other buyer that shares a property (3 each)
+    or a seller's brand (1 each), however many hold it and however low the score. Each target meets a holder
+    once for each signal, so the rows grow with the table for a given set of targets."""
+    kinds = F.array(F.struct(F.col("prop_key").cast("string").alias("signal"), F.lit(3).alias("w")), F.struct(F.concat_ws("|", "seller", "brand").alias("signal"), F.lit(1).alias("w")))
+    held = tx.select("buyer", F.inline(kinds)).distinct()
+    asked = held.join(targets.select("buyer").distinct(), "buyer")
+    met = asked.join(held.withColumnRenamed("buyer", "other"), ["signal", "w"]).filter("buyer <> other")
+    return met.groupBy("buyer", "other").agg(F.sum("w").cast("long").alias("score"))
+
+
 def address_collection(tx: DataFrame) -> DataFrame:
     """Every place named anywhere, with its best priority and all kinds of source, in one pass over the rows."""
     said = [("address", 1, "property"), ("city", 2, "buyer"), ("municipality", 3, "region"), ("city", 3, "region")]

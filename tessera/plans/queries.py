@@ -37,6 +37,12 @@ def _cc_names(s, d) -> DataFrame:
     return R.components(R.star_edges(by_pair, "deal", "rt_id").union(R.star_edges(rows, "prop_key", "rt_id", 5, "name")).distinct())
 
 
+def _suggestions(s, d) -> DataFrame:
+    """All that share a signal with the first 20 buyers by name."""
+    tx = transactions(s, d)
+    return M.signal_suggestions(tx, tx.select("buyer").distinct().orderBy("buyer").limit(20))
+
+
 def _customer_state(s, d, as_of: str) -> DataFrame:
     """Each customer's newest order, and how many orders there were, as seen on a day."""
     seen = table(s, d, "orders").filter(F.col("o_orderdate") < F.lit(as_of).cast("timestamp_ntz"))
@@ -198,6 +204,12 @@ ALL = {
         x AS (SELECT a.buyer AS a, b.buyer AS b, 3 AS w FROM q a JOIN q b ON a.prop_key = b.prop_key AND a.buyer < b.buyer UNION ALL SELECT a.buyer, b.buyer, 1 FROM v a JOIN v b ON a.signal = b.signal AND a.buyer < b.buyer)
         SELECT a, b, CAST(sum(w) AS BIGINT) AS score FROM x GROUP BY 1, 2 HAVING sum(w) >= 4""",
     ),
+    "signal_suggestions": (
+        _suggestions,
+        f"""WITH {TX_SQL}, u AS (SELECT DISTINCT buyer, CAST(prop_key AS VARCHAR) AS signal, 3 AS w FROM tx UNION ALL SELECT DISTINCT buyer, seller || '|' || brand, 1 FROM tx),
+        t AS (SELECT DISTINCT buyer FROM tx ORDER BY buyer LIMIT 20)
+        SELECT a.buyer, b.buyer AS other, CAST(sum(a.w) AS BIGINT) AS score FROM u a SEMI JOIN t USING (buyer) JOIN u b ON a.signal = b.signal AND a.w = b.w AND a.buyer <> b.buyer GROUP BY 1, 2""",
+    ),
     "address_collection": (
         lambda s, d: M.address_collection(transactions(s, d)),
         f"WITH {TX_SQL}, u AS (SELECT address AS place, 1 AS priority, 'property' AS source FROM tx UNION ALL SELECT city, 2, 'buyer' FROM tx UNION ALL SELECT municipality, 3, 'region' FROM tx UNION ALL SELECT city, 3, 'region' FROM tx) SELECT place, min(priority) AS priority, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS n FROM u GROUP BY 1",

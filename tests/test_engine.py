@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import marts as M
 from tessera.operators import resolve as R
 from tessera.plans.queries import ORACLES, QUERIES
 from tessera.streaming import events as E
@@ -61,6 +62,14 @@ def test_cap_counts_names_not_transactions(spark):
     assert {tuple(r) for r in R.star_edges(rows, "k", "id", 5, "name").collect()} == {(0, k) for k in range(1, 6)}
 
 
+def test_suggestions_keep_hot_signals_and_low_scores(spark):
+    """Sixty buyers hold one property; one of them shares a seller's brand with a buyer of another."""
+    rows = [(f"b{k}", 1, f"s{k}", "x") for k in range(60)] + [("z", 2, "s0", "x")]
+    tx = spark.createDataFrame(rows, "buyer string, prop_key long, seller string, brand string")
+    got = M.signal_suggestions(tx, spark.createDataFrame([("b0",)], "buyer string")).collect()
+    assert {tuple(r) for r in got} == {("b0", "z", 1), *(("b0", f"b{k}", 3) for k in range(1, 60))}
+
+
 def test_polygon_and_median(spark):
     p = spark.createDataFrame([(0.5, 0.5), (2.0, 0.5)], "x double, y double")
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
