@@ -55,9 +55,9 @@ def _state_sql(as_of: str) -> str:
 
 
 def _numbered(s, d, name: str, key: str) -> DataFrame:
-    """Names with the block (nation, last two digits) in which they are compared."""
+    """Names with the nation in which they are compared."""
     col = lambda c: F.col(f"{name[0]}_{c}")
-    return table(s, d, name).select(col(key).alias("id"), col("name").alias("text"), F.concat_ws("|", col("nationkey"), F.right(col("name"), F.lit(2))).alias("block"))
+    return table(s, d, name).select(col(key).alias("id"), col("name").alias("text"), col("nationkey").cast("string").alias("block"))
 
 
 _IN = " + ".join(

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB, and literal cases."""
 
+import difflib
 import glob
 import os
 
@@ -83,6 +84,16 @@ def test_fuzzy(spark):
     assert [(r.id, r.match_id) for r in R.fuzzy_best(a, b, "b").collect()] == [(1, 5)]
 
 
+def test_fuzzy_best_of_meets_every_supplier_of_a_nation(spark, db):
+    ask = lambda t, k: db.sql(f"select {t[0]}_{k}, {t[0]}_name, {t[0]}_nationkey from {t}").fetchall()
+    suppliers, want = ask("supplier", "suppkey"), {}
+    for i, text, nation in ask("customer", "custkey"):
+        met = [(difflib.SequenceMatcher(None, text, t, autojunk=False).ratio(), -k) for k, t, n in suppliers if n == nation]
+        if met and max(met)[0] >= 0.6:
+            want[i] = (-max(met)[1], round(max(met)[0], 6))
+    assert len(want) > 20 and {r.id: (r.match_id, r.score) for r in QUERIES["fuzzy_best_of"](spark, SF).collect()} == want
+
+
 def test_stream_counts_as_the_batch_does(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.repartition(2).write.parquet(str(tmp_path / "in"))
