@@ -155,9 +155,13 @@ def shard_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> None:
-    """Write ``docs`` as Parquet, one folder ``shard=N`` for each shard."""
+    """Write ``docs`` as Parquet, one folder ``shard=N`` for each shard. Where ``docs`` has a column of
+    that name, the folders are named by ``shard_``, with as many more underscores as it takes."""
+    name, taken = "shard", {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"{name}_"
     tree = plan(stored(_points(docs, id_col, text_col), "points"), shards)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), raw.alias("raw"), F.col(id_col).alias("id"))
     rows = rows.select("row", *_dimensions(F.col("raw"), F.col("id")))
-    rows.select(tree.shard().alias("shard"), *[F.col("row").getField(c).alias(c) for c in docs.columns if c != "shard"]).write.partitionBy("shard").parquet(path)
+    rows.select(tree.shard().alias(name), *[F.col("row").getField(c).alias(c) for c in docs.columns]).write.partitionBy(name).parquet(path)

@@ -463,5 +463,12 @@ def test_shards_are_written(spark, tmp_path):
     assert back.count() == 200 and {x.shard for x in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
 
 
+def test_written_shards_keep_a_column_named_shard(spark, tmp_path):
+    d = docs(spark, [(k, "y" * k, "s") for k in range(50)]).withColumn("shard", F.concat(F.lit("own"), "doc_id"))
+    sharding.write_shards(d, str(tmp_path / "out"), shards=2)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert all(x.shard == f"own{x.doc_id}" for x in back) and {x.shard_ for x in back} == {0, 1}
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
