@@ -20,14 +20,24 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tessera-"))
         base = _own[0]
     path = posixpath.join(base, f"step-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table made by ``written`` that no later step reads."""
+    spark = df.sparkSession
+    for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def star_edges(rows: DataFrame, key: str, item: str, cap: int | None = None, capped: str | None = None) -> DataFrame:
     """Edges from the smallest item of each key to its others; keys of ``cap`` or more items, or else
     different values of ``capped``, link nothing."""
@@ -47,8 +57,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = now.join(near, "id").select("id", "component", F.least("component", "c").alias("to"))
         jump = now.select(F.col("id").alias("to"), F.col("component").alias("far"))
         step = written(step.join(jump, "to").select("id", F.col("component").alias("was"), F.least("to", "far").alias("component")))
+        dropped(now)
         now = step.select("id", "component")
         if step.filter("was <> component").isEmpty():
+            dropped(both)
             return now
 
 
