@@ -1,7 +1,7 @@
 """Where operators keep intermediate tables, and how they size a broadcast.
 
 Intermediate tables go to the shared folder named by ``spark.checkpoint.dir``;
-a folder of our own is made only where that setting is missing (tests).
+a folder of our own is made only where that setting is missing and the master is local (tests).
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ _own: list[str] = []
 #: Rows in one Arrow batch handed to Python, unless the session sets its own.
 BATCH_ROWS = 1000
 #: Largest table that is ever broadcast; beyond it operators shuffle instead.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tessera-scratch-"))
         base = _own[0]
@@ -34,6 +36,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return posixpath.join(scratch_dir(spark), "tessera", f"{label}-{uuid.uuid4().hex}")
 
 
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Make a folder of the shared store, so that readers find it even if no task writes to it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -13,27 +13,28 @@ null marks (uint8), tokens per document (int64), bits per block (uint32),
 zlib-packed code lengths (uint8 each), payload (big-endian uint32 words).
 
 Defined results: null or empty texts hold the end id alone; null ids come first;
-repeated ids follow each other, ordered by their ids' bytes; no documents, no files.
+repeated ids follow each other, in an order that their token ids decide; no documents, no files.
 """
 
 from __future__ import annotations
 
 import os
 import posixpath
-import unicodedata
+import re
 import uuid
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks
-from tessera.llm.scratch import new_path, python_batches, release, stored
+from tessera.llm.scratch import make_folder, new_path, python_batches, release, stored
 
 MAX_BITS = 20
 BLOCK = 1024
@@ -184,20 +185,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Words that normalizing leaves in one piece: Latin letters below U+0250, none of which composes with or splits
+#: into another character, and all of which have a lower case of one character (U+0130 has not).
+_LATIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,60}[,.]?").fullmatch
+
+
 class ChunkEncoder:
-    """Ids of chunks between spaces. A chunk of letters alone, perhaps with one comma or
+    """Ids of chunks between spaces. A chunk of Latin letters alone, perhaps with one comma or
     full stop, goes to the tokenizer's model as the word that its normalizer and splitter
-    would make of it; any other chunk goes through the whole tokenizer."""
+    would make of it; any other chunk goes through the whole tokenizer. Special tokens that
+    a text spells out get their ids, as the library gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.tails = {"": b"", **{t: self._whole([t])[0] for t in ",."}}
-        probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ﬁn", "日本"]
+        probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ŸĐǄ", "ſƿ"]
         self.direct = [self._word(c) for c in probe] == self._whole(probe)  # else everything goes through the tokenizer
 
     def _whole(self, chunk_list: list[str]) -> list[bytes]:
@@ -208,15 +214,14 @@ class ChunkEncoder:
         if word.isascii():
             word = word.lower()
         else:
-            word = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.letters)
+            word = word.lower().encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + self.tails[tail]
 
     def __call__(self, chunk_list: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(chunk_list)
         rest = []
         for i, c in enumerate(chunk_list):
-            word = c[:-1] if c[-1:] in (",", ".") else c
-            if self.direct and word.isalpha() and len(word) <= 60 and "\u0130" not in word and "\u03a3" not in word:
+            if self.direct and _LATIN_WORD(c):
                 out[i] = self._word(c)
             else:
                 rest.append(i)
@@ -226,11 +231,18 @@ class ChunkEncoder:
         return out
 
 
-def _tokenize(path: str, end_id: int):
+def id_kind(path: str, end_id: int) -> str:
+    """The width in which ids travel: two bytes if the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def _tokenize(path: str, end_id: int, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
-        known = chunks.Recent(400_000)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        known = chunks.Recent(200_000)
+        end = np.array([end_id], dtype=kind).tobytes()
         for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in chunks.runs(b.column("text"))):
             bounds, codes, different = chunks.cut(batch.column("text"))
             found = [known.get(c) for c in different]
@@ -243,24 +255,29 @@ def _tokenize(path: str, end_id: int):
             each = sizes[codes]
             ids = flat[chunks.gather((np.cumsum(sizes) - sizes)[codes], each)]
             edge = np.concatenate([[0], np.cumsum(each)])[bounds]
+            ids = ids.astype(kind)
             rows = [ids[a:b].tobytes() + end for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(edge) + 1, pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "ids"])
 
     return run
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        x = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4"))
-        if len(x) > len(total):
-            x, total = total, x
-        total[: len(x)] += x
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
+def _count(kind: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for a, b in chunks.runs(batch.column("ids")):
+                x = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(a, b - a).to_pylist()), dtype=kind))
+                if len(x) > len(total):
+                    x, total = total, x
+                total[: len(x)] += x
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
+
+    return run
 
 
-def _write(folder: str, bases: dict[int, int], lengths: np.ndarray, per_file: int, block: int):
+def _write(folder: str, bases: dict[int, int], lengths: np.ndarray, per_file: int, block: int, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)
         bucket, part, start = None, 0, 0
@@ -273,7 +290,7 @@ def _write(folder: str, bases: dict[int, int], lengths: np.ndarray, per_file: in
             nonlocal part, start, pending
             if not keys:
                 return 0
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.frombuffer(b"".join(held), dtype=kind)
             put_file(folder, f"{bucket:07d}-{part:05d}.huf", write_file(keys, sizes, ids, start, lengths, codes, block))
             part, start, pending = part + 1, start + len(ids), 0
             for x in (keys, sizes, held):
@@ -303,36 +320,50 @@ def write_tokens(
     """Encode every text and write token files in ascending id order; returns their folder."""
     spark = docs.sparkSession
     python_batches(spark)
-    folder = folder or new_path(spark, "tokens")
+    folder = make_folder(spark, folder or new_path(spark, "tokens"))
+    kind = id_kind(tokenizer_path, end_id)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tokens = ids = stored(rows.mapInArrow(_tokenize(tokenizer_path, end_id), "id long, n long, ids binary"), "ids")
-    counted = tokens.select("ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary
+    tokens = ids = stored(rows.mapInArrow(_tokenize(tokenizer_path, end_id, kind), "id long, n long, ids binary"), "ids")
+    counted = tokens.select("ids").mapInArrow(_count(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary
     if not counted:
         return folder
     counts = np.zeros(max(r.token for r in counted) + 1)
     for r in counted:
         counts[r.token] = r.n
-    total = int(counts.sum())
-    buckets = max(1, min(100_000, round(total / tokens_per_file)))
-    edges = sorted({int(x) for x in tokens.filter("id is not null").approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.1 / buckets)}) if buckets > 1 else []
-    bucket = _bucket_of(edges)(F.col("id")) if edges else F.lit(0)
-    tokens = tokens.select(bucket.cast("long").alias("bucket"), "id", "n", "ids")
+    tokens = tokens.select(_bucket(tokens, int(counts.sum()) / tokens_per_file).alias("bucket"), "id", "n", "ids")
     bases, start = {}, 0
     for b, n in sorted((r.bucket, r.n) for r in tokens.groupBy("bucket").agg(F.sum("n").alias("n")).collect()):  # one row for each bucket
         bases[b], start = start, start + n
-    dealt = tokens.repartition(max(len(bases), 1), "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "ids")
-    dealt.mapInArrow(_write(folder, bases, code_lengths(counts), tokens_per_file, block), "files long").agg(F.sum("files")).collect()
+    dealt = tokens.repartitionById(max(bases) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "ids")
+    dealt.mapInArrow(_write(folder, bases, code_lengths(counts), tokens_per_file, block, kind), "files long").agg(F.sum("files")).collect()
     release(ids)
     return folder
 
 
-def _bucket_of(edges: list[int]):
-    @F.pandas_udf("long")
-    def bucket(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(np.array(edges), ids.fillna(edges[0] - 1).to_numpy(), side="right")
-        return pd.Series(at)
+def _bucket(tokens: DataFrame, wanted: float) -> Column:
+    """The number of a row's bucket: ascending ids, about ``wanted`` buckets of equal numbers of rows, each written
+    by one task. An id (or null) so common that it fills buckets by itself has its rows dealt over them by hash."""
+    wanted = max(1, min(100_000, round(wanted)))
+    if wanted == 1:
+        return F.lit(0).cast("long")
+    rows, nulls = tokens.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
+    base = max(1, round(wanted * nulls / rows))
+    quantiles = tokens.filter("id is not null").approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if nulls < rows else []
+    often = sorted(Counter(int(x) for x in quantiles).items())
+    edges, parts = np.array([e for e, _ in often], dtype=np.int64), np.array([n for _, n in often], dtype=np.int64)
+    first = base + 1 + np.cumsum(parts) - parts  # the first bucket of each edge
 
-    return bucket
+    @F.pandas_udf("long")
+    def bucket(ids: pd.Series, known: pd.Series, hashes: pd.Series) -> pd.Series:
+        key, spread = ids.to_numpy(), hashes.to_numpy()
+        at = np.searchsorted(edges, key, side="right") - 1
+        place = np.maximum(at, 0)
+        out = np.full(len(key), base, dtype=np.int64)
+        if len(edges):
+            out = np.where(at < 0, base, first[place] + np.where(edges[place] == key, spread % parts[place], parts[place] - 1))
+        return pd.Series(np.where(known.to_numpy(), out, spread % base))
+
+    return bucket(F.coalesce("id", F.lit(0)), F.col("id").isNotNull(), F.pmod(F.xxhash64("ids"), F.lit(1 << 40)))
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
