@@ -17,9 +17,13 @@ Jaccard similarity of the shingle sets and the probability Jaccard similarity of
 the weighted shingles must reach ``threshold``. At similarity 0.8 a pair shares
 no band with probability 3e-5. Groups are the connected components of the links.
 
-Defined results: texts without words are groups of their own; a row without id
-joins the group of its copies, and is alone if it has only near copies; repeated
-rows are copies; class_id is the smallest id of the group.
+What is linked are different word sequences, each under a number of its own (``node``);
+ids only name the groups at the end.
+
+Defined results: texts without words are groups of their own; rows without id belong
+to groups like any others; repeated rows are copies; class_id is the smallest id of
+the group, null if no row of it has one. If an id stands on rows of several groups, a
+group takes its smallest id that stands on rows of no other text, if it has one.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks
-from tessera.llm.scratch import BROADCAST_BYTES, broadcast_if_small, fits, python_batches, stored
+from tessera.llm.scratch import BROADCAST_BYTES, broadcast_if_small, fits, python_batches, release, stored
+from tessera.operators import resolve
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
@@ -137,7 +142,7 @@ def _signatures(bands: int, rows: int, size: int):
             wordless = np.diff(bounds) == 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * bands, pa.int32()), pa.array(band.reshape(-1).view(np.int64)))
             k = keys.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(k[:, 0], mask=wordless), pa.array(k[:, 1], mask=wordless), lists], ["id", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), pa.array(k[:, 0], mask=wordless), pa.array(k[:, 1], mask=wordless), lists], ["id", "sum", "k1", "k2", "bands"])
 
     return run
 
@@ -181,7 +186,17 @@ def _weights(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[part]), id_), pa.int64()), pa.array(h[part]), pa.array(w[part])], ["id", "shingle", "weight"])
 
 
-def across(left: DataFrame, docs: DataFrame, size: int, threshold: float, broadcast_bytes: int) -> DataFrame:
+def _texts_of(ids: DataFrame, docs: DataFrame, reps: DataFrame | None, broadcast_bytes: int) -> DataFrame:
+    """id, text of the stated nodes. ``reps`` says which row of ``docs`` shows a node (id, sum); without it
+    nodes are the ids of ``docs``."""
+    if reps is None:
+        return docs.join(broadcast_if_small(ids, 32, broadcast_bytes), "id", "left_semi").dropDuplicates(["id"])
+    rows = broadcast_if_small(reps.join(broadcast_if_small(ids.select(F.col("id").alias("node")), 32, broadcast_bytes), "node", "left_semi"), 64, broadcast_bytes)
+    met = docs.join(rows, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("sum") == F.col("rep_sum")))
+    return met.select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
+
+
+def across(left: DataFrame, docs: DataFrame, size: int, threshold: float, broadcast_bytes: int, reps: DataFrame | None = None) -> DataFrame:
     """pivot, other: all pairs of ``left`` (id, class_id) from different classes that can reach
     the threshold, by a prefix-filtered join.
 
@@ -203,8 +218,7 @@ def across(left: DataFrame, docs: DataFrame, size: int, threshold: float, broadc
     follows from this one. For classes a bit differs if all members of one have it and
     none of the other. The conditions stand in the join, so what cannot be alike makes no rows.
     """
-    ids = broadcast_if_small(left.select("id"), 16, broadcast_bytes)
-    sets = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, h binary, c binary")
+    sets = _texts_of(left.select("id"), docs, reps, broadcast_bytes).mapInArrow(_sets(size), "id long, h binary, c binary")
     tokens = stored(sets.mapInArrow(_weights, "id long, shingle long, weight double"), "shingles")
     ranked = tokens.join(tokens.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle")
     own = Window.partitionBy("id")
@@ -242,12 +256,11 @@ def across(left: DataFrame, docs: DataFrame, size: int, threshold: float, broadc
     return pairs.select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("other")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, broadcast_bytes: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, broadcast_bytes: int, reps: DataFrame | None = None) -> DataFrame:
     """The (pivot, other) pairs that reach the threshold, as a, b."""
     spark = pairs.sparkSession
     ids = pairs.select(F.col("pivot").alias("id")).union(pairs.select("other")).distinct()
-    ids = broadcast_if_small(stored(ids, "involved"), 16, broadcast_bytes)
-    sets = stored(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, h binary, c binary"), "sets")
+    sets = stored(_texts_of(stored(ids, "involved"), docs, reps, broadcast_bytes).mapInArrow(_sets(size), "id long, h binary, c binary"), "sets")
     part = F.pmod(F.xxhash64("other"), F.lit(64)).alias("part")
     others = pairs.select("pivot", part, "other").join(sets, F.col("other") == F.col("id")).select("pivot", "part", "other", "h", "c")
     pivots = pairs.select("pivot", part).distinct().join(sets, F.col("pivot") == F.col("id")).select("pivot", "part", F.lit(None).cast("long").alias("other"), "h", "c")
@@ -256,64 +269,86 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, bro
     return rows.select("pivot", "other", "h", "c").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
-    """id, class_id (the smallest id of its component) of every linked id."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), label)
-    now = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("class_id")), label)
-    while True:
-        near = both.join(now.select(F.col("id").alias("b"), F.col("class_id").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        next_ = now.join(near, "id").select("id", "class_id", F.least("class_id", "near").alias("least"))
-        jump = now.select(F.col("id").alias("least"), F.col("class_id").alias("jump"))
-        next_ = stored(next_.join(jump, "least").select("id", F.col("class_id").alias("was"), F.least("least", "jump").alias("class_id")), label)
-        now = next_.select("id", "class_id")
-        if next_.filter("was <> class_id").isEmpty():
-            return now
+def _sums(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, sum, text: a row's text is known by its hash, as an id may stand on several texts."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("sum"), text.alias("text"))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Per row: id, class_id, copies (rows with the same words), links (other texts it was verified with)."""
-    spark = docs.sparkSession
-    python_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = stored(docs.mapInArrow(_signatures(bands, rows, size), "id long, k1 long, k2 long, bands array<long>"), "signatures")
-    texts = sigs.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    texts = stored(texts, "texts")
-    buckets = texts.filter("rep is not null").select("rep", F.explode("bands").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("bucket", "pivot")
+def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int, size: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): id, sum, k1, k2 of every row of ``docs`` (id, sum, text), and for each different word
+    sequence k1, k2, copies, links, its group, and the first row of the group (first: none, id, sum)."""
+    python_batches(docs.sparkSession)
+    sigs = stored(docs.mapInArrow(_signatures(bands, rows, size), "id long, sum long, k1 long, k2 long, bands array<long>"), "signatures")
+    row = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "sum")
+    texts = sigs.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(row).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    texts = stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    reps = texts.select("node", F.when(~F.col("rep.none"), F.col("rep.id")).alias("rep_id"), F.col("rep.sum").alias("rep_sum"))
+    buckets = texts.select("node", F.explode("bands").alias("bucket"))
+    full = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("bucket", "pivot")
     full = stored(full, "buckets")
-    met = stored(buckets.join(broadcast_if_small(full, 24, broadcast_bytes), "bucket"), "members")
-    star = stored(met.filter("rep <> pivot").select("pivot", F.col("rep").alias("other")).distinct(), "star")
-    links = stored(verified(star, docs, size, threshold, broadcast_bytes), "links")
-    groups = components(links)
+    met = stored(buckets.join(broadcast_if_small(full, 48, broadcast_bytes), "bucket"), "members")
+    star = stored(met.filter("node <> pivot").select("pivot", F.col("node").alias("other")).distinct(), "star")
+    links = stored(verified(star, docs, size, threshold, broadcast_bytes, reps), "links")
+    groups = resolve.components(links)
     # members of a bucket that are still in different groups
-    placed = met.select("bucket", F.col("rep").alias("id")).join(groups, "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class_id"))
+    placed = met.select("bucket", F.col("node").alias("id")).join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class_id"))
     mixed = placed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo <> hi").select("bucket")
-    left = placed.join(broadcast_if_small(stored(mixed, "mixed"), 16, broadcast_bytes), "bucket", "left_semi").select("id", "class_id").distinct()
-    cross = stored(across(stored(left, "left"), docs, size, threshold, broadcast_bytes), "cross")
+    left = placed.join(broadcast_if_small(stored(mixed, "mixed"), 32, broadcast_bytes), "bucket", "left_semi").select("id", "class_id").distinct()
+    cross = stored(across(stored(left, "left"), docs, size, threshold, broadcast_bytes, reps), "cross")
     if not cross.isEmpty():
         cross = cross.join(star, ["pivot", "other"], "left_anti")
-        links = stored(links.unionByName(verified(cross, docs, size, threshold, broadcast_bytes)), "links")
-        groups = components(links)
-    degree = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count("*").alias("links"))
-    named = texts.select("k1", "k2", "rep", "copies").join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("k1", "k2", F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    out = sigs.select("id", "k1", "k2").join(named, ["k1", "k2"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
-    """One row of each group, that of the smallest id, with all its columns. Rows without id stay."""
-    classes = stored(near_duplicates(docs, id_col, text_col, broadcast_bytes=broadcast_bytes, **options).select(F.col(id_col).alias("dup_id"), F.col("class_id").alias("dup_class")), "classes")
-    gone = classes.filter("dup_id <> dup_class").select("dup_id").distinct()
-    again = classes.filter("dup_id = dup_class").groupBy("dup_id").count().filter("count > 1").select("dup_id")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    key = F.col("row").getField(id_col)
-    kept = rows.join(broadcast_if_small(gone, 16, broadcast_bytes), key == F.col("dup_id"), "left_anti")
-    again = stored(again, "again")
-    if not again.isEmpty():  # rows that repeat an id: one of them stays
-        again = F.broadcast(again) if fits(again, 16, broadcast_bytes) else again
-        once = kept.join(again, key == F.col("dup_id"), "left_semi").withColumn("dup_key", key).dropDuplicates(["dup_key"]).select("row")
-        kept = kept.join(again, key == F.col("dup_id"), "left_anti").unionByName(once)
+        links = stored(links.unionByName(verified(cross, docs, size, threshold, broadcast_bytes, reps)), "links")
+        groups = resolve.components(links)
+    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    named = texts.select("k1", "k2", "node", "rep", "copies").join(groups.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left")
+    named = stored(named.select("k1", "k2", F.coalesce("component", "node").alias("group"), "rep", "copies", F.coalesce("links", F.lit(0)).alias("links")), "named")
+    first = named.groupBy("group").agg(F.min("rep").alias("first"), F.count("*").alias("texts")).filter("texts > 1").select("group", "first")
+    named = named.join(broadcast_if_small(first, 80, broadcast_bytes), "group", "left").withColumn("first", F.coalesce("first", "rep"))
+    for old in (full, met, star, mixed):
+        release(old)
+    return sigs.drop("bands"), named.drop("rep")
+
+
+def _class_ids(rows: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Adds class_id to rows of id, k1, k2, group, first."""
+    smallest = F.when(~F.col("first.none"), F.col("first.id"))
+    several = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
+    several = stored(several.filter("lo <> hi").select(F.col("id").alias("several_id")), "several")
+    if several.isEmpty():
+        return rows.withColumn("class_id", F.when(F.col("k1").isNull(), F.col("id")).otherwise(smallest))
+    alone = rows.filter("k1 is not null").join(broadcast_if_small(several, 32, broadcast_bytes), F.col("id") == F.col("several_id"), "left_anti")
+    alone = alone.groupBy("group").agg(F.min("id").alias("alone"))
+    rows = rows.join(alone, "group", "left")
+    return rows.withColumn("class_id", F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.coalesce("alone", smallest)))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Per row: id, class_id, copies (rows with the same words), links (other texts it was verified with)."""
+    sigs, texts = _grouped(_sums(docs, id_col, text_col), threshold, bands, rows, size, broadcast_bytes)
+    out = _class_ids(sigs.join(texts, ["k1", "k2"], "left"), broadcast_bytes)
+    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """One row of each group, that of the smallest id (rows without id last), with all its columns; rows
+    without words stay. Repeats of the row that stays go too."""
+    sigs, texts = _grouped(_sums(docs, id_col, text_col), threshold, bands, rows, size, broadcast_bytes)
+    stays = F.col("id").isNull().eqNullSafe(F.col("first.none")) & (F.coalesce("id", F.lit(0)) == F.col("first.id")) & (F.col("sum") == F.col("first.sum"))
+    marked = sigs.filter("k1 is not null").join(texts.select("k1", "k2", "first"), ["k1", "k2"]).select(F.col("id").alias("dup_id"), F.col("sum").alias("dup_sum"), stays.alias("stays"))
+    marked = stored(marked, "marked")
+    gone = marked.filter("not stays").select("dup_id", "dup_sum").distinct()
+    again = stored(marked.filter("stays").groupBy("dup_id", "dup_sum").count().filter("count > 1").select("dup_id", "dup_sum"), "again")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key, total = F.col("row").getField(id_col).cast("long"), F.xxhash64(F.col("row").getField(text_col))
+    same = key.eqNullSafe(F.col("dup_id")) & (total == F.col("dup_sum"))
+    kept = packed.join(broadcast_if_small(gone, 64, broadcast_bytes), same, "left_anti")
+    if not again.isEmpty():  # rows repeated whole: one of them stays
+        again = F.broadcast(again) if fits(again, 64, broadcast_bytes) else again
+        once = kept.join(again, same, "left_semi").withColumn("dup_key", key).withColumn("dup_total", total).dropDuplicates(["dup_key", "dup_total"]).select("row")
+        kept = kept.join(again, same, "left_anti").unionByName(once)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

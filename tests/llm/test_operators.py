@@ -144,10 +144,64 @@ def brute_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_chunks_are_encoded_as_the_library_does_for_every_letter():
+    encoder = token_store.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x20000) if chr(c).isalpha()]
+    assert encoder.direct
+    for form in ("{0}", "a{0}b,", "{0}{0}."):
+        words = [form.format(c) for c in letters]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder(words)] == [x[:-1] for x in brute_ids(words)]
+
+
+def brute_limited_cost(counts, limit):
+    """The least cost of code lengths of at most ``limit`` bits, tried level by level from the root: of the nodes
+    on a level some become leaves (the commonest symbols left), the others have two children."""
+    from functools import cache
+
+    c = sorted(counts, reverse=True)
+    tail = [sum(c[i:]) for i in range(len(c) + 1)]
+
+    @cache
+    def least(done, nodes, depth):
+        if done == len(c):
+            return 0
+        if depth > limit or not nodes:
+            return math.inf
+        return min(least(done + leaves, min(2 * (nodes - leaves), 2 * len(c)), depth + 1) + (tail[done + leaves] if done + leaves < len(c) else 0) for leaves in range(min(nodes, len(c) - done) + 1))
+
+    return least(0, 2, 1) + tail[0]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 500), min_size=2, max_size=14))
+def test_limited_code_lengths_are_optimal(counts):
+    for limit in (4, 5):
+        lengths = token_store.code_lengths(np.array(counts), limit)
+        assert int((np.array(counts) * lengths).sum()) == brute_limited_cost(counts, limit)
+
+
+def test_token_store_deals_a_common_id_over_files(spark):
+    rows = [(7, f"word{k} and more words here", "s") for k in range(300)] + [(k, "one", "s") for k in (1, 9, 20)] + [(None, f"no id {k}", "s") for k in range(100)]
+    folder = token_store.write_tokens(docs(spark, rows), public_tokenizers.path("word_bpe_49k.json"), tokens_per_file=200, block=64)
+    got = token_store.read_tokens(spark, folder).orderBy("start").collect()
+    assert [x.doc_id for x in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k))
+    assert sorted((x.doc_id or 0, x.ids) for x in got) == sorted((r[0] or 0, i) for r, i in zip(rows, brute_ids([r[1] for r in rows]), strict=True))
+    assert [x.start for x in got] == list(itertools.accumulate([0] + [len(x.ids) for x in got]))[:-1]
+
+
+def test_empty_tables_are_written_and_read(spark):
+    d = docs(spark, [])
+    assert token_store.read_digest(spark, token_store.write_tokens(d, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive_digest(spark, warc.write_archives(pages)).count() == 0
+    assert html_extract.extract_text(pages).count() == 0
+    assert bpe.encode_digest(d, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert toxicity.score_documents(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))).count() == 0
+
+
 @pytest.mark.parametrize("per_file", [500, 1 << 22])
 def test_token_store(spark, per_file):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()
@@ -396,6 +450,18 @@ def test_near_duplicates(spark, limit):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_near_duplicates_of_an_id_on_several_texts(spark, limit):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, "s"), (1, b, "s"), (2, a, "s"), (3, b, "s"), (4, c, "s"), (4, None, "s"), (4, c, "s"), (None, c + " more", "s"), (None, "x y z", "s"), (None, "x y z", "s")]
+    got = near_dup.near_duplicates(docs(spark, rows), broadcast_bytes=limit).collect()
+    assert sorted(((x.doc_id, x.class_id, x.copies, x.links) for x in got), key=repr) == sorted(
+        [(1, 2, 2, 0), (2, 2, 2, 0), (1, 3, 2, 0), (3, 3, 2, 0), (4, 4, 2, 1), (4, 4, 2, 1), (4, 4, 1, 0), (None, 4, 1, 1), (None, None, 2, 0), (None, None, 2, 0)], key=repr
+    )
+    kept = near_dup.drop_near_duplicates(docs(spark, rows), broadcast_bytes=limit).collect()
+    assert sorted(((x.doc_id, x.text) for x in kept), key=repr) == sorted([(1, a), (1, b), (4, c), (4, None), (None, "x y z")], key=repr)
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_across_finds_every_link_between_classes(spark, limit):
     """The prefix-filtered join gives a superset of the links between classes, and few other pairs."""
