@@ -522,6 +522,57 @@ def test_sharding(spark):
     assert sharding.shard_report(docs(spark, [])).count() == 0
 
 
+def brute_tree(points, shards, first, spans):
+    """The k-d tree over (id, size, positions) with sorted lists; no group is placed by itself."""
+    if shards == 1 or not points:
+        return {p[0]: first for p in points}
+    width = [(max(p[2][d] for p in points) - min(p[2][d] for p in points)) / spans[d] for d in range(3)]
+    d, half = width.index(max(width)), shards // 2
+    target, groups = sum(p[1] for p in points) * half / shards, {}
+    for p in points:
+        groups[p[2][d]] = groups.get(p[2][d], 0) + p[1]
+    before, cut = 0, None
+    for at in sorted(groups):
+        if before + groups[at] >= target:
+            cut = (at, before + groups[at] - target <= target - before)
+            break
+        before += groups[at]
+    left = [p for p in points if p[2][d] < cut[0] or (p[2][d] == cut[0] and cut[1])]
+    chosen = {p[0] for p in left}
+    return brute_tree(left, half, first, spans) | brute_tree([p for p in points if p[0] not in chosen], shards - half, first + half, spans)
+
+
+@pytest.mark.parametrize("shards", [2, 7, 24])
+def test_sharding_cuts_at_the_medians_of_sorted_lists(spark, shards):
+    r = random.Random(12)
+    rows = [(k, r.choice(["é", "b"]) * r.randint(0, 200) + " " * r.randint(0, 30), "s") for k in range(1500)]
+    points = sharding._points(docs(spark, rows), "doc_id", "text")
+    known = [(p.id, p.size, [p[d] for d in sharding.DIMENSIONS]) for p in points.collect()]
+    spans = [max(p[2][d] for p in known) - min(p[2][d] for p in known) for d in range(3)]
+    tree = sharding.plan(points, shards, tolerance=1e9)
+    assert {x.id: x.shard for x in tree.assigned(points, "shard").collect()} == brute_tree(known, shards, 0, spans)
+
+
+def test_groups_of_equal_texts_stay_together(spark):
+    """Forty groups of ten, twelve of a third of a shard, one of three fifths, and one that is larger than a shard."""
+    r = random.Random(13)
+    rows = [(k, "w " * r.randint(0, 300) + str(k), "s") for k in range(4000)]
+    mean = sum(len(t) + 8 for _, t, _ in rows) / 20
+    sizes = [*[10] * 40, *[int(mean / 3 / 408)] * 12, int(mean * 0.6 / 408), int(mean * 2.5 / 408)]
+    copies = [(g, k) for g, n in enumerate(sizes) for k in range(n)]
+    rows += [(10_000 + i, f"group {g:02d} " + "x" * 391, "s") for i, (g, _) in enumerate(copies)]
+    got = {x.doc_id: x for x in sharding.shard_report(docs(spark, rows)).collect()}
+    held = {}
+    for i, (g, _) in enumerate(copies):
+        held.setdefault(g, set()).add(got[10_000 + i].shard)
+    assert all(len(held[g]) == 1 for g in range(len(sizes) - 1)) and len(held[len(sizes) - 1]) > 1
+    total = {}
+    for x in got.values():
+        total[x.shard] = total.get(x.shard, 0) + x.size
+    mean = sum(total.values()) / 24
+    assert len(total) == 24 and max(abs(v - mean) for v in total.values()) < 0.02 * mean
+
+
 def test_shards_are_written(spark, tmp_path):
     d = docs(spark, [(k, "y" * k, "s") for k in range(200)])
     sharding.write_shards(d, str(tmp_path / "out"), shards=4)
