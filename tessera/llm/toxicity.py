@@ -6,13 +6,16 @@ the bytes that the toxic dictionary saves over the ordinary one are its gain. A
 logistic model, fitted on rows that trained no dictionary, turns the gains of a
 document's windows into thresholds and a score.
 
-The toxic text is what the G-test of word beginnings (4 to 6 characters, and
-whole words) over different texts finds far commoner in toxic than in ordinary
-documents. Each window stands between two fixed strings: zstandard starts no
+The ordinary dictionary is trained on all words of the ordinary rows. The toxic text
+is not whole documents, as those are ordinary but for a few words, and dictionaries of
+whole texts tell the classes apart badly (figures in the README). It is what the
+G-test of word beginnings (4 to 6 characters, and whole words) over different texts
+finds far commoner in toxic than in ordinary documents: the method as dealt is
+changed here, and the compression compares words with what was found. Each window stands between two fixed strings: zstandard starts no
 match in its last 8 bytes, and gives up on windows that shrink too little.
 
 The fit takes at most ``max_toxic`` and ``max_ordinary`` labelled rows, those of
-the smallest hash; every document is scored over its whole text.
+the smallest hash, and collects their texts to the driver; every document is scored over its whole text.
 
 Defined results: null or empty texts score as a text without windows; without
 rows of both classes to learn from every score is 0; repeated rows score alike;
@@ -163,9 +166,9 @@ def fit_texts(toxic: list[str], ordinary: list[str], share: float | None = None,
     plain = []
     for t in ordinary[:cut_o]:
         words = _words(t)
-        plain += [f" {' '.join(words[i : i + 10])} ".encode() for i in range(0, len(words), 40)]
+        plain += [f" {' '.join(words[i : i + 10])} ".encode() for i in range(0, len(words), 10)]
     random.Random(7).shuffle(plain)
-    dicts = _dictionary(TOXIC_BYTES, samples), _dictionary(ORDINARY_BYTES, plain[:40_000] or [b" "])
+    dicts = _dictionary(TOXIC_BYTES, samples), _dictionary(ORDINARY_BYTES, plain or [b" "])
     gains = Gains(*dicts)
     rows = [(t, 1.0) for t in toxic[cut_t:]] + [(t, 0.0) for t in ordinary[cut_o:]]
     x, y = [], np.array([label for _, label in rows])
