@@ -51,7 +51,9 @@ def prefix_windows(wins: DataFrame, docs: DataFrame, text_col: str, broadcast_by
     spread = with_words(docs.select(F.col(text_col).alias("text")), F.col("text")).select(F.explode_outer("words").alias("token"))
     if fits(vocabulary, F.length("token") * 4 + 32, broadcast_bytes):
         spread = spread.join(F.broadcast(vocabulary), "token", "left_semi")
-    counts = spread.groupBy("token").agg(F.count("*").alias("n"))
+    counts = stored(spread.groupBy("token").agg(F.count("*").alias("n")), "counts")
+    if fits(counts, F.length("token") * 4 + 64, broadcast_bytes):  # a word of very many windows stays where it is
+        counts = F.broadcast(counts)
     ranked = tokens.join(counts, "token")  # a word that no document has leaves no candidates
     least = ranked.groupBy("win_id").agg(F.min(F.struct("n", "token", "off")).alias("rare"), F.count("*").alias("known"))
     least = least.join(wins, "win_id").filter(F.col("known") == F.size("win"))
