@@ -391,6 +391,34 @@ def test_ann(spark, hashes, block):
     assert hit / total >= 0.9 and {g.query_id for g in got} == set(range(0, 1500, 50))
 
 
+def test_ann_query_recall_on_the_test_data(spark):
+    """The query's own rows against all pairs."""
+    sf = "/root/testdata/sf0.1"
+    got = {}
+    for g in queries.op8_ann(spark, sf).collect():
+        got.setdefault(g.query_id, set()).add(g.vec_id)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 50 == 0)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -9
+    hit = sum(len(got[int(ids[q])] & set(ids[np.argsort(-row)[:5]].tolist())) for q, row in zip(asked, s, strict=True))
+    assert hit / (5 * len(asked)) >= 0.9
+
+
+def test_ann_short_queries_meet_all_rows(spark):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(k, [float(y) for y in rng.normal(size=16)]) for k in range(300)], "vec_id long, embedding array<float>")
+    got = ann.search(v, F.col("id") % 50 == 0, k=200, tables=1, probes=1, block=40).collect()
+    x = np.array([r.embedding for r in v.orderBy("vec_id").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        s = np.round(x @ x[q], 12)
+        s[q] = -9
+        assert [g.vec_id for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == sorted(range(300), key=lambda i: (-s[i], i))[:200]
+
+
 def test_ann_few_rows(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [-1.0, 0.1])], "vec_id long, embedding array<float>")
     got = sorted((x.query_id, x.rank, x.vec_id) for x in ann.search(v, F.col("id") % 50 == 0).collect())
