@@ -60,15 +60,16 @@ QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_store
 
 ORACLES = {
     "op1_line_dedup": """
-        WITH cut AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents),
-        seen AS (SELECT source, unnest(list_distinct(list_transform(list_filter(ls, lambda x: trim(x) <> ''), lambda x: trim(x)))) AS line FROM cut),
-        held AS (SELECT source, line, count(*) AS holding FROM seen GROUP BY ALL),
-        total AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL HAVING count(*) >= 10),
+        WITH cut AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents), ws AS (SELECT ' ' || chr(9) || chr(11) || chr(12) || chr(13) AS ws),
+        texts AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+        seen AS (SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ws)), lambda x: x <> ''))) AS line FROM texts, ws),
+        held AS (SELECT source, line, count(*) AS holding FROM seen GROUP BY ALL HAVING count(*) >= 5),
+        total AS (SELECT source, count(*) AS pages FROM texts GROUP BY ALL),
         hot AS (SELECT h.source, list(h.line) AS hot FROM held h JOIN total t ON h.source IS NOT DISTINCT FROM t.source
                 WHERE h.holding > CAST(0.1 AS DOUBLE) * t.pages GROUP BY h.source),
         kept AS (SELECT c.doc_id, c.text, c.ls, CASE WHEN h.hot IS NULL THEN c.ls
-                   ELSE list_filter(c.ls, lambda x: trim(x) = '' OR NOT list_contains(h.hot, trim(x))) END AS ks
-                 FROM cut c LEFT JOIN hot h ON c.source IS NOT DISTINCT FROM h.source)
+                   ELSE list_filter(c.ls, lambda x: trim(x, ws) = '' OR NOT list_contains(h.hot, trim(x, ws))) END AS ks
+                 FROM cut c CROSS JOIN ws LEFT JOIN hot h ON c.source IS NOT DISTINCT FROM h.source)
         SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(ks) = len(ls) THEN text ELSE coalesce(array_to_string(ks, chr(10)), '') END AS text,
                CASE WHEN text IS NULL THEN 0 ELSE CAST(len(ls) AS BIGINT) END AS n_lines,
                CASE WHEN text IS NULL THEN 0 ELSE CAST(len(ls) - len(ks) AS BIGINT) END AS n_removed

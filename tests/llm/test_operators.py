@@ -32,15 +32,15 @@ ODD = [(1, None, "a"), (2, "", "a"), (3, "one", None), (3, "one", None), (None,
 
 
 def brute_lines(rows, ratio, least):
-    pages, held = {}, {}
-    for _, t, s in rows:
+    bare, pages, held = (lambda x: x.strip(" \t\r\v\f")), {}, {}
+    for t, s in {(t, s) for _, t, s in rows if t is not None}:
         pages[s] = pages.get(s, 0) + 1
-        for line in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
-            held[s, line] = held.get((s, line), 0) + (t is not None)
+        for line in {bare(x) for x in t.split("\n")} - {""}:
+            held[s, line] = held.get((s, line), 0) + 1
     out = []
     for i, t, s in rows:
         ls = [] if t is None else t.split("\n")
-        ks = [x for x in ls if not (x.strip(" ") and pages[s] >= least and held[s, x.strip(" ")] > ratio * pages[s])]
+        ks = [x for x in ls if not (bare(x) and held[s, bare(x)] >= least and held[s, bare(x)] > ratio * pages[s])]
         out.append((i, t if len(ks) == len(ls) else "\n".join(ks), len(ls), len(ls) - len(ks)))
     return sorted(out, key=repr)
 
@@ -48,10 +48,10 @@ def brute_lines(rows, ratio, least):
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_line_dedup(spark, limit):
     r = random.Random(1)
-    lines = ["menu", " menu", "", "footer", *(f"line {k}" for k in range(40))]
-    rows = [(k, "\n".join(r.choices(lines, [9, 3, 5, 6] + [1] * 40, k=6)), r.choice(["a", "a", "b", None])) for k in range(80)] + ODD
+    lines = ["menu", " menu", "menu\r", "", "footer", *(f"line {k}" for k in range(40))]
+    rows = [(k, "\n".join(r.choices(lines, [9, 3, 3, 5, 6] + [1] * 40, k=6)), r.choice(["a", "a", "b", None])) for k in range(80)] + ODD
     got = line_dedup.boilerplate_report(docs(spark, rows), broadcast_bytes=limit).collect()
-    assert sorted(map(tuple, got), key=repr) == brute_lines(rows, 0.1, 10)
+    assert sorted(map(tuple, got), key=repr) == brute_lines(rows, 0.1, 5) and any(x.n_removed for x in got)
     out = line_dedup.drop_boilerplate(docs(spark, rows))
     assert out.columns == docs(spark, []).columns and out.count() == len(rows)
     assert line_dedup.boilerplate_report(docs(spark, [])).count() == 0
@@ -615,5 +615,23 @@ def test_written_shards_keep_a_column_named_shard(spark, tmp_path):
     assert all(x.shard == f"own{x.doc_id}" for x in back) and {x.shard_ for x in back} == {0, 1}
 
 
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "pages", "benchmark"):
+        con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_with_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLES[name])
+    columns = sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(got.columns) == columns and sorted(repr([r[c] for c in columns]) for r in got.collect()) == sorted(repr([r[i] for i in at]) for r in want.fetchall())
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
