@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,6 +206,7 @@ class ChunkEncoder:
         self.tails = {"": b"", **{t: self._whole([t])[0] for t in ",."}}
         probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ŸĐǄ", "ſƿ"]
         self.direct = [self._word(c) for c in probe] == self._whole(probe)  # else everything goes through the tokenizer
+        self.breaks_as_spaces = len(set(self._whole(["a. B", "a.\nB", "a.\n\nB", "a. \n B"]))) == 1  # line feeds are white space like any other
 
     def _whole(self, chunk_list: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunk_list, add_special_tokens=False)]
@@ -244,7 +246,8 @@ def _tokenize(path: str, end_id: int, kind: str):
         known = chunks.Recent(400_000)
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in chunks.runs(b.column("text"))):
-            bounds, codes, different = chunks.cut(batch.column("text"))
+            text = batch.column("text")
+            bounds, codes, different = chunks.cut(pc.replace_substring(text, "\n", " ") if encoder.breaks_as_spaces else text)
             found = [known.get(c) for c in different]
             new = [i for i, f in enumerate(found) if f is None]
             for i, ids in zip(new, encoder([different[i] for i in new]), strict=True):
