@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import posixpath
 import tempfile
 import uuid
@@ -69,20 +70,72 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(a))
 
 
-def nearest_within(probe: DataFrame, build: DataFrame, metres: float, cell: float = 0.01) -> DataFrame:
-    """For each probe row its nearest build row within ``metres``: an equi-join on grid cells and
-    their neighbours. Both sides have id, lat, lng; ties go to the smaller id."""
+def _near(probe: DataFrame, build: DataFrame, metres: float, max_lat: float) -> DataFrame:
+    """probe_id, build_id, d: all pairs within ``metres``: an equi-join on grid cells and their neighbours.
+    A cell is as wide as ``metres`` at ``max_lat``, so that the nine hold little more than the circle."""
+    cell = metres / (111_000 * math.cos(math.radians(max_lat)))
     at = lambda c: F.floor(F.col(c) / cell)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     p = probe.select(F.col("id").alias("probe_id"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), at("lat").alias("ci"), at("lng").alias("cj"), F.inline(around))
     p = p.select("probe_id", "plat", "plng", (F.col("ci") + F.col("i")).alias("ci"), (F.col("cj") + F.col("j")).alias("cj"))
     b = build.select(F.col("id").alias("build_id"), "lat", "lng", at("lat").alias("ci"), at("lng").alias("cj"))
     d = haversine_m(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng"))
-    met = p.join(b, ["ci", "cj"]).withColumn("d", d).filter((F.col("d") <= metres) & (F.col("probe_id") != F.col("build_id")))
+    return p.join(b, ["ci", "cj"]).withColumn("d", d).filter((F.col("d") <= metres) & (F.col("probe_id") != F.col("build_id"))).select("probe_id", "build_id", "d")
+
+
+def nearest_within(probe: DataFrame, build: DataFrame, metres: float, max_lat: float = 60.0) -> DataFrame:
+    """For each probe row its nearest build row within ``metres``, and how many others there are. Both sides
+    have id, lat, lng, up to ``max_lat`` degrees north or south; ties go to the smaller id."""
+    met = _near(probe, build, metres, max_lat)
     best = met.groupBy("probe_id").agg(F.min_by("build_id", F.struct("d", "build_id")).alias("build_id"), F.min("d").alias("d"), (F.count("*") - 1).alias("alternatives"))
     return best.select("probe_id", "build_id", F.round("d", 3).alias("metres"), "alternatives")
 
 
+def spatial_clusters(points: DataFrame, metres: float, max_lat: float = 60.0) -> DataFrame:
+    """id, component: points (id, lat, lng) linked by steps of at most ``metres``; lone points are left out."""
+    met = _near(points, points, metres, max_lat)
+    return components(met.filter("probe_id < build_id").select(F.col("probe_id").alias("a"), F.col("build_id").alias("b")))
+
+
+def ring_centroid(ring: Column) -> Column:
+    """Mean of the vertices of a ring of (x, y), the closing one left out."""
+    closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
+    open_ring = F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    mean = lambda name: F.aggregate(open_ring, F.lit(0.0), lambda s, v: s + v[name]) / F.size(open_ring)
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+
+def _edges(ring: Column) -> Column:
+    """Each vertex with the next; the last goes back to the first."""
+    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(ring, after, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+
+
+def ring_area_m2(ring: Column) -> Column:
+    """Area of a ring of (longitude, latitude) by the shoelace formula on a local plane, in square metres."""
+    lat = F.aggregate(ring, F.lit(0.0), lambda s, v: s + v["y"]) / F.size(ring)
+    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])
+    return F.round(F.abs(twice) / 2 * 111_320.0 * 111_320.0 * F.cos(F.radians(lat)), 1)
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring that is a column, by crossings."""
+    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+
+
+def containing(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """id, polygon_id: points (id, lat, lng) and the polygons (polygon_id, ring of x, y) that hold them. A polygon
+    stands in every cell of its bounding box, so points meet the polygons of their own cell only."""
+    at = lambda c: F.floor(c / cell)
+    values = lambda name: F.transform("ring", lambda v: v[name])
+    ends = {f"{n}{d}": at(f(values(d))) for d in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))}
+    boxes = polygons.select("polygon_id", "ring", *[c.alias(n) for n, c in ends.items()])
+    boxes = boxes.withColumn("ci", F.explode(F.sequence("lox", "hix"))).withColumn("cj", F.explode(F.sequence("loy", "hiy")))
+    met = points.select("id", "lat", "lng", at(F.col("lng")).alias("ci"), at(F.col("lat")).alias("cj")).join(boxes, ["ci", "cj"])
+    return met.filter(in_ring(F.col("lng"), F.col("lat"), F.col("ring"))).select("id", "polygon_id")
+
+
 def in_polygon(lng: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:
     """Whether a point lies in a closed ring, by crossings; the ring is a constant."""
     crossings = F.lit(0)

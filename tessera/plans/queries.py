@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import addresses as A
 from tessera.functions import text as T
 from tessera.operators import marts as M
 from tessera.operators import resolve as R
+from tessera.plans import records, views
 from tessera.plans.transactions import TX_SQL, transactions
 from tessera.sources.tables import table
 from tessera.streaming import events as E
@@ -127,11 +129,11 @@ ALL = {
     ),
     "normalize_names": (
         lambda s, d: table(s, d, "supplier").select("s_suppkey", T.normalize_name(F.concat(F.lit("  "), "s_name", F.lit("  Inc. , "))).alias("name"), T.is_company(F.col("s_name")).alias("company")),
-        r"SELECT s_suppkey, regexp_replace(trim(regexp_replace(upper('  ' || s_name || '  Inc. , '), '\s+', ' ', 'g')), '[.,;:]+$', '') AS name, (trim(s_name) = '' OR regexp_matches(upper(s_name), '\b(INC|LTD|LIMITED|CORP|CORPORATION|COMPANY|HOLDINGS|TRUST|GROUP)\b') OR regexp_matches(s_name, '\d') OR len(regexp_split_to_array(trim(s_name), '\s+')) NOT IN (2, 3)) AS company FROM supplier",
+        rf"SELECT s_suppkey, regexp_replace(trim(regexp_replace(upper('  ' || s_name || '  Inc. , '), '\s+', ' ', 'g')), '[.,;:]+$', '') AS name, {records._sql_company("s_name")} AS company FROM supplier",
     ),
     "dedup_keys": (
-        lambda s, d: table(s, d, "part").groupBy(T.dedup_key(F.col("p_name"), F.col("p_brand")).alias("key")).agg(F.min("p_partkey").alias("pid"), F.count("*").alias("n")),
-        r"SELECT trim(regexp_replace(regexp_replace(upper(p_name), '\.', '', 'g'), '\s+', ' ', 'g')) || '|' || trim(regexp_replace(regexp_replace(upper(p_brand), '\.', '', 'g'), '\s+', ' ', 'g')) AS key, min(p_partkey) AS pid, count(*) AS n FROM part GROUP BY 1",
+        lambda s, d: table(s, d, "part").groupBy(A.dedup_key(F.col("p_name"), F.col("p_brand")).alias("key")).agg(F.min("p_partkey").alias("pid"), F.count("*").alias("n")),
+        f"SELECT {records._sql_address('p_name')} || '|' || {records._sql_city('p_brand')} AS key, min(p_partkey) AS pid, count(*) AS n FROM part GROUP BY 1",
     ),
     "extract_phones": (
         lambda s, d: table(s, d, "documents").select("doc_id", F.explode(T.phones_in(F.col("text"))).alias("phone")).select("doc_id", "phone", T.normalize_phone(F.col("phone")).alias("digits")),
@@ -244,5 +246,6 @@ ALL = {
     ),
 }
 
+ALL |= records.ALL | views.ALL
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in ALL.items() if sql is not None}

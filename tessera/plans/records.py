@@ -1,0 +1,348 @@
+"""Queries over stated records, of forms that the test tables lack, and over points; with their SQL.
+
+The records stand once, in ``ROWS``; Spark makes a table of them, DuckDB reads them as VALUES.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import addresses as A
+from tessera.functions import text as T
+from tessera.operators import checks as C
+from tessera.operators import parties as P
+from tessera.operators import resolve as R
+from tessera.sources.tables import table
+
+ADDRESSES = [
+    ("92, 102 & 112 COMMERCE PARK DR", "Barrie"), ("138 - 142 COMMERCE PARK DR", "barrie "), ("9 - 15 & 21 DUNDURN ST N", "Hamilton"), ("230 - 238, 244 BLOOR ST W", "Toronto"), ("316, 328 - 330 ST CLAIR ST", "Etobicoke"),
+    ("HIGHWAY 6 & 21", "Chatham"), ("(74 - 76 YORK ST)", "York"), ("B03-70 King William St", "Stoney  Creek"), ("100 Ave.North", "N. Bay"), ("975 WALLACE AVE", "Listowel"), ("975 WALLACE AVE N", "Listowel"), ("975 Wallace Ave. S", "listowel"),
+    ("12-70 King St", "S.S. Marie"), ("21 & 111 Hwy 7 E", "Ajax"), ("PO BOX 12", "Ajax"), ("P.O. Box 9, Main St", "Ajax"), ("General Delivery", "Elora"), ("PT LOT 7 CONC 2", "Fergus"), ("190 BALSAM LOT ST", "Fergus"), ("LOT 3, PLAN 44", "Acton"),
+    ("4, 8, 16 MAIN ST N", "Nepean"), ("618 - 620A BLOOR ST W", "Toronto"), ("7 - 7 OAK CRES", "Maple"), ("  10   Ste Catherine  Rd. ", "Orléans"), ("Main St", ""), ("", "Ajax"), ("18 York St, Ste 1500, Toronto, Ontario", "Toronto"), ("12 ST JOHN PL SW", "Paris"),
+]
+NAMES = [
+    ("Acme Properties Inc.", "Acme"), ("ACME  PROPERTIES INC", "Acme Properties"), ("1195117 Ontario Ltd", "1195117 Ontario"), ("1195117 Ontario Ltd Holdings", "Beta Realty"), ("8809143 Canada Inc", "Tower 5 Place"), ("Ann Smith", "BARRISTER"), ("Ann Mary Smith", "Smith LLP"),
+    ("Foo Bank", "Foo"), ("Prince", "In Trust"), ("Canadian Tire Real Estate Limited", "CT REIT"), ("The Bank of Nova Scotia", "Scotia"), ("First Capital (Leaside) Corporation", "FCR"), ("Loblaw Properties Limited 12", "Loblaw"), ("123 Main Holdings Inc", "Main"),
+    ("Real Estate Holdings Ltd", "TD Centre"), ("Van der Berg Family", "Avocats Roy"), ("Starbucks Coffee Canada, Inc.", "Starbucks Coffee"), ("", ""), ("O'Neil Co-op", "ESTATE OF"), ("Jane Doe 3", "Suite 12 King"),
+]
+PRINTED = ["05 Jan 2024", "5 January 2024", "2024-01-05", "01/05/2024", "5th Jan 2024", "31 Feb 2024", " 12 DEC 1999 ", "", "soon", "$2,090,000", "n/a", "1,000 CAD"]
+
+
+def _appearances() -> list[tuple]:
+    """Appearances on both sides of every limit."""
+    rows: list[tuple] = []
+
+    def add(name: str, phones: list[str] | None = None, contact: str = "", address: str = "", company: bool = True) -> None:
+        rows.append((len(rows) + 1, name, phones or [], contact, address, company))
+
+    for k in range(14):  # a phone of 14 names
+        add(f"Fourteen{k} Person", ["(416) 555-0014"], company=False)
+    for k in range(15):  # and one of 15, which needs a contact
+        add(f"Fifteen{k} Person", ["416-555-0015"], "Kim  Lee" if k % 3 == 0 else "", company=False)
+    for k in range(7):  # a brand of seven names
+        add(f"Sevenco {'I' * (k + 1)}x Holdings Inc")
+    rows[-7:] = [(i, f"Sevenco {'Group ' * k}Holdings Inc", *rest) for k, (i, _, *rest) in enumerate(rows[-7:])]
+    for k in range(8):  # and one of eight
+        add(f"Eightco {'Group ' * k}Holdings Inc")
+    for k in range(4):  # an address of four names
+        add(f"Fourad{'abcd'[k]} Inc", address="44 Common Rd", company=True)
+    for k in range(5):  # and one of five
+        add(f"Fivead{'abcde'[k]} Inc", address="55 Common Road", company=True)
+    add("Gamma Industries Ltd.")
+    add("gamma  industries LTD")
+    add("Gammacorp West Properties")
+    add("Gammacorp Realty")
+    add("Gammacorp West Nine Inc")
+    add("1195117 Ontario Ltd", contact="Bo Ek")
+    add("1195117 Ontario Ltd.", contact=" bo ek")
+    add("1195117 Ontario Ltd", contact="Cy Ode")
+    add("1195117 Ontario Ltd")
+    add("Short Phone", ["12345"], company=False)
+    add("Shorter Phone", ["123-45"], company=False)
+    add("Tiny Place Inc", address="9 Elm St")
+    add("Tinier Place Inc", address="9 Elm St")
+    add("Zed Smith", ["4165550099", "(416) 555-0014"], company=False)
+    add("Zed Smith", ["416 555 0100"], company=False)
+    add("Yan Q", ["416.555.0100"], company=False)
+    return rows
+
+
+APPEARANCES = _appearances()
+KNOWN = [("GAMMA INDUSTRIES LTD", "G00007"), ("FOURADA INC", "G00003"), ("SEVENCO HOLDINGS INC", "G00003"), ("NOBODY", "G00041")]
+
+
+def _page(address="12 Main St<br/>Unit 2", city="<br/>Ajax : Durham", line="<br/>05 Jan 2024 $1,200", tail="1 / 9 RT12345", sections=("Transferor(s)", "Transferee(s)", "Site", "Assessment Roll Number", "Description", "Broker/Agent", "Street photos")) -> str:
+    strong = "" if address is None else f'<strong id="address">{address}</strong>'
+    return f'<html><body><div id="headerNav">x</div>{strong}{city}{line}<p/>' + "".join(f'<p/><font color="#848484">{s}</font><br/>text' for s in sections) + f'<font color="#848484">{tail}</font></body></html>'
+
+
+PAGES = [
+    _page(), _page(address=None), _page(address=" "), _page(address="Main St"), _page(city=""), _page(line="<br/>05 Jan 2024"), _page(line="<br/>$5"), _page(line="", city=""), _page(tail="1 / 9"),
+    *[_page(sections=[s for s in ("Transferor(s)", "Transferee(s)", "Site", "Assessment Roll Number", "Description", "Broker/Agent", "Street photos") if s != gone]) for gone in ("Transferor(s)", "Transferee(s)", "Site", "Assessment Roll Number", "Description", "Broker/Agent", "Street photos")],
+    "", "<p>nothing</p>",
+]
+
+
+def _record(**changes) -> str:
+    flat = {"transaction.address.address": "1 A St", "transaction.address.city": "Ajax", "transaction.sale_price": "$5", "transaction.sale_date": "05 Jan 2024", "transferor.name": "S", "transferor.phone": "1", "transferor.address": "a", "transferee.name": "B", "transferee.phone": "2", "transferee.address": "b", "facts.pins": ["1", "2"], "skip": False, "stamp": "t0"}
+    out: dict = {}
+    for k, v in (flat | {k.replace("__", "."): v for k, v in changes.items()}).items():
+        at = out
+        for part in k.split(".")[:-1]:
+            at = at.setdefault(part, {})
+        if v is not None:
+            at[k.split(".")[-1]] = v
+    return json.dumps(out)
+
+
+ACTIVE = [(k, _record()) for k in range(1, 9)]
+SANDBOX = [
+    (1, _record()), (2, _record(stamp="t1")), (3, _record(transaction__sale_price="$6")), (4, _record(facts__pins=["2", "1"], transferor__phone={"a": 1})), (5, _record(transferee__name=None)), (6, _record(skip=True, transaction__address__city=" ")),
+    (7, _record(transaction__address={"address": "", "city": "Ajax"}, transferor__address={"x": 1})), (9, _record()), (10, _record(transferee__phone={}, transferee__address={"y": 2}, transaction__sale_date="", transferor__name="")),
+]
+RINGS = [(1, [(-79.52, 43.58), (-79.48, 43.58), (-79.48, 43.62), (-79.50, 43.60), (-79.52, 43.62), (-79.52, 43.58)]), (2, [(-79.50, 43.60), (-79.44, 43.60), (-79.44, 43.66), (-79.50, 43.66), (-79.50, 43.60)]), (3, [(-79.60, 43.50), (-79.55, 43.50), (-79.575, 43.56), (-79.60, 43.50)])]
+DISTANCE = 150.0
+
+
+def _quoted(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, list):
+        return "[" + ", ".join(map(_quoted, v)) + "]::VARCHAR[]"
+    if isinstance(v, int) and not isinstance(v, bool):
+        return f"{v}::BIGINT"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows) + ")"
+
+
+def _frame(s, schema: str, rows: list[tuple]) -> DataFrame:
+    return s.createDataFrame(rows, schema)
+
+
+# SQL of the column functions
+
+
+def _sub(e: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({e}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
+
+
+def _sql_address(c: str) -> str:
+    s = _sub(_sub(_sub(f"upper(trim({c}))", r"\.([A-Z])", r" \1"), r"\.", ""), r"\s+", " ")
+    s = _sub(s, rf"\bSTE?\s+({'|'.join(A.SAINTS)})\b", r"SAINT \1")
+    for short, long in A.LONG_FORMS.items():
+        s = _sub(s, rf"\b{short}\b", long)
+    return s
+
+
+def _sql_city(c: str) -> str:
+    s = f"upper({_sub(f'trim({c})', r'\s+', ' ')})"
+    return f"coalesce(map_extract(MAP {{{', '.join(f'{_quoted(k.upper())}: {_quoted(v.upper())}' for k, v in {k.upper(): v for k, v in A.CITY_ALIASES.items()}.items())}}}, {s})[1], {s})"
+
+
+def _sql_name(c: str) -> str:
+    return _sub(_sub(f"trim(upper({c}))", r"\s+", " "), r"[.,;:]+$", "")
+
+
+def _sql_company(c: str) -> str:
+    return rf"({c} IS NULL OR trim({c}) = '' OR regexp_matches({c}, '(?i)\b({T.COMPANY_WORDS})\b') OR regexp_matches({c}, '\d') OR len(regexp_split_to_array(trim({c}), '\s+')) NOT IN (2, 3))"
+
+
+def _sql_token(c: str) -> str:
+    s = _sub(c, r"\s*\(.*?\)\s*", " ")
+    for _ in range(3):
+        s = _sub(s, T.SUFFIX, "")
+    s = _sub(f"trim(upper({s}))", r"\s+", " ")
+    kept = " ".join(f"WHEN contains({s}, '{b}') THEN '{b}'" for b in T.BRANDS)
+    words = f"string_split(trim({_sub(f'replace({s}, {_quoted("REAL ESTATE")}, {_quoted(" ")})', r'\s+', ' ')}), ' ')"
+    left = f"trim({_sub(f'array_to_string(list_filter({words}, lambda w: NOT list_contains({_quoted(T.GENERIC)}, w)), {_quoted(" ")})', r'\s+\d+$', '')})"
+    return rf"CASE {kept} WHEN length({left}) < 3 OR regexp_full_match(replace({left}, ' ', ''), '\d+') OR regexp_matches({left}, '^\d+\s+[A-Z]') THEN NULL ELSE {left} END"
+
+
+def _sql_place(c: str) -> str:
+    s = _sub(f"upper(trim({c}))", r"\s+", " ")
+    for short, long in T.PARTY_STREETS:
+        s = _sub(s, r"\bST\b\.?($|[^\s.])", r"STREET\1") if long == "STREET" else _sub(s, short, long)
+    return s
+
+
+_NUMBERED = T.NUMBERED.replace("'", "''")
+_APPEARANCES = _values("ap", "id, name, phones, contact, address, is_company", APPEARANCES)
+_CLUSTERS = rf"""{_APPEARANCES},
+n AS (SELECT *, {_sql_name("name")} AS nn, regexp_matches(trim(name), '{_NUMBERED}') AS numbered, nullif({_sub("upper(trim(contact))", r"\s+", " ")}, '') AS c, {_sql_token("name")} AS tok, {_sql_place("address")} AS place FROM ap),
+p AS (SELECT DISTINCT id, nn, c, regexp_replace(ph, '\D', '', 'g') AS ph FROM (SELECT id, nn, c, unnest(phones) AS ph FROM n) WHERE length(regexp_replace(ph, '\D', '', 'g')) >= 7),
+busy AS (SELECT ph FROM p GROUP BY 1 HAVING count(DISTINCT nn) >= 15),
+t AS (SELECT id, nn, tok FROM n WHERE NOT numbered AND tok IS NOT NULL), d AS (SELECT DISTINCT tok FROM t),
+fold AS (SELECT a.tok, coalesce(arg_min(b.tok, length(b.tok)), a.tok) AS brand FROM d a LEFT JOIN d b ON length(b.tok) >= 4 AND starts_with(a.tok, b.tok || ' ') GROUP BY a.tok),
+br AS (SELECT id, nn, brand FROM t JOIN fold USING (tok)), brands AS (SELECT brand FROM br GROUP BY 1 HAVING count(DISTINCT nn) < 8),
+ad AS (SELECT id, nn, place FROM n WHERE is_company AND length(address) >= 10), places AS (SELECT place FROM ad GROUP BY 1 HAVING count(DISTINCT nn) < 5),
+e AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.nn = y.nn WHERE NOT x.numbered AND NOT y.numbered
+  UNION SELECT x.id, y.id FROM p x JOIN p y ON x.ph = y.ph WHERE x.ph NOT IN (SELECT ph FROM busy) OR x.c = y.c
+  UNION SELECT x.id, y.id FROM br x JOIN br y USING (brand) WHERE brand IN (SELECT brand FROM brands)
+  UNION SELECT x.id, y.id FROM ad x JOIN ad y USING (place) WHERE place IN (SELECT place FROM places)
+  UNION SELECT x.id, y.id FROM n x JOIN n y ON x.nn = y.nn AND x.c = y.c WHERE x.numbered AND y.numbered),
+r AS (SELECT id, id AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON r.id = e.a),
+cl AS (SELECT id, min(m) AS component FROM r GROUP BY 1)"""
+
+
+def _parties(s) -> DataFrame:
+    return _frame(s, "id long, name string, phones array<string>, contact string, address string, is_company boolean", APPEARANCES)
+
+
+def _party_clusters(s, d) -> DataFrame:
+    return P.clustered(_parties(s))
+
+
+def _party_registry(s, d) -> DataFrame:
+    rows = _parties(s)
+    return P.registry(rows, P.clustered(rows), _frame(s, "name string, gid string", KNOWN))
+
+
+def _address_keys(s, d) -> DataFrame:
+    a, c = F.col("address"), F.col("city")
+    return _frame(s, "address string, city string", ADDRESSES).select(a, c, A.dedup_key(a, c).alias("key"), A.loose_key(a, c).alias("loose"), A.street_number(a).alias("number"), A.is_po_box(a).alias("po_box"), A.is_legal_description(a).alias("legal"))
+
+
+def _loose_merges(s, d) -> DataFrame:
+    """Pairs of addresses that are one place: equal keys, or one key equal to the other's without its direction."""
+    a, c = F.col("address"), F.col("city")
+    rows = _frame(s, "address string, city string", ADDRESSES).select(A.dedup_key(a, c).alias("key"), A.loose_key(a, c).alias("loose")).distinct()
+    bare, pointed = rows.filter("key = loose").select(F.col("key").alias("short")), rows.filter("key <> loose")
+    return pointed.join(bare, pointed["loose"] == bare["short"]).select("key", "short")
+
+
+def _compound(s, d) -> DataFrame:
+    one = A.expanded(F.col("address"), F.col("city"), F.lit("Ontario"))
+    return _frame(s, "address string, city string", ADDRESSES[:8] + ADDRESSES[13:14] + ADDRESSES[17:18] + ADDRESSES[20:23] + ADDRESSES[24:26]).select("address", F.explode(one).alias("single"))
+
+
+SINGLES = [
+    *[(ADDRESSES[0][0], f"{n} COMMERCE PARK DR, Barrie, Ontario") for n in (92, 102, 112)], *[(ADDRESSES[1][0], f"{n} COMMERCE PARK DR, barrie , Ontario") for n in (138, 142)], *[(ADDRESSES[2][0], f"{n} DUNDURN ST N, Hamilton, Ontario") for n in (9, 15, 21)],
+    *[(ADDRESSES[3][0], f"{n} BLOOR ST W, Toronto, Ontario") for n in (230, 238, 244)], *[(ADDRESSES[4][0], f"{n} ST CLAIR ST, Etobicoke, Ontario") for n in (316, 328, 330)], ("HIGHWAY 6 & 21", "HIGHWAY 6 & 21, Chatham, Ontario"),
+    *[(ADDRESSES[6][0], f"{n} YORK ST, York, Ontario") for n in (74, 76)], (ADDRESSES[7][0], "B03-70 King William St, Stoney  Creek, Ontario"), *[(ADDRESSES[13][0], f"{n} Hwy 7 E, Ajax, Ontario") for n in (21, 111)], (ADDRESSES[17][0], "PT LOT 7 CONC 2, Fergus, Ontario"),
+    *[(ADDRESSES[20][0], f"{n} MAIN ST N, Nepean, Ontario") for n in (4, 8, 16)], *[(ADDRESSES[21][0], f"{n} BLOOR ST W, Toronto, Ontario") for n in ("618", "620A")], (ADDRESSES[22][0], "7 OAK CRES, Maple, Ontario"), ("Main St", "Main St, Ontario"),
+]
+
+
+def _names(s, d) -> DataFrame:
+    n, a = F.col("name"), F.col("alias")
+    return _frame(s, "name string, alias string", NAMES).select("name", T.normalize_name(n).alias("norm"), T.is_company(n).alias("company"), T.numbered_company(n).alias("numbered"), T.make_alias(n).alias("short"), T.clean_alias(a, n).alias("alias"), T.brand_token(n).alias("token"))
+
+
+def _printed(s, d) -> DataFrame:
+    when = T.sale_date(F.col("said"))
+    return _frame(s, "said string", [(x,) for x in PRINTED]).select("said", T.money(F.col("said")).alias("amount"), T.shown_price(F.col("said")).alias("price"), when["iso"].alias("iso"), when["day"].alias("day"))
+
+
+_DATES = {"05 Jan 2024": "2024-01-05", "5 January 2024": "2024-01-05", "2024-01-05": "2024-01-05", "01/05/2024": "2024-01-05", "5th Jan 2024": "2024-01-05", " 12 DEC 1999 ": "1999-12-12"}
+
+
+def _html_flags(s, d) -> DataFrame:
+    return _frame(s, "id long, page string", list(enumerate(PAGES))).select("id", F.array_join(C.html_flags(F.col("page")), ",").alias("flags"))
+
+
+_HTML_WANT = ["", "H001", "H002", "H003", "H006", "H007", "H008", "H006,H007,H008", "H009", "H004", "H005", "H010", "H011", "H012", "H013", "H014", "H001,H004,H005,H009,H010,H011,H012,H013,H014", "H001,H004,H005,H009,H010,H011,H012,H013,H014"]
+
+
+def _record_flags(s, d) -> DataFrame:
+    return C.flag_counts(_frame(s, "id long, record string", SANDBOX), C.record_flags(F.col("record")))
+
+
+def _p(path: str) -> str:
+    return f"trim(coalesce(json_extract_string(record, '$.{path}'), '')) = ''"
+
+
+_P_SQL = ", ".join(
+    f"CASE WHEN {c} THEN 'P{k:03d}' END"
+    for k, c in enumerate(
+        [_p(x) for x in ("transaction.address.address", "transaction.sale_price", "transaction.sale_date", "transferor.name", "transferee.name", "transaction.address.city")]
+        + [f"json_type(record, '$.{x}') = 'OBJECT'" for x in ("transferor.phone", "transferee.phone", "transferor.address", "transferee.address")],
+        1,
+    )
+)
+
+
+def _nested_diff(s, d) -> DataFrame:
+    old, new = (_frame(s, "id long, record string", rows) for rows in (ACTIVE, SANDBOX))
+    out = C.nested_diff(old, new, "id", "record", ["stamp"])
+    return out.groupBy("status", "field").agg(F.count("*").alias("n"))
+
+
+def _points(s, d) -> DataFrame:
+    e = F.col("embedding")
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (43.60 + e[0].cast("double") * 0.05).alias("lat"), (-79.50 + e[1].cast("double") * 0.05).alias("lng"))
+
+
+_PTS = "pts AS (SELECT vec_id AS id, 43.60::DOUBLE + embedding[1]::DOUBLE * 0.05::DOUBLE AS lat, -79.50::DOUBLE + embedding[2]::DOUBLE * 0.05::DOUBLE AS lng FROM embeddings)"
+_HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - p.lng) / 2), 2)))"
+_CORNERS = [(pid, k, *ring[k], *ring[(k + 1) % len(ring)]) for pid, ring in RINGS for k in range(len(ring))]
+
+
+def _rings(s) -> DataFrame:
+    return _frame(s, "polygon_id long, ring array<struct<x:double,y:double>>", RINGS)
+
+
+def _mercator(s, d) -> DataFrame:
+    x, y = A.to_mercator(F.col("lng"), F.col("lat"))
+    rows = _points(s, d).select("id", x.alias("x"), y.alias("y"))
+    lng, lat = A.from_mercator(F.col("x"), F.col("y"))
+    return rows.select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round(lng, 6).alias("lng"), F.round(lat, 6).alias("lat"))
+
+
+#: name: (query, SQL or None)
+ALL = {
+    "address_keys": (
+        _address_keys,
+        rf"""WITH {_values("t", "address, city", ADDRESSES)}, k AS (SELECT *, {_sql_address("address")} AS a, {_sql_city("city")} AS c, CASE WHEN regexp_matches(trim(address), '^\d') THEN trim(address) ELSE regexp_replace(regexp_replace(trim(address), '{A.SUITE}', ''), '^[A-Za-z]\d+\s*-\s*(\d)', '\1') END AS w FROM t)
+        SELECT address, city, a || '|' || c AS key, regexp_replace(a, '\s+(NORTH|SOUTH|EAST|WEST|NORTHEAST|NORTHWEST|SOUTHEAST|SOUTHWEST)$', '') || '|' || c AS loose, nullif(regexp_extract(w, '^(\d+)', 1), '') AS number,
+               regexp_matches(address, '{A.PO_BOX}') AS po_box, NOT regexp_matches(address, '^\d') AND regexp_matches(address, '{A.LEGAL}') AS legal FROM k""",
+    ),
+    "loose_merges": (_loose_merges, "SELECT * FROM (VALUES ('975 WALLACE AVENUE NORTH|NORTH PERTH', '975 WALLACE AVENUE|NORTH PERTH'), ('975 WALLACE AVENUE SOUTH|NORTH PERTH', '975 WALLACE AVENUE|NORTH PERTH')) t(key, short)"),
+    "compound_addresses": (_compound, f"WITH {_values('t', 'address, single', SINGLES)} SELECT * FROM t"),
+    "party_names": (
+        _names,
+        rf"""WITH {_values("t", "name, alias", NAMES)}, k AS (SELECT *, {_sub(_sub("trim(name)", T.SUFFIX, ""), "[.,;: ]+$", "")} AS short, upper(trim(alias)) AS al FROM t)
+        SELECT name, {_sql_name("name")} AS norm, {_sql_company("name")} AS company, regexp_matches(trim(name), '{_NUMBERED}') AS numbered, short,
+               CASE WHEN length(al) < 4 OR list_contains({_quoted(T.NO_ALIAS)}, al) OR regexp_matches(al, '{T.LAW_FIRM}') OR regexp_matches(al, '{T.BUILDING}') OR al = upper(trim(short)) OR regexp_matches(al, '^\d+\s*(ONTARIO)?$') THEN NULL ELSE al END AS alias, {_sql_token("name")} AS token FROM k""",
+    ),
+    "printed_values": (
+        _printed,
+        rf"WITH {_values('t', 'said, iso', [(x, _DATES.get(x, '')) for x in PRINTED])} SELECT said, TRY_CAST(regexp_replace(said, '[$,\s]', '', 'g') AS DOUBLE) AS amount, CASE WHEN regexp_matches(said, '\d') THEN '$' || format('{{:,}}', CAST(regexp_replace(said, '\D', '', 'g') AS BIGINT)) ELSE '' END AS price, iso, CASE WHEN iso = '' THEN '' ELSE strftime(CAST(iso AS DATE), '%d %b %Y') END AS day FROM t",
+    ),
+    "party_clusters": (_party_clusters, f"WITH RECURSIVE {_CLUSTERS} SELECT id, component FROM cl"),
+    "party_registry": (
+        _party_registry,
+        f"""WITH RECURSIVE {_CLUSTERS}, {_values("known", "name, gid", KNOWN)}, m AS (SELECT n.*, cl.component FROM n JOIN cl USING (id)),
+        cn AS (SELECT component, name, count(*) AS k, bool_or(is_company) AS company, min(id) AS seen FROM m GROUP BY 1, 2), shown AS (SELECT component, name AS display_name FROM cn QUALIFY row_number() OVER (PARTITION BY component ORDER BY company DESC, k DESC, seen) = 1),
+        asked AS (SELECT component, arg_min(gid, nn) AS gid FROM m JOIN known ON m.nn = known.name GROUP BY 1), kept AS (SELECT gid, min(component) AS component FROM asked GROUP BY 1),
+        g AS (SELECT component, string_agg(DISTINCT nn, ',' ORDER BY nn) AS names, count(*) AS appearances FROM m GROUP BY 1)
+        SELECT g.component, coalesce(kept.gid, printf('G%05d', 41 + row_number() OVER (PARTITION BY kept.gid IS NULL ORDER BY g.component))) AS gid, display_name, names, appearances FROM g JOIN shown USING (component) LEFT JOIN kept USING (component)""",
+    ),
+    "html_checks": (_html_flags, f"WITH {_values('t', 'id, flags', list(enumerate(_HTML_WANT)))} SELECT id, flags FROM t"),
+    "record_checks": (
+        _record_flags,
+        f"WITH {_values('t', 'id, record', SANDBOX)}, f AS (SELECT list_filter([{_P_SQL}], lambda x: x IS NOT NULL) AS fs FROM t) SELECT flag, count(*) AS n FROM (SELECT unnest(CASE WHEN len(fs) = 0 THEN ['clean'] ELSE fs END) AS flag FROM f) GROUP BY 1",
+    ),
+    "nested_diff": (
+        _nested_diff,
+        "SELECT status, field, CAST(n AS BIGINT) AS n FROM (VALUES ('unchanged', NULL, 2), ('changed', 'transaction.sale_price', 1), ('changed', 'facts.pins', 1), ('changed', 'transferor.phone', 1), ('changed', 'transferor.phone.a', 1), ('changed', 'transferee.name', 1), ('changed', 'skip', 1), ('changed', 'transaction.address.city', 1), ('changed', 'transaction.address.address', 1), ('changed', 'transferor.address', 1), ('changed', 'transferor.address.x', 1), ('new', NULL, 2), ('removed', NULL, 1)) t(status, field, n)",
+    ),
+    "polygons_of_points": (
+        lambda s, d: R.containing(_points(s, d), _rings(s), 0.02),
+        f"WITH {_PTS}, {_values('c', 'polygon_id, k, x1, y1, x2, y2', _CORNERS)} SELECT id, CAST(polygon_id AS BIGINT) AS polygon_id FROM pts, c WHERE y1 <> y2 AND (y1 > lat) <> (y2 > lat) AND lng < (x2::DOUBLE - x1::DOUBLE) * (lat - y1::DOUBLE) / (y2::DOUBLE - y1::DOUBLE) + x1::DOUBLE GROUP BY 1, 2 HAVING count(*) % 2 = 1",
+    ),
+    "ring_measures": (
+        lambda s, d: _rings(s).select("polygon_id", F.round(R.ring_centroid(F.col("ring"))["x"], 7).alias("x"), F.round(R.ring_centroid(F.col("ring"))["y"], 7).alias("y")),
+        f"WITH {_values('c', 'polygon_id, k, x1, y1, x2, y2', [c for c in _CORNERS if c[2:4] != c[4:6]])} SELECT CAST(polygon_id AS BIGINT) AS polygon_id, round(avg(x1::DOUBLE), 7) AS x, round(avg(y1::DOUBLE), 7) AS y FROM c GROUP BY 1",
+    ),
+    "spatial_clusters": (
+        lambda s, d: R.spatial_clusters(_points(s, d), DISTANCE),
+        f"WITH RECURSIVE {_PTS}, e AS (SELECT p.id AS a, b.id AS b FROM pts p JOIN pts b ON p.id <> b.id AND abs(p.lat - b.lat) < 0.0075 AND abs(p.lng - b.lng) < 0.0075 WHERE {_HAV} <= {DISTANCE}), r AS (SELECT DISTINCT a AS id, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON r.id = e.a) SELECT id, min(m) AS component FROM r GROUP BY 1",
+    ),
+    "mercator": (_mercator, f"WITH {_PTS} SELECT id, round(lng * 20037508.34::DOUBLE / 180, 2) AS x, round(ln(tan((90 + lat) * pi() / 360)) / (pi() / 180) * 20037508.34::DOUBLE / 180, 2) AS y, round(lng, 6) AS lng, round(lat, 6) AS lat FROM pts"),
+}

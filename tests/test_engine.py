@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import addresses as A
 from tessera.functions import text as T
 from tessera.operators import marts as M
 from tessera.operators import resolve as R
@@ -47,7 +48,9 @@ def test_text(spark):
     assert one(spark, "$2,090,000", T.money) == 2090000.0 and one(spark, "", T.money) is None and one(spark, "n/a", T.money) is None
     assert one(spark, "1195117 Ontario Ltd", T.numbered_company) and not one(spark, "8809143 Canada Inc", T.numbered_company)
     assert one(spark, "8809143 Canada Inc", T.is_company) and not one(spark, "Ann Smith", T.is_company) and one(spark, "", T.is_company)
-    assert one(spark, "B03-70 King William St", T.street_number) == "70" and one(spark, "92 Main", T.street_number) == "92"
+    for address, number in (("B03-70 King William St", "70"), ("92 Main", "92"), ("12-70 King St", "12"), ("B 70 King", "70"), ("King", None)):
+        assert one(spark, address, A.street_number) == number
+    assert not one(spark, "1195117 Ontario Ltd Holdings", T.numbered_company) and one(spark, "Acme Properties", T.is_company)
     assert one(spark, "  Acme  Inc., ", T.normalize_name) == "ACME INC"
 
 
