@@ -298,7 +298,7 @@ def _mercator(s, d) -> DataFrame:
 ALL = {
     "address_keys": (
         _address_keys,
-        rf"""WITH {_values("t", "address, city", ADDRESSES)}, k AS (SELECT *, {_sql_address("address")} AS a, {_sql_city("city")} AS c, CASE WHEN regexp_matches(trim(address), '^\d') THEN trim(address) ELSE regexp_replace(regexp_replace(trim(address), '{A.SUITE}', ''), '^[A-Za-z]\d+\s*-\s*(\d)', '\1') END AS w FROM t)
+        rf"""WITH {_values("t", "address, city", ADDRESSES)}, k AS (SELECT *, {_sql_address("address")} AS a, {_sql_city("city")} AS c, CASE WHEN regexp_matches(trim(address), '^\d') THEN trim(address) WHEN regexp_matches(regexp_replace(trim(address), '{A.SUITE}', ''), '^\d') THEN regexp_replace(trim(address), '{A.SUITE}', '') ELSE regexp_replace(trim(address), '^[A-Za-z]\d*(?:-\d+)*-(\d)', '\1') END AS w FROM t)
         SELECT address, city, a || '|' || c AS key, regexp_replace(a, '\s+(NORTH|SOUTH|EAST|WEST|NORTHEAST|NORTHWEST|SOUTHEAST|SOUTHWEST)$', '') || '|' || c AS loose, nullif(regexp_extract(w, '^(\d+)', 1), '') AS number,
                regexp_matches(address, '{A.PO_BOX}') AS po_box, NOT regexp_matches(address, '^\d') AND regexp_matches(address, '{A.LEGAL}') AS legal FROM k""",
     ),
