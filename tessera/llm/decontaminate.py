@@ -29,7 +29,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def with_words(df: DataFrame, text: Column) -> DataFrame:
     """Adds ``words``: the words of ``text``."""
-    folded = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    text = F.coalesce(text, F.lit(""))
+    # of ASCII alone, lower case is the same and several times as fast as a table
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
     return df.withColumn("words", F.array_remove(F.split(folded, _BREAKS, -1), ""))
 
 
