@@ -203,7 +203,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.tails = {"": b"", **{t: self._whole([t])[0] for t in ",."}}
+        self.tails = {t: self._whole([t])[0] for t in ",."}
         probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ŸĐǄ", "ſƿ"]
         self.direct = [self._word(c) for c in probe] == self._whole(probe)  # else everything goes through the tokenizer
         self.breaks_as_spaces = len(set(self._whole(["a. B", "a.\nB", "a.\n\nB", "a. \n B"]))) == 1  # line feeds are white space like any other
@@ -212,12 +212,12 @@ class ChunkEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunk_list, add_special_tokens=False)]
 
     def _word(self, chunk: str) -> bytes:
-        word, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in ",." else (chunk, "")
-        if word.isascii():
-            word = word.lower()
-        else:
-            word = word.lower().encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + self.tails[tail]
+        tail = self.tails.get(chunk[-1])
+        word = (chunk if tail is None else chunk[:-1]).lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return ids if tail is None else ids + tail
 
     def __call__(self, chunk_list: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(chunk_list)
@@ -248,7 +248,7 @@ def _tokenize(path: str, end_id: int, kind: str):
         for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in chunks.runs(b.column("text"))):
             text = batch.column("text")
             bounds, codes, different = chunks.cut(pc.replace_substring(text, "\n", " ") if encoder.breaks_as_spaces else text)
-            found = [known.get(c) for c in different]
+            found = known.get_all(different)
             new = [i for i, f in enumerate(found) if f is None]
             for i, ids in zip(new, encoder([different[i] for i in new]), strict=True):
                 found[i] = ids
