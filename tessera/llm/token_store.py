@@ -233,6 +233,17 @@ class ChunkEncoder:
         return out
 
 
+_kept: dict[str, tuple[ChunkEncoder, chunks.Recent]] = {}
+
+
+def _encoder(path: str) -> tuple[ChunkEncoder, chunks.Recent]:
+    """The encoder and the chunks that it remembers; a worker keeps those of one tokenizer for its next tasks."""
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = ChunkEncoder(path), chunks.Recent(400_000)
+    return _kept[path]
+
+
 def id_kind(path: str, end_id: int) -> str:
     """The width in which ids travel: two bytes if the vocabulary allows it."""
     from tokenizers import Tokenizer
@@ -242,8 +253,7 @@ def id_kind(path: str, end_id: int) -> str:
 
 def _tokenize(path: str, end_id: int, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
-        known = chunks.Recent(400_000)
+        encoder, known = _encoder(path)
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in chunks.runs(b.column("text"))):
             text = batch.column("text")
