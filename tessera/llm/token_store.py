@@ -191,6 +191,11 @@ def _byte_letters() -> dict[int, str]:
 _LATIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,60}[,.]?").fullmatch
 
 
+#: Rows whose letters keep their case until the tokenizer has them: special tokens are found before case is folded, and
+#: marks may compose with a letter of one case alone.
+_CASE_MATTERS = "<\\||[\u0300-\u036f]"
+
+
 class ChunkEncoder:
     """Ids of chunks between spaces. A chunk of Latin letters alone, perhaps with one comma or
     full stop, goes to the tokenizer's model as the word that its normalizer and splitter
@@ -207,6 +212,19 @@ class ChunkEncoder:
         probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ŸĐǄ", "ſƿ"]
         self.direct = [self._word(c) for c in probe] == self._whole(probe)  # else everything goes through the tokenizer
         self.breaks_as_spaces = len(set(self._whole(["a. B", "a.\nB", "a.\n\nB", "a. \n B"]))) == 1  # line feeds are white space like any other
+        self.stops_apart = len(set(self._whole(["ab, CD. e", "ab , CD . e"]))) == 1 and len(set(self._whole(["A'S, b", "A'S , b"]))) == 1  # a stop after a letter is a word
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folds_case = len(set(self._whole(["ABC Defg X'S", "abc defg x's"]))) == 1 and all(t.startswith("<|") for t in added)
+
+    def prepared(self, text: pa.Array) -> pa.Array:
+        """Texts of the same ids with fewer different chunks."""
+        if self.breaks_as_spaces:
+            text = pc.replace_substring(text, "\n", " ")
+        if self.stops_apart:
+            text = pc.replace_substring_regex(text, pattern="([A-Za-z])([.,]) ", replacement=r"\1 \2 ")
+        if self.folds_case:
+            text = pc.if_else(pc.match_substring_regex(text, _CASE_MATTERS), text, pc.ascii_lower(text))
+        return text
 
     def _whole(self, chunk_list: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunk_list, add_special_tokens=False)]
@@ -247,7 +265,7 @@ def _tokenize(path: str, end_id: int, kind: str):
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in chunks.runs(b.column("text"))):
             text = batch.column("text")
-            bounds, codes, different = chunks.cut(pc.replace_substring(text, "\n", " ") if encoder.breaks_as_spaces else text)
+            bounds, codes, different = chunks.cut(encoder.prepared(text))
             found = known.get_all(different)
             new = [i for i, f in enumerate(found) if f is None]
             for i, ids in zip(new, encoder([different[i] for i in new]), strict=True):

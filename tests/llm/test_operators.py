@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm import ann, bpe, decontaminate, html_extract, line_dedup, near_dup, queries, sharding, token_store, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
+ENCODER: dict = {}
 DOCS = "doc_id long, text string, source string, row int, n int, words string, hot string"
 
 
@@ -125,6 +127,21 @@ def brute_huffman_cost(counts):
     return cost
 
 
+@given(st.lists(st.lists(st.sampled_from(["A", "h", "İ", "I", "Σ", "K", "ß", ".", ",", ". ", ", ", " ", "\n", "'S", "'t", "\u0301", "\u0307", "\u0331", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\u037e", "7", "...", "Wor"]), max_size=30).map("".join), min_size=1, max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_prepared_texts_have_the_ids_of_the_library(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    if path not in ENCODER:
+        ENCODER[path] = token_store.ChunkEncoder(path)
+    encoder = ENCODER[path]
+    assert encoder.stops_apart and encoder.folds_case
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(token_store, "ChunkEncoder", lambda _: encoder)
+        rows = next(token_store._tokenize(path, 2, "<u2")(iter([batch]))).column("ids").to_pylist()
+    assert [np.frombuffer(x, "<u2").tolist() for x in rows] == [[*e.ids, 2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=60).filter(any), st.integers(1, 9))
 def test_huffman(counts, block):
