@@ -7,6 +7,8 @@ different chunk is tokenized once.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,6 +57,23 @@ def runs(texts: pa.Array, chars: int = 1_000_000) -> list[tuple[int, int]]:
     return [*out, (start, len(size))] if len(size) else []
 
 
+def stretches(batches: Iterable[pa.RecordBatch], column: str, chars: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in batches of about so many bytes of text: short ones are joined, long ones cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for lo, hi in runs(batch.column(column), chars):
+            part = batch.slice(lo, hi - lo)
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > chars:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """bounds (of each text's chunks), codes (of all chunks), chunks (the different ones)."""
     if texts.null_count:

@@ -227,7 +227,7 @@ class ChunkEncoder:
         return text
 
     def _whole(self, chunk_list: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunk_list, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunk_list, add_special_tokens=False)]
 
     def _word(self, chunk: str) -> bytes:
         tail = self.tails.get(chunk[-1])
@@ -263,7 +263,7 @@ def _tokenize(path: str, end_id: int, kind: str):
         encoder = ChunkEncoder(path)
         known = chunks.Recent(400_000)
         end = np.array([end_id], dtype=kind).tobytes()
-        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in chunks.runs(b.column("text"))):
+        for batch in chunks.stretches(batches, "text", 4_000_000):
             text = batch.column("text")
             bounds, codes, different = chunks.cut(encoder.prepared(text))
             found = known.get_all(different)
@@ -278,7 +278,8 @@ def _tokenize(path: str, end_id: int, kind: str):
             edge = np.concatenate([[0], np.cumsum(each)])[bounds]
             ids = ids.astype(kind)
             rows = [ids[a:b].tobytes() + end for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(edge) + 1, pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "ids"])
+            spread = pa.array(map(zlib.crc32, rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(edge) + 1, pa.int64()), spread, pa.array(rows, pa.binary())], ["id", "n", "spread", "ids"])
 
     return run
 
@@ -344,7 +345,7 @@ def write_tokens(
     folder = make_folder(spark, folder or new_path(spark, "tokens"))
     kind = id_kind(tokenizer_path, end_id)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tokens = ids = stored(rows.mapInArrow(_tokenize(tokenizer_path, end_id, kind), "id long, n long, ids binary"), "ids")
+    tokens = ids = stored(rows.mapInArrow(_tokenize(tokenizer_path, end_id, kind), "id long, n long, spread long, ids binary"), "ids")
     counted = tokens.select("ids").mapInArrow(_count(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary
     if not counted:
         return folder
@@ -384,7 +385,7 @@ def _bucket(tokens: DataFrame, wanted: float) -> Column:
             out = np.where(at < 0, base, first[place] + np.where(edges[place] == key, spread % parts[place], parts[place] - 1))
         return pd.Series(np.where(known.to_numpy(), out, spread % base))
 
-    return bucket(F.coalesce("id", F.lit(0)), F.col("id").isNotNull(), F.pmod(F.xxhash64("ids"), F.lit(1 << 40)))
+    return bucket(F.coalesce("id", F.lit(0)), F.col("id").isNotNull(), F.col("spread"))
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
