@@ -124,16 +124,41 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
 
 
-def containing(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """id, polygon_id: points (id, lat, lng) and the polygons (polygon_id, ring of x, y) that hold them. A polygon
-    stands in every cell of its bounding box, so points meet the polygons of their own cell only."""
+def _meeting(points: DataFrame, polygons: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
+    """Points (id, lat, lng) with the polygons (polygon_id, ring of x, y) that may hold them. A polygon stands in every
+    cell of its bounding box and ``margin`` degrees around it, so points meet the polygons of their own cell only."""
     at = lambda c: F.floor(c / cell)
     values = lambda name: F.transform("ring", lambda v: v[name])
-    ends = {f"{n}{d}": at(f(values(d))) for d in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))}
+    ends = {f"{n}{d}": at(f(values(d)) + by) for d in "xy" for n, f, by in (("lo", F.array_min, -margin), ("hi", F.array_max, margin))}
     boxes = polygons.select("polygon_id", "ring", *[c.alias(n) for n, c in ends.items()])
     boxes = boxes.withColumn("ci", F.explode(F.sequence("lox", "hix"))).withColumn("cj", F.explode(F.sequence("loy", "hiy")))
-    met = points.select("id", "lat", "lng", at(F.col("lng")).alias("ci"), at(F.col("lat")).alias("cj")).join(boxes, ["ci", "cj"])
-    return met.filter(in_ring(F.col("lng"), F.col("lat"), F.col("ring"))).select("id", "polygon_id")
+    return points.select("id", "lat", "lng", at(F.col("lng")).alias("ci"), at(F.col("lat")).alias("cj")).join(boxes, ["ci", "cj"])
+
+
+def containing(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """id, polygon_id: points and the polygons that hold them."""
+    return _meeting(points, polygons, cell).filter(in_ring(F.col("lng"), F.col("lat"), F.col("ring"))).select("id", "polygon_id")
+
+
+#: Metres of a degree in distances to polygons, and in the margin around them.
+DEGREE_M, MARGIN_M = 95_000.0, 79_000.0
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, metres: float, cell: float) -> DataFrame:
+    """id, polygon_id, metres: each point's nearest polygon within ``metres``, 0 if it lies inside; the smaller id on
+    ties. Points without one are left out."""
+    x, y = F.col("lng"), F.col("lat")
+
+    def to_edge(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        length = dx * dx + dy * dy
+        along = F.when(length == 0, F.lit(0.0)).otherwise(((x - e["x1"]) * dx + (y - e["y1"]) * dy) / length)
+        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return F.sqrt(F.pow(e["x1"] + along * dx - x, 2) + F.pow(e["y1"] + along * dy - y, 2))
+
+    away = F.when(in_ring(x, y, F.col("ring")), F.lit(0.0)).otherwise(F.array_min(F.transform(_edges(F.col("ring")), to_edge))) * DEGREE_M
+    met = _meeting(points, polygons, cell, metres / MARGIN_M).select("id", "polygon_id", away.alias("m")).filter(F.col("m") <= metres)
+    return met.groupBy("id").agg(F.min_by("polygon_id", F.struct("m", "polygon_id")).alias("polygon_id"), F.round(F.min("m"), 2).alias("metres"))
 
 
 def in_polygon(lng: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:

@@ -1,0 +1,86 @@
+"""Queries over properties, markets, polygons and decisions on parties, with their SQL. Results of cascades that are
+rules of order stand as rows derived by hand."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import addresses as A
+from tessera.operators import places as L
+from tessera.operators import resolve as R
+from tessera.plans.records import _CORNERS, _PTS, ADDRESSES, _frame, _points, _rings, _sql_address, _sql_city, _values
+
+TRANSACTIONS = [
+    ("RT1", "10 Main St", "Ajax", []), ("RT2", "10 MAIN STREET", "ajax", []), ("RT3", "12 Main St", "Ajax", ["p9"]), ("RT4", "10 - 14 Main St", "Ajax", []), ("RT5", "975 Wallace Ave N", "Listowel", []), ("RT6", "", "Ajax", ["p9"]),
+    ("RT7", "20 Oak Cres", "Paris", ["p0", "p7", "p9"]), ("RT8", None, None, None), ("RT1", "10 Main St", "Ajax", []),
+]
+PROPERTIES = [("P00001", "10 Main St", "Ajax", None), ("P00002", "10 Main Street.", "Ajax", None), ("P00003", "975 Wallace Ave", "Listowel", "p9"), ("P00004", "975 Wallace Ave S", "Listowel", None), ("P00005", "20 Oak Cres", "Paris", "p7"), ("P00006", "44 Elm Rd", "Guelph", None)]
+REGISTERED = [
+    ("P00002", "10 MAIN STREET|AJAX", "RT1,RT2,RT4", "P00001"), ("P00003", "975 WALLACE AVENUE|NORTH PERTH", "RT3,RT7", "P00004"), ("P00005", "20 OAK CRESCENT|PARIS", "", ""), ("P00006", "44 ELM ROAD|GUELPH", "", ""),
+    ("P00007", "10 - 14 MAIN STREET|AJAX", "RT4", ""), ("P00008", "975 WALLACE AVENUE NORTH|NORTH PERTH", "RT5", ""),
+]
+ASSESSED = [(k, a, c) for k, (a, c) in enumerate([*ADDRESSES, ("10 MAIN ST W", "Ajax"), ("975 WALLACE AVE NE", "Listowel"), ("5 King St", "Paris"), ("5 King St E", "Paris"), ("5 King St N", "Paris"), ("44 ELM RD", "Barrie")])]
+HELD = [("P00011", "5 King St E", "Paris"), ("P00012", "5 King St S", "Paris"), *[p[:3] for p in PROPERTIES]]
+MARKETS = [[("Ajax", 126_666), ("Norfolk", 67_490), ("Ajax", 100), ("Vaughan", 323_103)], [("Norfolk", 1), ("Durham", 696_992)], [("Kanata", 120_000), ("Ajax", 500_000)]]
+CALLED = [("Woodbridge", "Vaughan"), ("Bowmanville", "Clarington"), ("Ajax", "Durham"), ("Norfolk County", "Norfolk"), ("Whitby", "Woodbridge")]
+MEMBERS = [
+    (1, "G00001", "ALPHA INC", "RT1", "buyer"), (2, "G00001", "ALPHA INC", "RT2", "seller"), (3, "G00001", "BETA INC", "RT2", "seller"), (4, "G00001", "GAMMA INC", "RT3", "buyer"), (5, "G00002", "DELTA LTD", "RT4", "buyer"),
+    (6, "G00003", "EPSILON LTD", "RT5", "buyer"), (7, "G00003", "BETA INC", "RT6", "buyer"), (8, "G00004", "ZETA CO", "RT5", "buyer"), (9, "G00005", "ETA CO", "RT7", "buyer"),
+]
+SPLITS = [("ALPHA INC", ""), ("BETA INC", "G00002"), ("DELTA LTD", "G00009"), ("NOBODY", "G00001"), ("", "G00001"), ("GAMMA INC", "G00001"), ("EPSILON LTD", "G00010")]
+MERGES = [["G00003", "G00004", "G00077"], ["G00088", "G00005"], ["G00010", "G00003", "G00010"], ["G00005"]]
+REPLAYED = [(1, "G00006"), (2, "G00006"), (3, "G00002"), (4, "G00001"), (5, "G00009"), (6, "G00010"), (7, "G00010"), (9, "G00005")]
+NEAR_M = 900.0
+
+
+def _utm(s, d) -> DataFrame:
+    x, y = A.to_utm(F.col("lng"), F.col("lat"))
+    lng, lat = A.from_utm(F.col("x"), F.col("y"))
+    return _points(s, d).select("id", x.alias("x"), y.alias("y")).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lng, 6).alias("lng"), F.round(lat, 6).alias("lat"))
+
+
+def _markets(s, d) -> DataFrame:
+    return L.market_table([_frame(s, "name string, population long", rows) for rows in MARKETS], _frame(s, "name string, canonical string", CALLED))
+
+
+_D = f"{A.E2!r}::DOUBLE", f"{A.EP2!r}::DOUBLE"
+_UTM = f"""WITH {_PTS}, r AS (SELECT *, radians(lat) AS f FROM pts),
+q AS (SELECT *, {A.AXIS!r}::DOUBLE / sqrt(1 - {_D[0]} * sin(f) ^ 2) AS n, tan(f) ^ 2 AS t, {_D[1]} * cos(f) ^ 2 AS c, cos(f) * radians(lng + 81) AS a,
+  {A.AXIS!r}::DOUBLE * ({A.MERIDIAN[0]!r}::DOUBLE * f - {A.MERIDIAN[1]!r}::DOUBLE * sin(2 * f) + {A.MERIDIAN[2]!r}::DOUBLE * sin(4 * f) - {A.MERIDIAN[3]!r}::DOUBLE * sin(6 * f)) AS m FROM r)
+SELECT id, round(0.9996::DOUBLE * n * (a + (1 - t + c) * a ^ 3 / 6 + (5 - 18 * t + t ^ 2 + 72 * c - 58 * {_D[1]}) * a ^ 5 / 120) + 500000, 3) AS x,
+  round(0.9996::DOUBLE * (m + n * tan(f) * (a ^ 2 / 2 + (5 - t + 9 * c + 4 * c ^ 2) * a ^ 4 / 24 + (61 - 58 * t + t ^ 2 + 600 * c - 330 * {_D[1]}) * a ^ 6 / 720)), 3) AS y, round(lng, 6) AS lng, round(lat, 6) AS lat FROM q"""
+_EDGES = _values("c", "polygon_id, k, x1, y1, x2, y2", _CORNERS)
+_DIRS = "(NORTH|SOUTH|EAST|WEST|NORTHEAST|NORTHWEST|SOUTHEAST|SOUTHWEST)$"
+
+#: name: (query, SQL or None)
+ALL = {
+    "property_registry": (
+        lambda s, d: L.property_registry(_frame(s, "rt_id string, address string, city string, pins array<string>", TRANSACTIONS), _frame(s, "pid string, address string, city string, pin string", PROPERTIES)),
+        f"WITH {_values('t', 'pid, key, rt_ids, folded', REGISTERED)} SELECT * FROM t",
+    ),
+    "cascade_match": (
+        lambda s, d: L.cascade_match(_frame(s, "id long, address string, city string", ASSESSED), _frame(s, "pid string, address string, city string", HELD)),
+        rf"""WITH {_values("r", "id, address, city", ASSESSED)}, {_values("p", "pid, address, city", HELD)}, k AS (SELECT {_sql_address("address")} || '|' || {_sql_city("city")} AS key, max(pid) AS pid FROM p GROUP BY 1),
+        n AS (SELECT id, {_sql_address("address")} AS a, {_sql_city("city")} AS c FROM r WHERE trim(address) <> ''),
+        t AS (SELECT id, 0 AS o, a || '|' || c AS key FROM n UNION ALL SELECT id, 1, regexp_replace(a, '\s+{_DIRS}', '') || '|' || c FROM n UNION ALL SELECT id, 2 + i, a || ' ' || way || '|' || c FROM n, (VALUES (0, 'NORTH'), (1, 'SOUTH'), (2, 'EAST'), (3, 'WEST')) w(i, way)),
+        b AS (SELECT id, arg_min(pid, o) AS pid FROM t JOIN k USING (key) GROUP BY 1) SELECT r.id, b.pid FROM r LEFT JOIN b USING (id)""",
+    ),
+    "market_table": (
+        _markets,
+        f"""WITH {_values("r", "name, population, rank", [(*row, k) for k, rows in enumerate(MARKETS) for row in rows])}, {_values("al", "name, canonical", CALLED)}, m AS (SELECT name, population FROM r QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank, population DESC) = 1)
+        SELECT name, population FROM m UNION ALL SELECT al.name, m.population FROM al JOIN m ON m.name = al.canonical WHERE al.name NOT IN (SELECT name FROM m)""",
+    ),
+    "override_replay": (
+        lambda s, d: L.replayed(_frame(s, "id long, gid string, nn string, rt_id string, role string", MEMBERS), SPLITS, MERGES),
+        f"WITH {_values('t', 'id, gid', REPLAYED)} SELECT * FROM t",
+    ),
+    "nearest_parcel": (
+        lambda s, d: R.nearest_polygon(_points(s, d), _rings(s), NEAR_M, 0.02),
+        f"""WITH {_PTS}, {_EDGES}, g AS (SELECT id, lng, lat, polygon_id, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE - x1::DOUBLE AS dx, y2::DOUBLE - y1::DOUBLE AS dy FROM pts, c),
+        f AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE greatest(0, least(1, ((lng - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy))) END AS u FROM g),
+        h AS (SELECT id, polygon_id, CASE WHEN count(*) FILTER (WHERE dy <> 0 AND (y1 > lat) <> (y1 + dy > lat) AND lng < dx * (lat - y1) / dy + x1) % 2 = 1 THEN 0 ELSE min(sqrt((x1 + u * dx - lng) ^ 2 + (y1 + u * dy - lat) ^ 2)) * 95000 END AS m FROM f GROUP BY 1, 2)
+        SELECT id, polygon_id, round(m, 2) AS metres FROM h WHERE m <= {NEAR_M} QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, polygon_id) = 1""",
+    ),
+    "utm": (_utm, _UTM),
+}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import addresses as A
 from tessera.functions import text as T
 from tessera.operators import marts as M
+from tessera.operators import places as L
 from tessera.operators import resolve as R
 from tessera.plans.queries import ORACLES, QUERIES
 from tessera.streaming import events as E
@@ -105,3 +106,14 @@ def test_stream_counts_as_the_batch_does(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tumbling").count() == E.tumbling_counts(events).count()
+
+
+def test_places_with_nothing_and_with_points_outside(spark):
+    d = lambda schema: spark.createDataFrame([], schema)
+    assert L.property_registry(d("rt_id string, address string, city string, pins array<string>"), d("pid string, address string, city string, pin string")).count() == 0
+    assert L.cascade_match(d("id long, address string, city string"), d("pid string, address string, city string")).count() == 0
+    assert L.replayed(d("id long, gid string, nn string, rt_id string, role string"), [("A", "")], [["G1", "G2"]]).count() == 0
+    square = spark.createDataFrame([(1, [(0.0, 0.0), (0.01, 0.0), (0.01, 0.01), (0.0, 0.01), (0.0, 0.0)])], "polygon_id long, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 0.005, 0.005), (2, 0.005, 0.0105), (3, 0.0103, 0.0104), (4, 0.005, 0.0106), (5, None, 0.0)], "id long, lat double, lng double")
+    got = {r.id: (r.polygon_id, r.metres) for r in R.nearest_polygon(points, square, 50, 0.001).collect()}
+    assert got == {1: (1, 0.0), 2: (1, 47.5), 3: (1, 47.5)}
