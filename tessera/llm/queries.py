@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, decontaminate, html_extract, line_dedup, near_dup, sharding, token_store, toxicity, warc
+from tessera.llm import ann, bpe, decontaminate, delta_lloyd, divergence, html_extract, line_dedup, near_dup, sharding, simhash, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_store, op4_warc, op5_bpe, op6_html, op7_decontaminate, op8_ann, op9_near_dup, op10_sharding)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_store, op4_warc, op5_bpe, op6_html, op7_decontaminate, op8_ann, op9_near_dup, op10_sharding, op11_divergence)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -97,4 +101,22 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
                coalesce(its.s, sha256('')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
         FROM dw d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+    "op11_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+        used AS (SELECT lang, source, term, count(*) AS c FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        whole AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+        each AS (SELECT g.lang, g.source, k.term, coalesce(u.c, 0) AS c FROM groups g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)),
+        sized AS (SELECT *, CAST(sum(c) OVER (PARTITION BY lang, source) AS BIGINT) AS n, CAST(sum(c) OVER (PARTITION BY lang, term) AS BIGINT) AS t FROM each),
+        shares AS (SELECT s.lang, source, term, c, 1 + 1000000000 * (c + 2) // (n + 2 * v) AS p,
+                     1 + 1000000000 * (t + 2) // (CAST(sum(c) OVER (PARTITION BY s.lang) AS BIGINT) + 2 * v) AS q FROM sized s JOIN whole w ON s.lang = w.lang),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+                  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        none AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source ANTI JOIN whole w ON a.lang = w.lang),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+                   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM none UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
