@@ -60,9 +60,35 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_store, op4_warc, op5_bpe, op6_html, op7_decontaminate, op8_ann, op9_near_dup, op10_sharding, op11_divergence)}
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_store, op4_warc, op5_bpe, op6_html, op7_decontaminate, op8_ann, op9_near_dup, op10_sharding, op11_divergence, op12_delta_lloyd, op13_simhash)}
+
+def _lloyd_sql(k: int, dims: int, rounds: int) -> str:
+    """Plain Lloyd: every vector against every centroid in every round."""
+    owner = "SELECT rid, k, d FROM (SELECT x.rid, c.k, CAST(sum((x.c - c.c) * (x.c - c.c)) AS BIGINT) AS d FROM x JOIN {c} c ON x.i = c.i GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1"
+    mean = "SELECT a.k, x.i, (sum(x.c) - ((sum(x.c) % count(*)) + count(*)) % count(*)) // count(*) AS c FROM x JOIN {a} a ON x.rid = a.rid GROUP BY ALL"
+    steps = [f"a{r} AS MATERIALIZED ({owner.format(c=f'c{r}')}), c{r + 1} AS MATERIALIZED (SELECT c.k, c.i, CAST(coalesce(m.c, c.c) AS BIGINT) AS c FROM c{r} c LEFT JOIN ({mean.format(a=f'a{r}')}) m ON c.k = m.k AND c.i = m.i)" for r in range(rounds)]
+    return f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+                  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+        x AS MATERIALIZED (SELECT rid, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM kept),
+        start AS MATERIALIZED (SELECT rid, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS k FROM kept QUALIFY k < {k}),
+        c0 AS MATERIALIZED (SELECT s.k, x.i, x.c FROM start s JOIN x ON s.rid = x.rid), {", ".join(steps)},
+        last AS MATERIALIZED ({owner.format(c=f"c{rounds}")}),
+        named AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS s FROM c{rounds} GROUP BY k)
+        SELECT p.vec_id, CAST(l.k AS INTEGER) AS cluster, l.d AS distance, CAST(sum(l.d) OVER (PARTITION BY l.k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(l.d) OVER () AS BIGINT) AS inertia, n.s AS centroid_sha256 FROM last l JOIN kept p ON l.rid = p.rid JOIN named n ON l.k = n.k"""
+
 
 ORACLES = {
+    "op12_delta_lloyd": _lloyd_sql(delta_lloyd.K, delta_lloyd.DIMS, delta_lloyd.ROUNDS),
     "op1_line_dedup": """
         WITH cut AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents), ws AS (SELECT ' ' || chr(9) || chr(11) || chr(12) || chr(13) AS ws),
         texts AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
