@@ -93,10 +93,14 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     """(record headers, HTTP headers, payload) of every page record of an archive, one gzip member each."""
-    while data:
-        z = zlib.decompressobj(wbits=31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, pieces, step = zlib.decompressobj(wbits=31), [], 4096
+        while at < len(view) and not z.eof:  # in growing steps: what lies behind a member is copied in part only
+            pieces.append(z.decompress(view[at : at + step]))
+            at += min(step, len(view) - at) - len(z.unused_data)
+            step *= 2
+        raw = b"".join(pieces) + z.flush()
         head, _, rest = raw.partition(b"\r\n\r\n")
         meta = _headers(head)
         if meta["WARC-Type"] == "warcinfo":
