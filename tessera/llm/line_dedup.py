@@ -6,9 +6,9 @@ kept as one array of hashes per host. As the hashes of a host cannot number more
 than (mean lines per page) / ratio, an array stays short however large the host
 is; whether all arrays together are broadcast is decided by their measured size.
 
-Equal texts of a host count once, so a group of copies does not lose its lines, and a
-line must stand in ``least`` different texts of its host, so that small hosts keep
-theirs.
+Equal texts of a host are one page, so a group of copies does not lose its lines. A line
+is boilerplate only if it repeats, that is if ``least`` = 2 pages hold it: of a host with
+fewer than 1 / ``ratio`` pages, the ratio alone would drop every line.
 
 Defined results: null text stays null, has no lines and is no page; blank lines are
 never counted or dropped; a line is compared without white space at its ends; a null
@@ -25,8 +25,8 @@ from tessera.llm.scratch import BROADCAST_BYTES, broadcast_if_small, stored, wit
 
 #: A line on more than this share of a host's pages is boilerplate.
 RATIO = 0.1
-#: A line on fewer different texts of a host is never dropped.
-LEAST = 5
+#: A line on fewer pages of a host does not repeat, and is never dropped.
+LEAST = 2
 _BLANK = " \t\r\x0b\x0c"
 
 

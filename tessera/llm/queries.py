@@ -93,7 +93,7 @@ ORACLES = {
         WITH cut AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents), ws AS (SELECT ' ' || chr(9) || chr(11) || chr(12) || chr(13) AS ws),
         texts AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
         seen AS (SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ws)), lambda x: x <> ''))) AS line FROM texts, ws),
-        held AS (SELECT source, line, count(*) AS holding FROM seen GROUP BY ALL HAVING count(*) >= 5),
+        held AS (SELECT source, line, count(*) AS holding FROM seen GROUP BY ALL HAVING count(*) >= 2),
         total AS (SELECT source, count(*) AS pages FROM texts GROUP BY ALL),
         hot AS (SELECT h.source, list(h.line) AS hot FROM held h JOIN total t ON h.source IS NOT DISTINCT FROM t.source
                 WHERE h.holding > CAST(0.1 AS DOUBLE) * t.pages GROUP BY h.source),
