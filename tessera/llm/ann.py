@@ -4,9 +4,8 @@ A vector is turned by three rounds of random sign flips and a Hadamard transform
 the nearest signed axis is its hash. Each of ``tables`` tables joins
 ``hashes`` such values. A query looks in the ``probes`` likeliest buckets of each
 table, and what it meets there is ranked by exact cosine in double precision on the
-original vectors. Up to ``ONE_HASH`` vectors one hash suffices (``SMALL``); beyond,
-two are joined, so that a bucket holds a 128th of a 128th of 64-dimensional vectors
-and a query meets a smaller part of them, in more tables with more probes (``LARGE``).
+original vectors, each divided by a power of two first, so that squares of very large
+or small components neither overflow nor vanish. The same setting holds at every size.
 
 Every vector is indexed. Buckets of more than ``block`` vectors or queries are
 split into parts that meet part by part, so no task holds a whole bucket and no
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.scratch import broadcast_if_small, stored
 
-#: Tables, probes and hashes of small and of large tables, and where these begin.
-SMALL, LARGE, ONE_HASH = (10, 8, 1), (30, 30, 2), 1 << 20
+#: Ten tables of one hash with eight probes: on near random vectors of 64 components, recall 0.94 for 43 % of the vectors met.
+TABLES, PROBES, HASHES = 10, 8, 1
 BLOCK = 8192
 _PAIR = "query_id long, vec_id long, score double"
 
@@ -48,7 +47,7 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    def __init__(self, dim: int, tables: int = SMALL[0], hashes: int = 1, seed: int = 11):
+    def __init__(self, dim: int, tables: int = TABLES, hashes: int = 1, seed: int = 11):
         self.dim, self.width, self.tables, self.hashes = dim, 1 << max(1, (dim - 1).bit_length()), tables, hashes
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables, hashes, 3, self.width))
 
@@ -98,7 +97,13 @@ class CrossPolytope:
         return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two, which changes no direction and no cosine: the largest component is then from 1/2 to 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -138,7 +143,7 @@ def _spread(space: CrossPolytope, probes: int | None):
 def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
     """The ``k`` nearest rows of each query by cosine; ties go to the smaller id."""
     ids, first = np.unique(ids, return_index=True)
-    x = x[first]
+    x, q = _scaled(x[first]), _scaled(q)
     nx, nq = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     out = []
     for lo in range(0, len(q), 256):
@@ -185,14 +190,12 @@ def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataF
 
 
 def search(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, tables: int | None = None, probes: int | None = None, hashes: int | None = None, block: int = BLOCK
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES, block: int = BLOCK
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for the rows where ``is_query`` (of column id) holds."""
     rows, dim = usable_vectors(vectors, id_col, vec_col)
     rows = stored(rows, "vectors")
     total = rows.count()
-    usual = SMALL if (hashes or (1 if total <= ONE_HASH else 2)) == 1 else LARGE
-    tables, probes, hashes = tables or usual[0], probes or usual[1], hashes or usual[2]
     space = CrossPolytope(dim, tables, hashes)
     queries = stored(rows.filter(is_query).dropDuplicates(["id"]), "queries")
     index = rows.mapInArrow(_spread(space, None), "code long, id long, vec binary")
