@@ -52,7 +52,8 @@ _KINDS = re.compile(
     re.I,
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 
 
@@ -70,58 +71,113 @@ class Node:
             self.hidden = self.hidden or a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
 
 
+class _Tags:
+    """The tags of a page one after the other, in time linear in its length whatever stands in it.
+
+    From the first tag whose quotes never end, quotes no longer count; text behind the last ``>``
+    holds no tag.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at ``at``."""
+        k = at
+        while self.quotes and (m := _STOP.search(self.page, k)):
+            if m[0] == ">":
+                return m.start()
+            k = self.page.find(m[0], m.end()) + 1
+            if not k:
+                break
+        self.quotes = False
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """Start, end, name (empty: a comment or a declaration), attributes and whether it is an end tag."""
+        page = self.page
+        while (lt := page.find("<", at)) >= 0:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                return lt, len(page) if end < 0 else end + 3, "", "", False
+            if lt > self.last:
+                return None
+            if page.startswith(("<!", "<?"), lt):
+                return lt, page.find(">", lt) + 1, "", "", False
+            closing = page.startswith("</", lt)
+            m = _NAME.match(page, lt + 1 + closing)
+            end = self._end(m.end()) if m and m.end() <= self.last else -1
+            if end >= 0:
+                return lt, end + 1, m[0].lower(), page[m.end() : end], closing
+            at = lt + 1
+        return None
+
+
+class _Open:
+    """The open elements, outermost first. Each tag's places are kept, so that closing looks at what it closes only."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.outer = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in _INLINE:
+            self.outer.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag not in _INLINE:
+                self.outer.pop()
+
+
 def parse(page: str) -> Node:
     """A forgiving DOM: children are nodes and strings (references still encoded)."""
     root = Node("#page")
-    stack = [root]
+    opened, tags = _Open(root), _Tags(page)
     at, n = 0, len(page)
 
-    def close(tags: set[str], barrier: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in barrier or stack[i].tag not in _INLINE and stack[i].tag not in tags and "p" in tags:
-                return
+    def close(same: set[str], barrier: set[str]) -> None:
+        if (i := opened.last(same)) > opened.last(barrier):
+            opened.cut(i)
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].children.append(page[at:])
+        found = tags.next(at)
+        if found is None:
+            opened.nodes[-1].children.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        start, end, tag, attrs, closing = found
+        if start > at:
+            opened.nodes[-1].children.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = name.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in _INLINE and stack[i].tag not in _INLINE:
-                    break
+        if closing:
+            i = opened.last({tag})
+            if i > 0 and (tag not in _INLINE or i > opened.outer[-1]):
+                opened.cut(i)
             continue
-        if tag in _CLOSES_P:
-            close({"p"}, set())
+        if tag in _CLOSES_P and opened.nodes[opened.outer[-1]].tag == "p":
+            opened.cut(opened.outer[-1])
         if tag in _SAME:
             close(*_SAME[tag])
             if tag == "tr":
                 close(*_SAME["tr"])
-        node = Node(tag, m[3] or "")
-        stack[-1].children.append(node)
+        node = Node(tag, attrs)
+        opened.nodes[-1].children.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            body = page[at : end.start() if end else n]
-            at = end.end() if end else n
+            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            body = page[at : stop.start() if stop else n]
+            at = stop.end() if stop else n
             if tag == "textarea":
                 node.children.append(body)
-        elif tag not in _VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(node)
-        elif tag not in _VOID and tag not in ("svg", "path"):  # <div/> opens in HTML
-            stack.append(node)
+        elif tag not in _VOID and (not attrs.rstrip().endswith("/") or tag not in ("svg", "path")):  # <div/> opens in HTML
+            opened.push(node)
     return root
 
 
