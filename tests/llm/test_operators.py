@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -53,7 +54,7 @@ def test_line_dedup(spark, limit):
     lines = ["menu", " menu", "menu\r", "", "footer", *(f"line {k}" for k in range(40))]
     rows = [(k, "\n".join(r.choices(lines, [9, 3, 3, 5, 6] + [1] * 40, k=6)), r.choice(["a", "a", "b", None])) for k in range(80)] + ODD
     got = line_dedup.boilerplate_report(docs(spark, rows), broadcast_bytes=limit).collect()
-    assert sorted(map(tuple, got), key=repr) == brute_lines(rows, 0.1, 5) and any(x.n_removed for x in got)
+    assert sorted(map(tuple, got), key=repr) == brute_lines(rows, 0.1, 2) and any(x.n_removed for x in got)
     out = line_dedup.drop_boilerplate(docs(spark, rows))
     assert out.columns == docs(spark, []).columns and out.count() == len(rows)
     assert line_dedup.boilerplate_report(docs(spark, [])).count() == 0
@@ -68,6 +69,13 @@ def test_line_dedup_keeps_groups_of_copies(spark):
         assert {x.doc_id: x.text for x in line_dedup.drop_boilerplate(docs(spark, rows), broadcast_bytes=limit).collect()} == want
 
 
+def test_line_dedup_of_small_hosts(spark):
+    """A host of 8 pages with a footer on 4 of them loses the footer and nothing else; a page alone loses nothing."""
+    rows = [(k, f"page {k}\nfooter" if k < 4 else f"page {k}", "a") for k in range(8)] + [(9, "only\npage", "b")]
+    got = {x.doc_id: x.text for x in line_dedup.drop_boilerplate(docs(spark, rows)).collect()}
+    assert got == {k: f"page {k}" for k in range(8)} | {9: "only\npage"}
+
+
 # toxicity
 
 
@@ -443,6 +451,18 @@ def test_ann_few_rows(spark):
     assert ann.search(v.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_ann_of_extreme_components(spark, kind):
+    """Squares that overflow or vanish change nothing: directions alone count."""
+    far, near = (1e200, 1e-200) if kind == "double" else (1e30, 1e-38)
+    rows = [(0, [far, far]), (50, [1.0, 0.5]), (7, [2 * far, far]), (8, [0.3, 0.4]), (9, [near, near])]
+    v = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = sorted(ann.search(v, F.col("id") % 50 == 0).collect(), key=lambda x: (x.query_id, x.rank))
+    assert [(x.query_id, x.vec_id) for x in got] == [(0, 9), (0, 8), (0, 7), (0, 50), (50, 7), (50, 0), (50, 9), (50, 8)]
+    want = {(0, 9): 1.0, (0, 8): 0.7 / math.sqrt(0.5), (0, 7): 3 / math.sqrt(10), (0, 50): 3 / math.sqrt(10), (50, 7): 1.0, (50, 8): 0.5 / (0.5 * math.sqrt(1.25))}
+    assert all(math.isclose(x.score, want[x.query_id, x.vec_id], rel_tol=1e-6) for x in got if (x.query_id, x.vec_id) in want)
+
+
 # near duplicates
 
 
@@ -652,3 +672,36 @@ def test_query_with_sql(spark, duck, name):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+# time linear in the input
+
+
+def took(f, *args):
+    began = time.process_time()
+    f(*args)
+    return time.process_time() - began
+
+
+def test_archives_are_read_in_linear_time():
+    rng = np.random.default_rng(9)
+    one = b"".join(warc.record(k, "http://a/", "00" * 20, rng.bytes(900)) for k in range(2000))
+    assert sum(1 for _ in warc.read_records(one * 4)) == 8000
+    big = warc.record(1, "http://a/", "00" * 20, rng.bytes(300_000)) + warc.record(2, "http://b/", "00" * 20, b"")
+    assert [(m["Page-ID"], len(p)) for m, _, p in warc.read_records(big)] == [("1", 300_000), ("2", 0)]
+    assert took(lambda: list(warc.read_records(one * 8))) < 2  # 16 MB
+
+
+@pytest.mark.parametrize(
+    "piece,end",
+    [("<a ", ""), ("<a ", '">"'), ('<a "', ""), ('<a ">', '"'), ("<!a", ""), ("<b>", ""), ("<p><b>", "</div>"), ("<b>", "<hr>" * 50_000), ("<div>", "</p>" * 50_000), ("<i><div><b>", "</i>" * 50_000), ("<script>", ""), ("<li><b>", ""), ("<!--", ""), ("</", "")],
+)
+def test_broken_pages_are_parsed_in_linear_time(piece, end):
+    page = lambda size: piece * (size // len(piece)) + end
+    small, large = took(html_extract.content_text, page(250_000)), took(html_extract.content_text, page(1_000_000))
+    assert large < 30 and large < 10 * small + 1
+
+
+def test_unclosed_quotes_lose_no_text():
+    assert html_extract.content_text('<body><a href="x>one</a><p>two</p></body>') == "one\ntwo"
+    assert html_extract.content_text('<body><a title="a>b">one</a> 1 < 2 <p>two') == "one 1 < 2\ntwo"
