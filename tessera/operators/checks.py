@@ -23,9 +23,15 @@ def _plain(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]*>", "")
 
 
+def without_comments(html: Column) -> Column:
+    """A page without its comments; one that is not closed reaches to the end."""
+    rest = lambda x: F.when(x.contains("-->"), F.substr(x, F.instr(x, "-->") + 3)).otherwise("")
+    return F.array_join(F.transform(F.split(html, "<!--"), lambda x, i: F.when(i == 0, x).otherwise(rest(x))), "")
+
+
 def html_flags(html: Column) -> Column:
     """The ids, H001 to H014, of the checks that a page fails."""
-    page = F.coalesce(html, F.lit(""))
+    page = without_comments(F.coalesce(html, F.lit("")))
     tagged = page.rlike(ADDRESS)
     first = F.trim(_plain(F.regexp_replace(F.regexp_extract(page, ADDRESS, 1), r"(?i)<br[^>]*>", "\n")))
     lead = F.regexp_replace(first, r"^\s+", "")

@@ -74,35 +74,6 @@ APPEARANCES = _appearances()
 KNOWN = [("GAMMA INDUSTRIES LTD", "G00007"), ("FOURADA INC", "G00003"), ("SEVENCO HOLDINGS INC", "G00003"), ("NOBODY", "G00041")]
 
 
-def _page(address="12 Main St<br/>Unit 2", city="<br/>Ajax : Durham", line="<br/>05 Jan 2024 $1,200", tail="1 / 9 RT12345", sections=("Transferor(s)", "Transferee(s)", "Site", "Assessment Roll Number", "Description", "Broker/Agent", "Street photos")) -> str:
-    strong = "" if address is None else f'<strong id="address">{address}</strong>'
-    return f'<html><body><div id="headerNav">x</div>{strong}{city}{line}<p/>' + "".join(f'<p/><font color="#848484">{s}</font><br/>text' for s in sections) + f'<font color="#848484">{tail}</font></body></html>'
-
-
-PAGES = [
-    _page(), _page(address=None), _page(address=" "), _page(address="Main St"), _page(city=""), _page(line="<br/>05 Jan 2024"), _page(line="<br/>$5"), _page(line="", city=""), _page(tail="1 / 9"),
-    *[_page(sections=[s for s in ("Transferor(s)", "Transferee(s)", "Site", "Assessment Roll Number", "Description", "Broker/Agent", "Street photos") if s != gone]) for gone in ("Transferor(s)", "Transferee(s)", "Site", "Assessment Roll Number", "Description", "Broker/Agent", "Street photos")],
-    "", "<p>nothing</p>",
-]
-
-
-def _record(**changes) -> str:
-    flat = {"transaction.address.address": "1 A St", "transaction.address.city": "Ajax", "transaction.sale_price": "$5", "transaction.sale_date": "05 Jan 2024", "transferor.name": "S", "transferor.phone": "1", "transferor.address": "a", "transferee.name": "B", "transferee.phone": "2", "transferee.address": "b", "facts.pins": ["1", "2"], "skip": False, "stamp": "t0"}
-    out: dict = {}
-    for k, v in (flat | {k.replace("__", "."): v for k, v in changes.items()}).items():
-        at = out
-        for part in k.split(".")[:-1]:
-            at = at.setdefault(part, {})
-        if v is not None:
-            at[k.split(".")[-1]] = v
-    return json.dumps(out)
-
-
-ACTIVE = [(k, _record()) for k in range(1, 9)]
-SANDBOX = [
-    (1, _record()), (2, _record(stamp="t1")), (3, _record(transaction__sale_price="$6")), (4, _record(facts__pins=["2", "1"], transferor__phone={"a": 1})), (5, _record(transferee__name=None)), (6, _record(skip=True, transaction__address__city=" ")),
-    (7, _record(transaction__address={"address": "", "city": "Ajax"}, transferor__address={"x": 1})), (9, _record()), (10, _record(transferee__phone={}, transferee__address={"y": 2}, transaction__sale_date="", transferor__name="")),
-]
 RINGS = [(1, [(-79.52, 43.58), (-79.48, 43.58), (-79.48, 43.62), (-79.50, 43.60), (-79.52, 43.62), (-79.52, 43.58)]), (2, [(-79.50, 43.60), (-79.44, 43.60), (-79.44, 43.66), (-79.50, 43.66), (-79.50, 43.60)]), (3, [(-79.60, 43.50), (-79.55, 43.50), (-79.575, 43.56), (-79.60, 43.50)])]
 DISTANCE = 150.0
 
@@ -242,37 +213,6 @@ def _printed(s, d) -> DataFrame:
 _DATES = {"05 Jan 2024": "2024-01-05", "5 January 2024": "2024-01-05", "2024-01-05": "2024-01-05", "01/05/2024": "2024-01-05", "5th Jan 2024": "2024-01-05", " 12 DEC 1999 ": "1999-12-12"}
 
 
-def _html_flags(s, d) -> DataFrame:
-    return _frame(s, "id long, page string", list(enumerate(PAGES))).select("id", F.array_join(C.html_flags(F.col("page")), ",").alias("flags"))
-
-
-_HTML_WANT = ["", "H001", "H002", "H003", "H006", "H007", "H008", "H006,H007,H008", "H009", "H004", "H005", "H010", "H011", "H012", "H013", "H014", "H001,H004,H005,H009,H010,H011,H012,H013,H014", "H001,H004,H005,H009,H010,H011,H012,H013,H014"]
-
-
-def _record_flags(s, d) -> DataFrame:
-    return C.flag_counts(_frame(s, "id long, record string", SANDBOX), C.record_flags(F.col("record")))
-
-
-def _p(path: str) -> str:
-    return f"trim(coalesce(json_extract_string(record, '$.{path}'), '')) = ''"
-
-
-_P_SQL = ", ".join(
-    f"CASE WHEN {c} THEN 'P{k:03d}' END"
-    for k, c in enumerate(
-        [_p(x) for x in ("transaction.address.address", "transaction.sale_price", "transaction.sale_date", "transferor.name", "transferee.name", "transaction.address.city")]
-        + [f"json_type(record, '$.{x}') = 'OBJECT'" for x in ("transferor.phone", "transferee.phone", "transferor.address", "transferee.address")],
-        1,
-    )
-)
-
-
-def _nested_diff(s, d) -> DataFrame:
-    old, new = (_frame(s, "id long, record string", rows) for rows in (ACTIVE, SANDBOX))
-    out = C.nested_diff(old, new, "id", "record", ["stamp"])
-    return out.groupBy("status", "field").agg(F.count("*").alias("n"))
-
-
 def _points(s, d) -> DataFrame:
     e = F.col("embedding")
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (43.60 + e[0].cast("double") * 0.05).alias("lat"), (-79.50 + e[1].cast("double") * 0.05).alias("lng"))
@@ -323,15 +263,6 @@ ALL = {
         g AS (SELECT component, string_agg(DISTINCT nn, ',' ORDER BY nn) AS names, count(*) AS appearances FROM m GROUP BY 1)
         SELECT g.component, coalesce(kept.gid, printf('G%05d', 41 + row_number() OVER (PARTITION BY kept.gid IS NULL ORDER BY g.component))) AS gid, display_name, names, appearances FROM g JOIN shown USING (component) LEFT JOIN kept USING (component)""",
     ),
-    "html_checks": (_html_flags, f"WITH {_values('t', 'id, flags', list(enumerate(_HTML_WANT)))} SELECT id, flags FROM t"),
-    "record_checks": (
-        _record_flags,
-        f"WITH {_values('t', 'id, record', SANDBOX)}, f AS (SELECT list_filter([{_P_SQL}], lambda x: x IS NOT NULL) AS fs FROM t) SELECT flag, count(*) AS n FROM (SELECT unnest(CASE WHEN len(fs) = 0 THEN ['clean'] ELSE fs END) AS flag FROM f) GROUP BY 1",
-    ),
-    "nested_diff": (
-        _nested_diff,
-        "SELECT status, field, CAST(n AS BIGINT) AS n FROM (VALUES ('unchanged', NULL, 2), ('changed', 'transaction.sale_price', 1), ('changed', 'facts.pins', 1), ('changed', 'transferor.phone', 1), ('changed', 'transferor.phone.a', 1), ('changed', 'transferee.name', 1), ('changed', 'skip', 1), ('changed', 'transaction.address.city', 1), ('changed', 'transaction.address.address', 1), ('changed', 'transferor.address', 1), ('changed', 'transferor.address.x', 1), ('new', NULL, 2), ('removed', NULL, 1)) t(status, field, n)",
-    ),
     "polygons_of_points": (
         lambda s, d: R.containing(_points(s, d), _rings(s), 0.02),
         f"WITH {_PTS}, {_values('c', 'polygon_id, k, x1, y1, x2, y2', _CORNERS)} SELECT id, CAST(polygon_id AS BIGINT) AS polygon_id FROM pts, c WHERE y1 <> y2 AND (y1 > lat) <> (y2 > lat) AND lng < (x2::DOUBLE - x1::DOUBLE) * (lat - y1::DOUBLE) / (y2::DOUBLE - y1::DOUBLE) + x1::DOUBLE GROUP BY 1, 2 HAVING count(*) % 2 = 1",
