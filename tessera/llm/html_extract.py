@@ -53,7 +53,7 @@ _KINDS = re.compile(
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_STOP = re.compile(r"[>\"']")
+_TO_END = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*+>")
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 
 
@@ -83,14 +83,10 @@ class _Tags:
 
     def _end(self, at: int) -> int:
         """Where the tag ends whose attributes begin at ``at``."""
-        k = at
-        while self.quotes and (m := _STOP.search(self.page, k)):
-            if m[0] == ">":
-                return m.start()
-            k = self.page.find(m[0], m.end()) + 1
-            if not k:
-                break
-        self.quotes = False
+        if self.quotes:
+            if m := _TO_END.match(self.page, at):
+                return m.end() - 1
+            self.quotes = False
         return self.page.find(">", at)
 
     def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
@@ -158,7 +154,7 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if closing:
-            i = opened.last({tag})
+            i = opened.places[tag][-1] if opened.places.get(tag) else 0
             if i > 0 and (tag not in _INLINE or i > opened.outer[-1]):
                 opened.cut(i)
             continue
