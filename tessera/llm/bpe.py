@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks
-from tessera.llm.scratch import python_batches
+from tessera.llm.scratch import give_back, python_batches
 
 _NONE = np.int32(2**31 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -366,8 +366,9 @@ class TextEncoder:
 
 def _digests(rank_path: str, pattern: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of lists without cycles
+        give_back()
         encoder = TextEncoder(rank_path, pattern)
+        gc.disable()  # millions of lists without cycles
         decimal = [str(i) for i in range(len(encoder.bpe.bytes_of))].__getitem__
         for batch in batches:
             n, of_ids, of_bytes = [], [], []
@@ -376,6 +377,8 @@ def _digests(rank_path: str, pattern: str):
                 of_ids.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(encoder.bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del encoder, decimal
+        give_back()
 
     return run
 

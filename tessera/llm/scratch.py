@@ -6,10 +6,13 @@ a folder of our own is made only where that setting is missing and the master is
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import posixpath
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,16 @@ def python_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this Python worker have freed."""
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def fits(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether ``df``, measured exactly, is small enough to broadcast."""
     size = F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).cast("long")
