@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.resolve import written
+
 BUCKETS = [("<10k", 0, 10_000), ("10k-50k", 10_000, 50_000), ("50k-100k", 50_000, 100_000), ("100k-200k", 100_000, 200_000), ("200k-400k", 200_000, 400_000), ("400k+", 400_000, 10**15)]
 
 
@@ -131,19 +133,21 @@ def contact_rollup(tx: DataFrame) -> DataFrame:
     return _modal(tx, "buyer", "seller").join(cities, "buyer").select("buyer", "city", F.col("seller").alias("modal_seller"), F.col("k").alias("deals"))
 
 
-def shared_signals(tx: DataFrame, cap: int = 50, least: int = 4) -> DataFrame:
-    """a, b, score: buyers that share properties (3 each) or a seller's brand (1 each). A signal held by
-    ``cap`` or more buyers says nothing about any two of them and links none, which also bounds the pairs."""
-
-    def pairs(signal, weight: int) -> DataFrame:
-        held = tx.select("buyer", signal.alias("signal")).distinct()
-        telling = held.groupBy("signal").agg(F.count("*").alias("holders")).filter(F.col("holders").between(2, cap - 1)).select("signal")
-        held = held.join(telling, "signal")
-        met = held.withColumnRenamed("buyer", "a").join(held.withColumnRenamed("buyer", "b"), "signal").filter("a < b")
-        return met.select("a", "b", F.lit(weight).cast("long").alias("w"))
-
-    both = pairs(F.col("prop_key").cast("string"), 3).unionByName(pairs(F.concat_ws("|", "seller", "brand"), 1))
-    return both.groupBy("a", "b").agg(F.sum("w").alias("score")).filter(F.col("score") >= least)
+def shared_signals(tx: DataFrame, wide: int = 50) -> DataFrame:
+    """kind, a, b, score: what buyers share, properties (3 each) and a seller's brand (1 each), without a cap.
+
+    Signals of fewer than ``wide`` holders give their pairs (kind ``pair``: buyers a < b and the sum of their weights).
+    A signal of more holders stands once for each of them instead (kind ``member``: the buyer, the signal, its weight),
+    so rows never grow with the square of its holders. The score of two buyers is that of their pair and the weights of
+    the wide signals that both are members of."""
+    kinds = F.array(F.struct(F.concat(F.lit("property "), F.col("prop_key").cast("string")).alias("signal"), F.lit(3).alias("w")), F.struct(F.concat_ws("|", F.lit("brand"), "seller", "brand").alias("signal"), F.lit(1).alias("w")))
+    held = written(tx.select("buyer", F.inline(kinds)).distinct())
+    holders = held.groupBy("signal").agg(F.count("*").alias("holders")).filter("holders > 1")
+    held = held.join(holders, "signal")
+    few = held.filter(F.col("holders") < wide).select("signal", "buyer", "w")
+    met = few.select("signal", F.col("buyer").alias("a"), "w").join(few.select("signal", F.col("buyer").alias("b")), "signal").filter("a < b")
+    pairs = met.groupBy("a", "b").agg(F.sum("w").cast("long").alias("score")).select(F.lit("pair").alias("kind"), "a", "b", "score")
+    return pairs.unionByName(held.filter(F.col("holders") >= wide).select(F.lit("member").alias("kind"), F.col("buyer").alias("a"), F.col("signal").alias("b"), F.col("w").cast("long").alias("score")))
 
 
 def signal_suggestions(tx: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 An appearance has id, name, phones (array), contact, address and is_company. Defined results:
 null names, phones, contacts and addresses link nothing; repeated rows link like others; the
-component of an appearance that nothing links to another is its own id.
+component of an appearance that nothing links to another is its own id. Appearances may have
+alternate_names (array) as well; without that column the rule on them links nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -15,6 +19,9 @@ from tessera.operators import resolve
 
 #: So many different names make a phone, a brand or an address say nothing.
 PHONE_NAMES, BRAND_NAMES, ADDRESS_NAMES = 15, 8, 5
+#: Most different names of two groups that an alternate name joins, and words that begin a unit within a building.
+COMBINED_NAMES = 50
+UNITS = ["SUITE", "STE", "UNIT", "APT", "FLOOR", "FL", "RM", "ROOM", "#"]
 #: Shortest phone, address and brand that counts.
 PHONE_DIGITS, ADDRESS_CHARS, BRAND_CHARS = 7, 10, 4
 
@@ -65,13 +72,92 @@ def by_number_and_contact(a: DataFrame) -> DataFrame:
     return resolve.star_edges(rows, "key", "id")
 
 
+def base_address(address: Column) -> Column:
+    """A normalized address without its units; null unless it begins with a number."""
+    s = F.regexp_replace(T.normalize_party_address(address), rf",? *(?:{'|'.join(UNITS)}) *[0-9]+[A-Z0-9_]*", "")
+    s = F.regexp_replace(F.trim(s), r" *,? *$", "")
+    return F.when(s.rlike("^[0-9]"), s)
+
+
+def alternate_candidates(appearances: DataFrame) -> DataFrame:
+    """id, pos, a, b: appearances (a) and the first of those named like one of their alternate names (b), where the base
+    of a's address is that of the commonest address of that name; in the order of id and pos."""
+    name = T.normalize_name(F.col("name"))
+    rows = appearances.select("id", name.alias("nn"), F.coalesce(T.numbered_company(F.col("name")), F.lit(False)).alias("numbered"), F.trim("address").alias("address"), "alternate_names")
+    named = rows.filter("not numbered and nn is not null")
+    places = named.filter(F.length("address") >= ADDRESS_CHARS).select("id", "nn", T.normalize_party_address(F.col("address")).alias("place"))
+    counts = places.groupBy("nn", "place").agg(F.count("*").alias("n"), F.min("id").alias("seen"))
+    usual = counts.groupBy("nn").agg(F.max_by("place", F.struct("n", -F.col("seen"))).alias("place"))
+    firsts = named.groupBy("nn").agg(F.min("id").alias("b")).join(usual, "nn").select(F.col("nn").alias("alt"), "b", base_address(F.col("place")).alias("there"))
+    said = rows.select("id", base_address(F.col("address")).alias("here"), F.posexplode("alternate_names").alias("pos", "said")).filter("said <> '' and here is not null")
+    said = said.select("id", "pos", "here", T.normalize_name(F.col("said")).alias("alt"))
+    return said.join(firsts, "alt").filter(F.col("here") == F.col("there")).select("id", "pos", F.col("id").alias("a"), "b")
+
+
+def _united(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates in the order of part, id and pos; of each part the unions that the guard on names admits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, parent, names = None, {}, {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            taken = []
+            for p, a, b, na, nb in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "na", "nb")), strict=True):
+                if p != part:
+                    part, parent, names = p, {}, {}
+                ra, rb = root(a), root(b)
+                both = names.setdefault(ra, frozenset(na)) | names.setdefault(rb, frozenset(nb))
+                if ra != rb and len(both) <= most:
+                    parent[rb] = ra
+                    del names[rb]
+                    names[ra] = both
+                    taken.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in taken], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def by_alternate(appearances: DataFrame, linked: DataFrame, most: int = COMBINED_NAMES) -> DataFrame:
+    """a, b: unions of components by alternate names, as if candidates were taken one after the other: a pair joins two
+    components unless they are one by then or have more than ``most`` different names together.
+
+    ``linked`` (id, component) are the components of the rules before. Between two components only the first
+    candidate counts, as what the guard rejects it rejects later too; for that reason components of more names than it
+    allows are left out before. What remains falls into parts that share no component, and each part runs through one
+    task in order, which holds no more than the names of the part's components.
+    """
+    of = lambda key, c: linked.select(F.col("id").alias(key), F.col("component").alias(c))
+    pairs = alternate_candidates(appearances).join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    pairs = pairs.select("id", "pos", F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
+    first = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min_by(F.struct("a", "b"), F.struct("id", "pos")).alias("ab"), F.min(F.struct("id", "pos")).alias("at"))
+    first = resolve.written(first.select("at.id", "at.pos", "ab.a", "ab.b"))
+    ids = first.select(F.col("a").alias("component")).union(first.select("b")).distinct()
+    everyone = appearances.select("id", T.normalize_name(F.col("name")).alias("nn")).join(linked, "id", "left").select(F.coalesce("component", "id").alias("component"), "nn").join(ids, "component", "left_semi").distinct()
+    small = everyone.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("component")
+    held = resolve.written(everyone.join(small, "component").groupBy("component").agg(F.collect_list(F.xxhash64("nn")).alias("names")))
+    name = lambda key, c: held.select(F.col("component").alias(key), F.col("names").alias(c))
+    pairs = resolve.written(first.join(name("a", "na"), "a").join(name("b", "nb"), "b"))
+    parts = resolve.components(pairs.select("a", "b")).select(F.col("id").alias("a"), F.col("component").alias("part"))
+    rows = pairs.join(parts, "a").select("part", "id", "pos", "a", "b", "na", "nb").repartition("part").sortWithinPartitions("part", "id", "pos")
+    return rows.mapInArrow(_united(most), "a long, b long")
+
+
 def evidence(appearances: DataFrame) -> DataFrame:
-    """a, b, rule: the star edges of every rule."""
+    """a, b, rule: the star edges of every rule; of the rule on alternate names, the unions it leads to."""
     a = resolve.written(_prepared(appearances))
     rules = {"name": by_name, "phone": by_phone, "brand": by_brand, "address": by_address, "number": by_number_and_contact}
-    found = [rule(a).withColumn("rule", F.lit(name)) for name, rule in rules.items()]
-    out = found[0]
-    for more in found[1:]:
+    found = {name: resolve.written(rule(a).withColumn("rule", F.lit(name))) for name, rule in rules.items()}
+    if "alternate_names" in appearances.columns:
+        before = found["name"].union(found["phone"]).union(found["brand"])
+        linked = resolve.components(before.select("a", "b").distinct())
+        found["alternate"] = by_alternate(appearances, linked).withColumn("rule", F.lit("alternate"))
+    out, *rest = found.values()
+    for more in rest:
         out = out.unionByName(more)
     return resolve.written(out)
 

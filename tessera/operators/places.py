@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import addresses as A
 from tessera.operators.parties import numbered
-from tessera.operators.resolve import written
+from tessera.operators.resolve import fuzzy_best, written
 
 #: The directions tried at the end of an address, in this order.
 DIRECTIONS = ["NORTH", "SOUTH", "EAST", "WEST"]
@@ -122,3 +122,20 @@ def replayed(members: DataFrame, splits: list[tuple[str, str]], merges: list[lis
     now = now.select("id", "rt_id", "role", F.coalesce("name_gid", "group_gid", "gid").alias("gid"), F.coalesce("name_step", "group_step", F.lit(0)).alias("step"))
     first = F.min("step").over(Window.partitionBy("gid", "rt_id", "role"))
     return now.withColumn("first", first).filter("step = first").select("id", "gid")
+
+
+def street_match(stores: DataFrame, existing: DataFrame, least: float = 0.6, decimals: int = 6) -> DataFrame:
+    """id, pid, score, reason: each store (id, address, city) and the property (pid, address, city) of its street number
+    and city whose street is most alike, the smaller pid on ties. Those without one say why: no_street_number, no_match
+    (no property there) or low_similarity."""
+
+    def placed(rows: DataFrame, key: str) -> DataFrame:
+        number, city = A.street_number(F.col("address")), A.dedup_city(F.coalesce("city", F.lit("")))
+        return rows.select(F.col(key).alias("id"), F.concat_ws("|", number, city).alias("block"), number.isNotNull().alias("numbered"), F.array_join(A.street_tokens(F.col("address")), " ").alias("text"))
+
+    left, right = written(placed(stores, "id")), written(placed(existing, "pid").filter("numbered"))
+    told = fuzzy_best(left.filter("numbered and text <> ''"), right.filter("text <> ''"), "block", least, decimals).distinct()
+    there = right.select("block").distinct().withColumn("there", F.lit(True))
+    out = left.select("id", "block", "numbered").distinct().join(there, "block", "left").join(told, "id", "left")
+    reason = F.when(F.col("match_id").isNotNull(), "").when(~F.col("numbered"), "no_street_number").when(F.col("there").isNull(), "no_match").otherwise("low_similarity")
+    return out.select("id", F.col("match_id").alias("pid"), "score", reason.alias("reason"))

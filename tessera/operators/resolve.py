@@ -208,13 +208,54 @@ def _ratio():
     return ratio
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, block: str, least: float = 0.6) -> DataFrame:
-    """For each left row the right row of the same block whose text is most alike (id, text, block on both sides).
-    Equal texts of a block are compared once."""
-    a, b = left.select(block, F.col("text").alias("ta")).distinct(), right.groupBy(block, F.col("text").alias("tb")).agg(F.min("id").alias("match_id"))
-    scored = a.join(b, block).withColumn("score", _ratio()("ta", "tb")).filter(F.col("score") >= least)
-    best = scored.groupBy(block, "ta").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
-    return left.join(best, (left[block] == best[block]) & (left["text"] == best["ta"])).select(left["id"], "m.match_id", F.round("m.score", 6).alias("score"))
+#: Characters counted one by one for the bound on a similarity; all others are counted together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Right texts of a block that are met at once.
+MET = 1024
+
+
+def _profiled(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the length of a text and how often it has each character."""
+    low, size = F.lower(name), F.length(name)
+    known = [size - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS]
+    return rows.withColumn(f"{name}_n", size).withColumn(f"{name}_has", F.array(*known)).withColumn(f"{name}_rest", size - F.length(F.regexp_replace(low, f"[^{LETTERS}]", "")))
+
+
+def _bound(a: str, b: str) -> Column:
+    """The similarity of two texts is twice what they share over their lengths: no more than the characters that both
+    have, however ordered. Case does not count here, so the bound holds whatever it is."""
+    shared = F.least(f"{a}_rest", f"{b}_rest")
+    for k in range(len(LETTERS)):
+        shared = shared + F.least(F.get(f"{a}_has", F.lit(k)), F.get(f"{b}_has", F.lit(k)))
+    return F.coalesce(2.0 * shared / F.nullif(F.col(f"{a}_n") + F.col(f"{b}_n"), F.lit(0)), F.lit(1.0))
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """What has to be compared character by character to find the best match of every left text (block, ta) among the
+    right ones (block, tb): first, for each left text, the right text of the greatest bound, scored; then the other
+    right texts whose bound is not below that score. All others can't be the best."""
+    a, b = _profiled(left, "ta"), _profiled(right, "tb")
+    sizes = b.groupBy("block").agg(F.ceil(F.count("*") / MET).cast("int").alias("slices"))
+    a = a.join(sizes, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    b = b.join(sizes, "block").withColumn("slice", F.pmod(F.xxhash64("tb"), "slices").cast("int")).drop("slices")
+    pairs = a.join(b, ["block", "slice"]).select("block", "ta", "tb", "match_id", _bound("ta", "tb").alias("bound")).filter(F.col("bound") >= least)
+    first = pairs.groupBy("block", "ta").agg(F.max_by(F.struct("tb", "match_id"), F.struct("bound", -F.col("match_id"))).alias("f")).select("block", "ta", "f.tb", "f.match_id")
+    first = written(first.withColumn("score", _ratio()("ta", "tb")))
+    known = first.select("block", "ta", F.col("tb").alias("seen"), F.greatest("score", F.lit(least)).alias("at_least"))
+    rest = pairs.join(known, ["block", "ta"]).filter((F.col("bound") >= F.col("at_least") - 1e-12) & (F.col("tb") != F.col("seen")))
+    return first, rest.select("block", "ta", "tb", "match_id")
+
+
+def fuzzy_best(left: DataFrame, right: DataFrame, block: str, least: float = 0.6, digits: int = 6) -> DataFrame:
+    """For each left row the right row of the same block whose text is most alike (id, text, block on both sides), if it
+    is ``least`` alike; the smaller id on ties. Equal texts of a block are compared once, and only where a bound in
+    columns allows it. Null texts and blocks match nothing."""
+    a = left.select(F.col(block).alias("block"), F.col("text").alias("ta")).dropna().distinct()
+    b = right.filter(F.col("text").isNotNull() & F.col(block).isNotNull()).groupBy(F.col(block).alias("block"), F.col("text").alias("tb")).agg(F.min("id").alias("match_id"))
+    first, rest = fuzzy_candidates(a, b, least)
+    scored = first.unionByName(rest.withColumn("score", _ratio()("ta", "tb"))).filter(F.col("score") >= least)
+    best = scored.groupBy("block", "ta").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
+    return left.join(best, (left[block] == best["block"]) & (left["text"] == best["ta"])).select(left["id"], "m.match_id", F.round("m.score", digits).alias("score"))
 
 
 def admitted(events: DataFrame, daily: int) -> DataFrame:

@@ -9,12 +9,14 @@ from tessera.functions import addresses as A
 from tessera.functions import text as T
 from tessera.operators import marts as M
 from tessera.operators import resolve as R
-from tessera.plans import places, records, rendered, views
+from tessera.plans import forms, points, rendered, views
 from tessera.plans.transactions import TX_SQL, transactions
 from tessera.sources.tables import table
 from tessera.streaming import events as E
 
 AS_OF = "2001-08-02"
+#: Holders from which on a signal is given by its members, not by their pairs.
+WIDE = 50
 RING = [(-79.51, 43.59), (-79.49, 43.59), (-79.49, 43.61), (-79.50, 43.60), (-79.51, 43.61)]
 
 
@@ -129,11 +131,11 @@ ALL = {
     ),
     "normalize_names": (
         lambda s, d: table(s, d, "supplier").select("s_suppkey", T.normalize_name(F.concat(F.lit("  "), "s_name", F.lit("  Inc. , "))).alias("name"), T.is_company(F.col("s_name")).alias("company")),
-        rf"SELECT s_suppkey, regexp_replace(trim(regexp_replace(upper('  ' || s_name || '  Inc. , '), '\s+', ' ', 'g')), '[.,;:]+$', '') AS name, {records._sql_company("s_name")} AS company FROM supplier",
+        rf"SELECT s_suppkey, regexp_replace(trim(regexp_replace(upper('  ' || s_name || '  Inc. , '), '\s+', ' ', 'g')), '[.,;:]+$', '') AS name, regexp_matches(s_name, '[0-9]') AS company FROM supplier",
     ),
     "dedup_keys": (
         lambda s, d: table(s, d, "part").groupBy(A.dedup_key(F.col("p_name"), F.col("p_brand")).alias("key")).agg(F.min("p_partkey").alias("pid"), F.count("*").alias("n")),
-        f"SELECT {records._sql_address('p_name')} || '|' || {records._sql_city('p_brand')} AS key, min(p_partkey) AS pid, count(*) AS n FROM part GROUP BY 1",
+        "SELECT upper(p_name) || '|' || upper(p_brand) AS key, min(p_partkey) AS pid, count(*) AS n FROM part GROUP BY 1",
     ),
     "extract_phones": (
         lambda s, d: table(s, d, "documents").select("doc_id", F.explode(T.phones_in(F.col("text"))).alias("phone")).select("doc_id", "phone", T.normalize_phone(F.col("phone")).alias("digits")),
@@ -200,11 +202,11 @@ ALL = {
         "s AS (SELECT buyer, seller AS modal_seller, k AS deals FROM b QUALIFY row_number() OVER (PARTITION BY buyer ORDER BY k DESC, first) = 1) SELECT s.buyer, m.city, modal_seller, deals FROM s JOIN m ON s.buyer = m.buyer",
     ),
     "shared_signal_score": (
-        lambda s, d: M.shared_signals(transactions(s, d)),
-        f"""WITH {TX_SQL}, p AS (SELECT DISTINCT buyer, prop_key FROM tx), keep AS (SELECT prop_key FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 49), q AS (SELECT * FROM p SEMI JOIN keep USING (prop_key)),
-        u AS (SELECT DISTINCT buyer, seller || '|' || brand AS signal FROM tx), ku AS (SELECT signal FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND 49), v AS (SELECT * FROM u SEMI JOIN ku USING (signal)),
-        x AS (SELECT a.buyer AS a, b.buyer AS b, 3 AS w FROM q a JOIN q b ON a.prop_key = b.prop_key AND a.buyer < b.buyer UNION ALL SELECT a.buyer, b.buyer, 1 FROM v a JOIN v b ON a.signal = b.signal AND a.buyer < b.buyer)
-        SELECT a, b, CAST(sum(w) AS BIGINT) AS score FROM x GROUP BY 1, 2 HAVING sum(w) >= 4""",
+        lambda s, d: M.shared_signals(transactions(s, d), WIDE),
+        f"""WITH {TX_SQL}, u AS (SELECT DISTINCT buyer, 'property ' || prop_key AS signal, 3 AS w FROM tx UNION ALL SELECT DISTINCT buyer, 'brand|' || seller || '|' || brand, 1 FROM tx),
+        h AS (SELECT *, count(*) OVER (PARTITION BY signal) AS holders FROM u)
+        SELECT 'pair' AS kind, x.buyer AS a, y.buyer AS b, CAST(sum(x.w) AS BIGINT) AS score FROM h x JOIN h y ON x.signal = y.signal AND x.buyer < y.buyer WHERE x.holders < {WIDE} GROUP BY 2, 3
+        UNION ALL SELECT 'member', buyer, signal, CAST(w AS BIGINT) FROM h WHERE holders >= {WIDE}""",
     ),
     "signal_suggestions": (
         _suggestions,
@@ -246,6 +248,6 @@ ALL = {
     ),
 }
 
-ALL |= records.ALL | views.ALL | places.ALL | rendered.ALL
+ALL |= points.ALL | views.ALL | forms.ALL | rendered.ALL
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in ALL.items() if sql is not None}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import chains
 from tessera.operators import resolve as R
 from tessera.plans.transactions import TX_SQL, transactions
 from tessera.sources.tables import table
@@ -13,7 +14,6 @@ from tessera.sources.tables import table
 LIMITS = {"view": 900, "click": None, "purchase": 280, "signup": 56}
 STAGES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"]
 _LINK = r'href="([^"]*)"'
-_FILES = ["brokers_2024-03-01_120000.json", "a_2023-12-31_000001.json", "notes.json"]
 
 
 def _budget(s, d) -> DataFrame:
@@ -140,13 +140,6 @@ def _merged(s, d) -> DataFrame:
     return known.join(review, "s_suppkey", "left").select("s_suppkey", F.coalesce(F.nullif("new_name", F.lit("")), "s_name").alias("name"), F.col("new_name").isNotNull().alias("reviewed"))
 
 
-def _file_times(s, d) -> DataFrame:
-    rows = s.createDataFrame([(x,) for x in _FILES], "file string")
-    at = F.regexp_extract("file", r"(\d{4}-\d{2}-\d{2}_\d{6})", 1)
-    slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace("file", r"\.json$", "")), "[^a-z0-9]+", "-"), "^-|-$", "")
-    return rows.select("file", F.date_format(F.try_to_timestamp(F.nullif(at, F.lit("")), F.lit("yyyy-MM-dd_HHmmss")), "yyyy-MM-dd HH:mm:ss").alias("made"), slug.alias("slug"))
-
-
 def _ranked_parties(s, d) -> DataFrame:
     """Customers by how well they answer a search: name, nation and segment count, and a tenth for each order; the best 50."""
     term = "customer#00000001"
@@ -158,11 +151,39 @@ def _ranked_parties(s, d) -> DataFrame:
     return rows.orderBy(F.desc("score"), "c_custkey").limit(50)
 
 
+def _chains(s, d) -> DataFrame:
+    """From each buyer to the first buyer of its city, over properties and sellers' brands, in three steps at most."""
+    tx = transactions(s, d)
+    said = F.array(F.struct(F.lit("property").alias("kind"), F.col("prop_key").cast("string").alias("value")), F.struct(F.lit("brand").alias("kind"), F.concat_ws("|", "seller", "brand").alias("value")))
+    firsts = tx.groupBy("city").agg(F.min("buyer").alias("goal"))
+    pairs = tx.select("city", F.col("buyer").alias("source")).distinct().join(firsts, "city").select("source", "goal")
+    return chains.evidence_chains(tx.select(F.col("buyer").alias("party"), F.inline(said)), pairs, 3)
+
+
+def _chain_sql(steps: int) -> str:
+    """A level after the other: what a level reaches is what none before has."""
+    at, out = ["l0 AS MATERIALIZED (SELECT DISTINCT source, source AS party, '' AS kind, '' AS value, '' AS via, 0 AS step, source AS chain FROM pairs)"], []
+    for k in range(1, steps + 1):
+        before = " UNION ALL ".join(f"SELECT source, party FROM l{j}" for j in range(k))
+        at.append(
+            f"m{k} AS MATERIALIZED (SELECT l.source, h.party, min({{'kind': u.kind, 'value': u.value, 'via': l.party}}) AS by FROM l{k - 1} l JOIN u ON l.party = u.party JOIN u h ON u.kind = h.kind AND u.value = h.value "
+            f"WHERE (l.source, h.party) NOT IN ({before}) GROUP BY 1, 2), "
+            f"l{k} AS MATERIALIZED (SELECT m.source, m.party, m.by.kind AS kind, m.by.value AS value, m.by.via AS via, {k} AS step, l.chain || ' -[' || m.by.kind || ': ' || m.by.value || ']- ' || m.party AS chain FROM m{k} m JOIN l{k - 1} l ON m.source = l.source AND m.by.via = l.party)"
+        )
+        out.append(f"SELECT * FROM l{k}")
+    return f"{', '.join(at)}, every AS (SELECT * FROM l0 UNION ALL {' UNION ALL '.join(out)}) SELECT p.source, p.goal, e.step AS steps, e.chain FROM pairs p LEFT JOIN every e ON p.source = e.source AND p.goal = e.party"
+
+
 _PTS = "pts AS (SELECT vec_id AS id, 43.60::DOUBLE + embedding[1]::DOUBLE * 0.05::DOUBLE AS lat, -79.50::DOUBLE + embedding[2]::DOUBLE * 0.05::DOUBLE AS lng, label FROM embeddings)"
 _HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - p.lng) / 2), 2)))"
 
 #: name: (query, SQL or None)
 ALL = {
+    "evidence_chains": (
+        _chains,
+        f"""WITH {TX_SQL}, u AS MATERIALIZED (SELECT DISTINCT buyer AS party, 'property' AS kind, CAST(prop_key AS VARCHAR) AS value FROM tx UNION ALL SELECT DISTINCT buyer, 'brand', seller || '|' || brand FROM tx),
+        pairs AS MATERIALIZED (SELECT DISTINCT buyer AS source, min(buyer) OVER (PARTITION BY city) AS goal FROM tx), {_chain_sql(3)}""",
+    ),
     "budget_guard": (
         _budget,
         f"""WITH lim(kind, cap) AS (VALUES {_KINDS}), u AS (SELECT event_type AS kind, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM events GROUP BY 1, 2),
@@ -232,10 +253,6 @@ ALL = {
         _merged,
         "SELECT s_suppkey, CASE WHEN s_suppkey % 14 = 0 THEN 'R ' || s_name ELSE s_name END AS name, s_suppkey % 7 = 0 AS reviewed FROM supplier",
     ),
-    "file_times": (
-        _file_times,
-        "SELECT * FROM (VALUES ('brokers_2024-03-01_120000.json', '2024-03-01 12:00:00', 'brokers-2024-03-01-120000'), ('a_2023-12-31_000001.json', '2023-12-31 00:00:01', 'a-2023-12-31-000001'), ('notes.json', NULL, 'notes')) t(file, made, slug)",
-    ),
     "ranked_parties": (
         _ranked_parties,
         """WITH o AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1),
