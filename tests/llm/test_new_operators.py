@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import delta_lloyd, divergence, queries, simhash
+from tessera.llm import delta_lloyd, divergence, near_dup, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -216,3 +216,32 @@ def test_simhash(spark):
 def test_simhash_query(spark):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.QUERIES["op13_simhash"](spark, SF).collect()), key=repr) == brute_simhash(rows)
+
+
+# near duplicates: recall against all pairs
+
+
+def test_near_duplicates_find_nearly_all_pairs(spark):
+    """All documents of a table against all others, found through shared shingles: of the pairs that reach the
+    threshold, set or probability Jaccard, nearly all have one class, and no class holds what no chain of pairs joins."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    bounds, hashes, counts, _ = near_dup.shingles([r.text for r in rows])
+    part = [(hashes[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    holders, met = {}, {}
+    for i, (h, _) in enumerate(part):
+        for x in h.tolist():
+            for j in holders.setdefault(x, []):
+                met[j, i] = met.get((j, i), 0) + 1
+            holders[x].append(i)
+    near = [(i, j) for (i, j), n in met.items() if n >= 0.4 * max(len(part[i][0]), len(part[j][0])) and near_dup.similarity(*part[i], *part[j]) >= near_dup.THRESHOLD]
+    of = {x.doc_id: x.class_id for x in queries.QUERIES["op9_near_dup"](spark, "/root/testdata/sf0.01").collect()}
+    same = sum(of[rows[i].doc_id] == of[rows[j].doc_id] for i, j in near)
+    label = list(range(len(rows)))
+    for i, j in near:
+        a, b = sorted((label[i], label[j]))
+        label = [a if x == b else x for x in label]
+    print("pairs", len(near), "recall", same / len(near))
+    assert len(near) > 20 and same >= 0.98 * len(near)
+    joined = {r.doc_id: label[k] for k, r in enumerate(rows)}
+    first = {}
+    assert all(first.setdefault(of[r.doc_id], joined[r.doc_id]) == joined[r.doc_id] for r in rows if r.text and r.text.strip())
