@@ -9,16 +9,15 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 EARTH_M = 6_371_000.0
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` stored in the shared folder ``spark.checkpoint.dir``, its lineage cut."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A folder of the shared one that ``spark.checkpoint.dir`` names, that nobody else has."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -26,9 +25,14 @@ def written(df: DataFrame) -> DataFrame:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tessera-"))
         base = _own[0]
-    path = posixpath.join(base, f"step-{uuid.uuid4().hex}")
+    return posixpath.join(base, f"step-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` stored in the shared folder ``spark.checkpoint.dir``, its lineage cut."""
+    path = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import addresses as A
 from tessera.functions import text as T
+from tessera.operators import confirm
 from tessera.operators import parties as P
 from tessera.operators import places as L
 from tessera.operators import resolve as R
@@ -295,6 +296,23 @@ def members(s, d) -> DataFrame:
     return transactions(s, d).select(F.col("rt_id").alias("id"), group.alias("gid"), F.upper("seller").alias("nn"), F.concat(F.lit("RT"), (F.col("rt_id") % 400).cast("string")).alias("rt_id"), F.lit("seller").alias("role"))
 
 
+# confirmation: groups of eight sellers, whose orders tell phones, contacts and aliases
+
+_GID = digits(cut("CAST(substr(seller, 10) AS INT)", 8), 5)
+_CALLED = f"CASE WHEN CAST({_GID} AS INT) % 3 = 0 THEN 'Trading Post ' || {_GID} ELSE '' END"
+_SAID_PHONE = "CASE WHEN CAST(substr(seller, 10) AS INT) % 4 < 2 AND rt_id % 3 = 0 THEN '555-' || CAST(CAST(substr(seller, 10) AS INT) % 2 AS STRING) ELSE ' ' END"
+_SAID_CONTACT = "CASE WHEN CAST(substr(seller, 10) AS INT) % 8 IN (5, 6) AND rt_id % 2 = 0 THEN 'kim ' || status ELSE '' END"
+_SAID_ALIAS = f"CASE WHEN CAST(substr(seller, 10) AS INT) % 8 IN (2, 6) AND rt_id % 5 = 0 THEN 'trading post' WHEN rt_id % 7 = 0 THEN brand END"
+
+
+def _confirmed(s, d) -> DataFrame:
+    tx = transactions(s, d)
+    rows = tx.select(F.expr(_GID).alias("gid"), F.upper("seller").alias("name"), F.expr(_SAID_PHONE).alias("phone"), F.expr(_SAID_CONTACT).alias("contact"), F.array_compact(F.array(F.expr(_SAID_ALIAS))).alias("aliases"))
+    groups = tx.select(F.expr(_GID).alias("gid"), F.expr(_CALLED).alias("display_name")).distinct()
+    known = rows.filter("name like '%3'").select("gid", "name")
+    return confirm.auto_confirmed(rows, groups, known)
+
+
 _TRY = ["a", "bare", *(f"a || ' {w}'" for w in L.DIRECTIONS)]
 
 #: name: (query, SQL or None)
@@ -346,6 +364,18 @@ ALL = {
         SELECT g.component, coalesce(kept.gid, printf('G%05d', top.t + row_number() OVER (PARTITION BY kept.gid IS NULL ORDER BY g.component))) AS gid, display_name, names, appearances FROM g JOIN shown USING (component) CROSS JOIN top LEFT JOIN kept USING (component)""",
     ),
     "alternate_clusters": (lambda s, d: P.clustered(leaning_appearances(s, d)), None),
+    "auto_confirm": (
+        _confirmed,
+        f"""WITH RECURSIVE {TX_SQL}, r AS (SELECT {_GID} AS gid, upper(seller) AS name, trim({_SAID_PHONE}) AS phone, upper(trim({_SAID_CONTACT})) AS contact, upper({_SAID_ALIAS}) AS alias, upper(trim({_CALLED})) AS shown FROM tx),
+        nm AS MATERIALIZED (SELECT gid, name, max(CASE WHEN shown <> '' AND (contains(shown, alias) OR contains(alias, shown)) THEN 1 ELSE 0 END) AS branded FROM r GROUP BY 1, 2),
+        e AS MATERIALIZED (SELECT DISTINCT a.gid, a.name AS x, b.name AS y FROM r a JOIN r b ON a.gid = b.gid AND ((a.phone <> '' AND a.phone = b.phone) OR (a.contact <> '' AND a.contact = b.contact))
+          UNION SELECT a.gid, a.name, b.name FROM nm a JOIN nm b ON a.gid = b.gid WHERE a.branded = 1 AND b.branded = 1),
+        w AS (SELECT gid, name, name AS m FROM nm UNION SELECT e.gid, e.y, w.m FROM w JOIN e ON w.gid = e.gid AND w.name = e.x),
+        c AS (SELECT gid, name, min(m) AS cluster FROM w GROUP BY 1, 2), z AS (SELECT gid, cluster, count(*) AS n, max(branded) AS branded FROM c JOIN nm USING (gid, name) GROUP BY 1, 2),
+        g AS (SELECT gid, count(*) AS names, max(branded) AS branded FROM nm GROUP BY 1),
+        p AS (SELECT z.gid, z.cluster FROM z JOIN g USING (gid) WHERE g.names > 1 AND (z.branded = 1 OR (g.branded = 0 AND z.n > 1)) QUALIFY row_number() OVER (PARTITION BY z.gid ORDER BY z.branded DESC, z.n DESC, z.cluster) = 1)
+        SELECT gid, name FROM nm JOIN g USING (gid) WHERE names = 1 AND name NOT LIKE '%3' UNION ALL SELECT gid, name FROM c JOIN p USING (gid, cluster) WHERE name NOT LIKE '%3'""",
+    ),
     "store_matches": (lambda s, d: L.street_match(*store_input(s, d)), None),
     "override_replay": (lambda s, d: L.replayed(members(s, d), *DECISIONS), None),
 }

@@ -9,6 +9,7 @@ from tessera.operators import chains
 from tessera.operators import resolve as R
 from tessera.plans.transactions import TX_SQL, transactions
 from tessera.sources.tables import table
+from tessera.streaming import events as E
 
 #: Monthly limits of uses by kind (None: no limit); a day's limit is a 28th of them. Kinds that are not listed may not be used.
 LIMITS = {"view": 900, "click": None, "purchase": 280, "signup": 56}
@@ -151,6 +152,23 @@ def _ranked_parties(s, d) -> DataFrame:
     return rows.orderBy(F.desc("score"), "c_custkey").limit(50)
 
 
+def _streamed(s, d, stream) -> DataFrame:
+    """What a stream over the events gives in four micro-batches."""
+    folder = R.new_folder(s)
+    return E.collected(stream(E.in_micro_batches(table(s, d, "events"), f"{folder}/in", 4)), f"{folder}/out", f"{folder}/checkpoint")
+
+
+def _budget_stream(s, d) -> DataFrame:
+    told = _streamed(s, d, lambda e: E.admission_stream(e, LIMITS))
+    return told.groupBy("kind", "day").agg(F.sum("used").alias("used"), F.sum("admitted").alias("admitted"))
+
+
+def _status_stream(s, d) -> DataFrame:
+    """The last status of every user that has one."""
+    told = _streamed(s, d, E.status_stream)
+    return told.groupBy("user_id").agg(F.max_by("status", F.struct("ts", F.col("was") != "not_started")).alias("status")).filter("status <> 'not_started'")
+
+
 def _chains(s, d) -> DataFrame:
     """From each buyer to the first buyer of its city, over properties and sellers' brands, in three steps at most."""
     tx = transactions(s, d)
@@ -191,6 +209,19 @@ ALL = {
         w AS (SELECT *, coalesce(sum(today) OVER (PARTITION BY kind, substr(day, 1, 7) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
         SELECT kind, day, used, CAST(CASE WHEN cap IS NULL THEN 0 WHEN cap < 0 THEN today ELSE greatest(least(today, cap - before), 0) END AS BIGINT) AS admitted FROM w""",
     ),
+    "budget_stream": (
+        _budget_stream,
+        f"""WITH lim(kind, cap) AS (VALUES {_KINDS}), u AS (SELECT event_type AS kind, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM events GROUP BY 1, 2),
+        t AS (SELECT u.*, cap, CASE WHEN cap IS NULL THEN 0 WHEN cap < 0 THEN used ELSE least(used, cap // 28) END AS today FROM u LEFT JOIN lim USING (kind)),
+        w AS (SELECT *, coalesce(sum(today) OVER (PARTITION BY kind, substr(day, 1, 7) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+        SELECT kind, day, used, CAST(CASE WHEN cap IS NULL THEN 0 WHEN cap < 0 THEN today ELSE greatest(least(today, cap - before), 0) END AS BIGINT) AS admitted FROM w""",
+    ),
+    "status_stream": (
+        _status_stream,
+        """WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS newest, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'click') AS clicked FROM events GROUP BY 1),
+        n AS (SELECT user_id, CASE WHEN newest = 'error' THEN 'do_not_contact' WHEN bought THEN 'interested' WHEN clicked THEN 'attempted' ELSE 'not_started' END AS status FROM s)
+        SELECT * FROM n WHERE status <> 'not_started'""",
+    ),
     "outreach_status": (
         _outreach,
         """WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS newest, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'click') AS clicked FROM events GROUP BY 1)

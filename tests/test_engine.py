@@ -14,7 +14,6 @@ from tessera.operators import marts as M
 from tessera.operators import places as L
 from tessera.operators import resolve as R
 from tessera.plans.queries import ORACLES, QUERIES
-from tessera.streaming import events as E
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,16 +97,6 @@ def test_fuzzy_best_of_meets_every_supplier_of_a_nation(spark, db):
     assert len(want) > 20 and {r.id: (r.match_id, r.score) for r in QUERIES["fuzzy_best_of"](spark, SF).collect()} == want
 
 
-def test_stream_counts_as_the_batch_does(spark, tmp_path):
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    events.repartition(2).write.parquet(str(tmp_path / "in"))
-    stream = E.tumbling_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp")))
-    q = stream.writeStream.outputMode("complete").format("memory").queryName("tumbling").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("tumbling").count() == E.tumbling_counts(events).count()
-
-
 def test_places_with_nothing_and_with_points_outside(spark):
     d = lambda schema: spark.createDataFrame([], schema)
     assert L.property_registry(d("rt_id string, address string, city string, pins array<string>"), d("pid string, address string, city string, pin string")).count() == 0

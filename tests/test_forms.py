@@ -14,6 +14,7 @@ from tessera.functions import addresses as A
 from tessera.functions import text as T
 from tessera.operators import chains
 from tessera.operators import checks as C
+from tessera.operators import confirm
 from tessera.operators import marts as M
 from tessera.operators import places as L
 from tessera.operators import parties as PA
@@ -357,3 +358,18 @@ def test_store_matches_query(spark):
     a, b = side(stores.filter(number.isNotNull()), "ta"), side(lots, "tb").withColumn("match_id", F.lit(1))
     first, rest = R.fuzzy_candidates(a, b)
     assert first.count() + rest.count() < 0.8 * a.join(b, "block").count()  # fewer comparisons than pairs of different texts
+
+
+def test_auto_confirm_of_stated_groups(spark):
+    rows = [
+        ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
+        ("G2", "A", "1", None, []), ("G2", "B", "1", "kim", []), ("G2", "C", None, "KIM ", []), ("G2", "D", "9", "", []),  # A-B by phone, B-C by contact
+        ("G3", "A", "1", "", ["Acme"]), ("G3", "B", "1", "", []), ("G3", "C", "2", "", ["acme holdings co"]), ("G3", "D", "3", "", []), ("G3", "E", "3", "", []), ("G3", "F", "3", "", []),  # aliases beat size
+        ("G4", "A", "", "", []), ("G4", "B", "", "", [""]),  # nothing in common
+        ("G5", "A", "7", "", []), ("G5", "B", "7", "", []), ("G5", "C", "8", "", []), ("G5", "D", "8", "", []),  # of equal ones that of the smallest name
+    ]
+    table = spark.createDataFrame(rows, "gid string, name string, phone string, contact string, aliases array<string>")
+    groups = spark.createDataFrame([("G1", "x"), ("G2", None), ("G3", " Acme Holdings "), ("G4", ""), ("G5", "zz")], "gid string, display_name string")
+    got = {tuple(r) for r in confirm.auto_confirmed(table.union(table), groups, spark.createDataFrame([("G2", "B")], "gid string, name string")).collect()}
+    assert got == {("G1", "ALONE"), ("G2", "A"), ("G2", "C"), ("G3", "A"), ("G3", "B"), ("G3", "C"), ("G5", "A"), ("G5", "B")}
+    assert confirm.auto_confirmed(table.limit(0), groups).count() == 0
