@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import addresses as A
+from tessera.operators import overlap as O
 from tessera.operators import resolve as R
 from tessera.sources.tables import table
 
@@ -63,8 +64,32 @@ q AS (SELECT *, {A.AXIS!r}::DOUBLE / sqrt(1 - {_D[0]} * sin(f) ^ 2) AS n, tan(f)
 SELECT id, round(0.9996::DOUBLE * n * (a + (1 - t + c) * a ^ 3 / 6 + (5 - 18 * t + t ^ 2 + 72 * c - 58 * {_D[1]}) * a ^ 5 / 120) + 500000, 3) AS x,
   round(0.9996::DOUBLE * (m + n * tan(f) * (a ^ 2 / 2 + (5 - t + 9 * c + 4 * c ^ 2) * a ^ 4 / 24 + (61 - 58 * t + t ^ 2 + 600 * c - 330 * {_D[1]}) * a ^ 6 / 720)), 3) AS y, round(lng, 6) AS lng, round(lat, 6) AS lat FROM q"""
 
+def plots(s, d) -> DataFrame:
+    """polygon_id, ring: an upright rectangle around every point."""
+    x, y = (lambda e: F.expr(f"CAST(lng + ({e}) * CAST({_PLOT_W} AS DOUBLE) AS DOUBLE)")), (lambda e: F.expr(f"CAST(lat + ({e}) * CAST({_PLOT_H} AS DOUBLE) AS DOUBLE)"))
+    corner = lambda i, j: F.struct(x(i).alias("x"), y(j).alias("y"))
+    return _points(s, d).select(F.col("id").alias("polygon_id"), F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring"))
+
+
+_PLOT_W, _PLOT_H = "((1 + id % 4) * 0.0005)", "((1 + id % 3) * 0.0004)"
+
+
+def _plot_overlaps(s, d) -> DataFrame:
+    """Of plots that overlap plots of even numbers, the one they share most with."""
+    rows = plots(s, d)
+    out = O.most_overlapped(rows.filter("polygon_id % 2 = 1"), rows.filter("polygon_id % 2 = 0"), 0.002)
+    return out.select("a", "b", F.round(F.col("area") * 1e6, 6).alias("area"), F.round("share", 6).alias("share"))
+
+
 #: name: (query, SQL or None)
 ALL = {
+    "plot_overlaps": (
+        _plot_overlaps,
+        f"""WITH {_PTS}, r AS (SELECT id, lng - CAST({_PLOT_W} AS DOUBLE) AS x1, lng + CAST({_PLOT_W} AS DOUBLE) AS x2, lat - CAST({_PLOT_H} AS DOUBLE) AS y1, lat + CAST({_PLOT_H} AS DOUBLE) AS y2 FROM pts),
+        o AS (SELECT a.id AS a, b.id AS b, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS area, (a.x2 - a.x1) * (a.y2 - a.y1) AS own
+              FROM r a JOIN r b ON a.id % 2 = 1 AND b.id % 2 = 0 AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
+        SELECT a, b, round(area * 1e6, 6) AS area, round(area / own, 6) AS share FROM o QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(area / own, 9) DESC, b) = 1""",
+    ),
     "utm": (_utm, _UTM),
     "polygons_of_points": (
         lambda s, d: R.containing(_points(s, d), rings(s, d), 0.02),

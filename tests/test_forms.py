@@ -2,6 +2,7 @@
 
 import difflib
 import itertools
+import math
 import random
 import re
 import time
@@ -16,6 +17,7 @@ from tessera.operators import chains
 from tessera.operators import checks as C
 from tessera.operators import confirm
 from tessera.operators import marts as M
+from tessera.operators import overlap as O
 from tessera.operators import places as L
 from tessera.operators import parties as PA
 from tessera.operators import record_pages as P
@@ -373,3 +375,53 @@ def test_auto_confirm_of_stated_groups(spark):
     got = {tuple(r) for r in confirm.auto_confirmed(table.union(table), groups, spark.createDataFrame([("G2", "B")], "gid string, name string")).collect()}
     assert got == {("G1", "ALONE"), ("G2", "A"), ("G2", "C"), ("G3", "A"), ("G3", "B"), ("G3", "C"), ("G5", "A"), ("G5", "B")}
     assert confirm.auto_confirmed(table.limit(0), groups).count() == 0
+
+
+def by_slabs(one, two):
+    """The shared area between all corners and crossings: within a slab the shared length of a vertical is linear."""
+    edges = lambda r: list(zip(r, r[1:] + r[:1], strict=True))
+    xs = {p[0] for p in one + two}
+    for (a, b), (c, d) in itertools.product(edges(one), edges(two)):
+        den = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
+        if den:
+            t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / den
+            xs.add(a[0] + t * (b[0] - a[0]))
+    xs, total = sorted(xs), 0.0
+    for lo, hi in itertools.pairwise(xs):
+        if hi - lo < 1e-12:
+            continue
+        x = (lo + hi) / 2
+        cut = lambda r: sorted(a[1] + (x - a[0]) * (b[1] - a[1]) / (b[0] - a[0]) for a, b in edges(r) if min(a[0], b[0]) < x < max(a[0], b[0]))  # noqa: B023, E731
+        inside = [list(zip(c[::2], c[1::2], strict=False)) for c in (cut(one), cut(two))]
+        total += (hi - lo) * sum(max(0.0, min(p[1], q[1]) - max(p[0], q[0])) for p, q in itertools.product(*inside))
+    return total
+
+
+def star(r, n, x, y):
+    """A simple ring, concave as it likes."""
+    turns = [2 * math.pi * (k + 0.4 * r.random()) / n for k in range(n)]
+    return [(x + (d := r.uniform(0.2, 1)) * math.cos(t), y + d * math.sin(t)) for t in turns]
+
+
+def test_shared_area_of_concave_rings():
+    r = random.Random(7)
+    for _ in range(300):
+        one, two = star(r, r.randint(3, 9), 0, 0), star(r, r.randint(3, 9), r.uniform(-1, 1), r.uniform(-1, 1))
+        want = by_slabs(one, two)
+        for a, b in ((one, two), (two, one[::-1]), (one[2:] + one[:2], [*two, two[0]])):
+            assert math.isclose(O.shared_area(a, b), want, rel_tol=1e-7, abs_tol=1e-9)
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    assert O.shared_area(square, square) == 1 and O.shared_area(square, [(x + 1, y) for x, y in square]) == 0 and O.shared_area(square, square[:2]) == 0
+
+
+def test_overlaps_of_all_sizes(spark):
+    """Small rings, rings over very many cells, odd ones; every pair once."""
+    r = random.Random(8)
+    rings = {k: star(r, 7, r.uniform(-3, 3), r.uniform(-3, 3)) for k in range(60)} | {100: [(-50.0, -50.0), (50.0, -50.0), (50.0, 0.5), (-50.0, 0.5)], 101: [(0.0, 0.0), (1.0, 1.0)], 102: [(0.0, 0.0), (1.0, 0.0), (0.5, 0.0)]}
+    schema = "polygon_id long, ring array<struct<x:double,y:double>>"
+    table = spark.createDataFrame([*rings.items(), (103, None), (104, []), (105, [(0.0, None), (1.0, 0.0), (1.0, 1.0)])], schema)
+    got = {(x.a, x.b): x.area for x in O.overlaps(table, table, 0.25).collect()}
+    want = {(i, j): by_slabs(p, q) for (i, p), (j, q) in itertools.product(rings.items(), repeat=2) if len(p) > 2}
+    want = {k: v for k, v in want.items() if v > 1e-7}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], v, rel_tol=1e-6) for k, v in want.items()) and O.overlaps(table, table, 0.25).count() == len(want)
+    assert O.overlaps(table.limit(0), table, 0.25).count() == 0
