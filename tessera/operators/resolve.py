@@ -69,6 +69,26 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
+def components_after(edges: DataFrame, now: DataFrame, removed: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, components) after edges (a, b) were removed and added, from the edges and the components (id, component)
+    before. An edge that is removed and added is there; removing what is not there does nothing.
+
+    Only components with an end of a changed edge are made anew, from their own edges; all others are carried over as
+    they are, so the work grows with the components that are touched. A component that falls apart gives several, and
+    ids without an edge have none, as in ``components``.
+    """
+    tidy = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropna().filter("a <> b").distinct()
+    old, gone, fresh = tidy(edges), tidy(removed), tidy(added)
+    ends = gone.union(fresh).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    touched = written(ends.join(now, "id").select("component").distinct())
+    members = written(now.join(touched, "component", "left_semi").select("id"))
+    own = old.join(members.withColumnRenamed("id", "a"), "a", "left_semi")  # both ends of an edge are in one component
+    left = own.join(gone, ["a", "b"], "left_anti").union(fresh).distinct()
+    anew = components(left)
+    after = now.join(touched, "component", "left_anti").select("id", "component").unionByName(anew)
+    return old.join(gone, ["a", "b"], "left_anti").union(fresh).distinct(), after
+
+
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
     return 2 * EARTH_M * F.asin(F.sqrt(a))

@@ -152,6 +152,15 @@ def _ranked_parties(s, d) -> DataFrame:
     return rows.orderBy(F.desc("score"), "c_custkey").limit(50)
 
 
+def _edited(s, d) -> DataFrame:
+    """Orders that hang together by a seller's deals in a property, after one deal in fifty was taken apart and others joined."""
+    rows = transactions(s, d).select("rt_id", F.concat_ws("|", "seller", "brand").alias("deal"))
+    edges = R.written(R.star_edges(rows, "deal", "rt_id"))
+    removed = edges.filter("b % 50 = 7")
+    added = rows.filter("rt_id % 200 = 3").select(F.col("rt_id").alias("a"), (F.col("rt_id") + 1).alias("b")).join(rows.select(F.col("rt_id").alias("b")), "b", "left_semi").select("a", "b")
+    return R.components_after(edges, R.written(R.components(edges)), removed, added)[1]
+
+
 def _streamed(s, d, stream) -> DataFrame:
     """What a stream over the events gives in four micro-batches."""
     folder = R.new_folder(s)
@@ -197,6 +206,13 @@ _HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - p.lat) / 2), 2
 
 #: name: (query, SQL or None)
 ALL = {
+    "edited_components": (
+        _edited,
+        f"""WITH RECURSIVE {TX_SQL}, m AS (SELECT min(rt_id) OVER (PARTITION BY seller, brand) AS a, rt_id AS b FROM tx), e AS MATERIALIZED (
+          SELECT a, b FROM m WHERE a <> b AND b % 50 <> 7 UNION SELECT x.rt_id, y.rt_id FROM tx x JOIN tx y ON y.rt_id = x.rt_id + 1 WHERE x.rt_id % 200 = 3),
+        n AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS id, a AS c FROM n UNION SELECT n.b, r.c FROM r JOIN n ON r.id = n.a)
+        SELECT id, min(c) AS component FROM r GROUP BY 1""",
+    ),
     "evidence_chains": (
         _chains,
         f"""WITH {TX_SQL}, u AS MATERIALIZED (SELECT DISTINCT buyer AS party, 'property' AS kind, CAST(prop_key AS VARCHAR) AS value FROM tx UNION ALL SELECT DISTINCT buyer, 'brand', seller || '|' || brand FROM tx),

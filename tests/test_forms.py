@@ -425,3 +425,22 @@ def test_overlaps_of_all_sizes(spark):
     want = {k: v for k, v in want.items() if v > 1e-7}
     assert got.keys() == want.keys() and all(math.isclose(got[k], v, rel_tol=1e-6) for k, v in want.items()) and O.overlaps(table, table, 0.25).count() == len(want)
     assert O.overlaps(table.limit(0), table, 0.25).count() == 0
+
+
+def test_edited_components_are_those_of_a_full_rebuild(spark):
+    r = random.Random(9)
+    frame = lambda rows: spark.createDataFrame(list(rows), "a long, b long")
+    norm = lambda rows: {(min(e), max(e)) for e in rows if None not in e and e[0] != e[1]}
+    edges = {(r.randrange(80), r.randrange(80)) for _ in range(60)}
+    now = R.written(R.components(frame(norm(edges))))
+    for _ in range(3):
+        gone = {e[:: r.choice([1, -1])] for e in r.sample(sorted(norm(edges)), 12)} | {(500, 501)}
+        new = {(r.randrange(90), r.randrange(90)) for _ in range(4)} | {(7, 7), (None, 3)}
+        after, now = R.components_after(frame(norm(edges)), now, frame(gone), frame(new))
+        edges = (norm(edges) - norm(gone)) | norm(new)
+        now = R.written(now)
+        assert norm(map(tuple, after.collect())) == edges
+        want = {x.id: x.component for x in R.components(frame(edges)).collect()}
+        assert {x.id: x.component for x in now.collect()} == want
+    kept = R.components_after(frame(edges), now, frame([]), frame([]))[1]
+    assert {x.id: x.component for x in kept.collect()} == want
