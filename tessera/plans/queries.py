@@ -15,6 +15,8 @@ from tessera.sources.tables import table
 from tessera.streaming import events as E
 
 AS_OF = "2001-08-02"
+#: Thirty days before that.
+RECENT = "2001-07-03"
 #: Holders from which on a signal is given by its members, not by their pairs.
 WIDE = 50
 RING = [(-79.51, 43.59), (-79.49, 43.59), (-79.49, 43.61), (-79.50, 43.60), (-79.51, 43.61)]
@@ -42,9 +44,9 @@ def _cc_names(s, d) -> DataFrame:
 
 
 def _suggestions(s, d) -> DataFrame:
-    """All that share a signal with the first 20 buyers by name."""
+    """All that share a signal with a buyer who has dealt in the last thirty days."""
     tx = transactions(s, d)
-    return M.signal_suggestions(tx, tx.select("buyer").distinct().orderBy("buyer").limit(20))
+    return M.signal_suggestions(tx, tx.filter(F.col("iso").between(RECENT, AS_OF)).select("buyer"))
 
 
 def _customer_state(s, d, as_of: str) -> DataFrame:
@@ -211,7 +213,7 @@ ALL = {
     "signal_suggestions": (
         _suggestions,
         f"""WITH {TX_SQL}, u AS (SELECT DISTINCT buyer, CAST(prop_key AS VARCHAR) AS signal, 3 AS w FROM tx UNION ALL SELECT DISTINCT buyer, seller || '|' || brand, 1 FROM tx),
-        t AS (SELECT DISTINCT buyer FROM tx ORDER BY buyer LIMIT 20)
+        t AS (SELECT DISTINCT buyer FROM tx WHERE iso BETWEEN '{RECENT}' AND '{AS_OF}')
         SELECT a.buyer, b.buyer AS other, CAST(sum(a.w) AS BIGINT) AS score FROM u a SEMI JOIN t USING (buyer) JOIN u b ON a.signal = b.signal AND a.w = b.w AND a.buyer <> b.buyer GROUP BY 1, 2""",
     ),
     "address_collection": (

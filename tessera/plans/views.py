@@ -81,13 +81,21 @@ def _usual_place(s, d) -> DataFrame:
     return n.join(best, (F.col("seller") == F.col("who")) & (n["k"] == best["k"])).groupBy("seller").agg(F.min("address").alias("address"), F.max(n["k"]).alias("k"))
 
 
+#: Sellers of one buyer and place from which on they are given one by one, not in pairs.
+WIDE = 50
+
+
 def _shared_pairs(s, d) -> DataFrame:
-    """For the first twenty sellers by name: all others that share both a place and a buyer with them, and how many
-    of each. Rows grow with the table for a given set of sellers."""
+    """All sellers that share a place and a buyer there, and how many of each (kind ``pair``); where very many share one,
+    each of them with the number of all (kind ``member``: a the seller, b the place and the buyer)."""
     met = transactions(s, d).select("seller", "address", "buyer").distinct()
-    asked = met.select("seller").distinct().orderBy("seller").limit(20)
-    a, b = met.join(F.broadcast(asked), "seller").withColumnRenamed("seller", "a"), met.withColumnRenamed("seller", "b")
-    return a.join(b, ["address", "buyer"]).filter("a <> b").groupBy("a", "b").agg(F.count_distinct("address").alias("places"), F.count_distinct("buyer").alias("buyers"))
+    holders = met.groupBy("address", "buyer").agg(F.count("*").alias("n")).filter("n > 1")
+    held = R.written(met.join(holders, ["address", "buyer"]))
+    few = held.filter(F.col("n") < WIDE)
+    a, b = few.withColumnRenamed("seller", "a"), few.select("address", "buyer", F.col("seller").alias("b"))
+    pairs = a.join(b, ["address", "buyer"]).filter("a < b").groupBy("a", "b").agg(F.count_distinct("address").alias("places"), F.count_distinct("buyer").alias("buyers"))
+    members = held.filter(F.col("n") >= WIDE).select(F.lit("member").alias("kind"), F.col("seller").alias("a"), F.concat_ws("|", "address", "buyer").alias("b"), F.col("n").alias("places"), F.col("n").alias("buyers"))
+    return pairs.select(F.lit("pair").alias("kind"), "a", "b", "places", "buyers").unionByName(members)
 
 
 def _cluster_rollup(s, d) -> DataFrame:
@@ -268,7 +276,9 @@ ALL = {
     ),
     "shared_pairs": (
         _shared_pairs,
-        f"WITH {TX_SQL}, m AS (SELECT DISTINCT seller, address, buyer FROM tx) SELECT a.seller AS a, b.seller AS b, count(DISTINCT a.address) AS places, count(DISTINCT a.buyer) AS buyers FROM m a JOIN m b USING (address, buyer) WHERE a.seller <> b.seller AND a.seller IN (SELECT DISTINCT seller FROM tx ORDER BY seller LIMIT 20) GROUP BY 1, 2",
+        f"""WITH {TX_SQL}, m AS (SELECT *, count(*) OVER (PARTITION BY address, buyer) AS n FROM (SELECT DISTINCT seller, address, buyer FROM tx))
+        SELECT 'pair' AS kind, a.seller AS a, b.seller AS b, count(DISTINCT a.address) AS places, count(DISTINCT a.buyer) AS buyers FROM m a JOIN m b ON a.address = b.address AND a.buyer = b.buyer AND a.seller < b.seller WHERE a.n < {WIDE} GROUP BY 2, 3
+        UNION ALL SELECT 'member', seller, address || '|' || buyer, n, n FROM m WHERE n >= {WIDE}""",
     ),
     "cluster_rollup": (
         _cluster_rollup,
