@@ -9,7 +9,7 @@ from tessera.functions import addresses as A
 from tessera.functions import text as T
 from tessera.operators import marts as M
 from tessera.operators import resolve as R
-from tessera.plans import forms, points, rendered, views
+from tessera.plans import details, forms, points, rendered, views
 from tessera.plans.transactions import TX_SQL, transactions
 from tessera.sources.tables import table
 from tessera.streaming import events as E
@@ -250,6 +250,6 @@ ALL = {
     ),
 }
 
-ALL |= points.ALL | views.ALL | forms.ALL | rendered.ALL
+ALL |= points.ALL | views.ALL | forms.ALL | rendered.ALL | details.ALL
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in ALL.items() if sql is not None}
