@@ -38,6 +38,8 @@ _NONE = np.int32(2**31 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD1342543DE82EF95)
 _SHORT = 40
+#: Text that is cut at once; equal words of more text are encoded once, for some more memory.
+RUN_CHARS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -326,11 +328,12 @@ class TextEncoder:
     """Whole texts, batch by batch. Matches never cross a space that stands between
     two other characters, so a text is cut there and equal chunks are encoded once."""
 
-    def __init__(self, rank_path: str, pattern: str):
+    def __init__(self, rank_path: str, pattern: str, run_chars: int = RUN_CHARS):
         self.bpe = RankBPE(load_ranks(rank_path))
         self.many = ManyBPE(self.bpe)
         self.find = regex.compile(pattern).findall
         self.chunks = chunks.Recent(60_000)
+        self.run_chars = run_chars
 
     def _encode_pieces(self, texts: list[str]) -> list[list[int]]:
         cut = list(map(self.find, texts))
@@ -339,7 +342,7 @@ class TextEncoder:
         return [of[ps[0]] if len(ps) == 1 else [t for p in ps for t in of[p]] for ps in cut]
 
     def batch(self, texts: pa.Array) -> Iterator[list[int]]:
-        for a, b in chunks.runs(texts):
+        for a, b in chunks.runs(texts, self.run_chars):
             yield from self.encode(texts[a:b].to_pylist())
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
@@ -364,10 +367,10 @@ class TextEncoder:
             yield ids
 
 
-def _digests(rank_path: str, pattern: str):
+def _digests(rank_path: str, pattern: str, run_chars: int = RUN_CHARS):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        encoder = TextEncoder(rank_path, pattern)
+        encoder = TextEncoder(rank_path, pattern, run_chars)
         gc.disable()  # millions of lists without cycles
         decimal = [str(i) for i in range(len(encoder.bpe.bytes_of))].__getitem__
         for batch in batches:
@@ -383,12 +386,12 @@ def _digests(rank_path: str, pattern: str):
     return run
 
 
-def encode_digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 (of the bytes that the ids decode to)."""
     python_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_digests(rank_path, pattern), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_digests(rank_path, pattern, run_chars), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def encode_ids(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
