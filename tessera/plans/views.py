@@ -71,7 +71,7 @@ def _stage_totals(s, d) -> DataFrame:
     """Deals and value of every stage of a fixed list, zero where there are none."""
     dim = s.createDataFrame([(k, x) for k, x in enumerate(STAGES)], "ord long, stage string")
     sums = transactions(s, d).groupBy(F.col("priority").alias("stage")).agg(F.count("*").alias("n"), F.sum("price").alias("value"))
-    return dim.join(F.broadcast(sums), "stage", "left").select("ord", "stage", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    return dim.join(sums, "stage", "left").select("ord", "stage", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
 
 
 def _usual_place(s, d) -> DataFrame:
