@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import BROADCAST_BYTES, broadcast_if_small, fits, release, stored
+from tessera.llm.scratch import BROADCAST_BYTES, broadcast_if_small, release, stored
 
 LEAST_DOCS = 10
 TOP = 10
