@@ -1,8 +1,11 @@
 """Pages, addresses, names and registries: literal cases, odd input, and brute force where there is no SQL."""
 
+import ast
 import difflib
+import glob
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -444,3 +447,12 @@ def test_edited_components_are_those_of_a_full_rebuild(spark):
         assert {x.id: x.component for x in now.collect()} == want
     kept = R.components_after(frame(edges), now, frame([]), frame([]))[1]
     assert {x.id: x.component for x in kept.collect()} == want
+
+
+@pytest.mark.parametrize("path", glob.glob(os.path.join(os.path.dirname(forms.__file__), "*.py")), ids=os.path.basename)
+def test_no_constant_is_set_twice(path):
+    """SQL and queries are filled in at different times, so a second value for a name would reach the older query too."""
+    with open(path) as f:
+        body = ast.parse(f.read()).body
+    names = [t.id for n in body if isinstance(n, ast.Assign) for x in n.targets for t in ast.walk(x) if isinstance(t, ast.Name)]
+    assert [n for n, k in Counter(names).items() if k > 1] == []
