@@ -43,6 +43,16 @@ class Recent:
             self.old, self.new = self.new, {}
         self.new[key] = value
 
+    def put_all(self, keys: list, values: list) -> None:
+        """``put`` of every key, in stretches that fit."""
+        at = 0
+        while at < len(keys):
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            room = self.size - len(self.new)
+            self.new.update(zip(keys[at : at + room], values[at : at + room], strict=True))
+            at += room
+
 
 def runs(texts: pa.Array, chars: int = 1_000_000) -> list[tuple[int, int]]:
     """Stretches of a batch that hold about so many bytes of text, so that a batch of

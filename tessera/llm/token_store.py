@@ -187,8 +187,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 #: Words that normalizing leaves in one piece: Latin letters below U+0250, none of which composes with or splits
-#: into another character, and all of which have a lower case of one character (U+0130 has not).
-_LATIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,60}[,.]?").fullmatch
+#: into another character, and all of which have a lower case of one character (U+0130 has not); and the ASCII
+#: marks behind them, which are a word of their own (an apostrophe may begin a longer one).
+_LATIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,60})([!-&(-/:-@\\[-`{-~]{0,8})").fullmatch
 
 
 #: Rows whose letters keep their case until the tokenizer has them: special tokens are found before case is folded, and
@@ -197,20 +198,22 @@ _CASE_MATTERS = "<\\||[\u0300-\u036f]"
 
 
 class ChunkEncoder:
-    """Ids of chunks between spaces. A chunk of Latin letters alone, perhaps with one comma or
-    full stop, goes to the tokenizer's model as the word that its normalizer and splitter
-    would make of it; any other chunk goes through the whole tokenizer. Special tokens that
-    a text spells out get their ids, as the library gives them."""
+    """Ids of chunks between spaces. A chunk of Latin letters alone, perhaps with a few ASCII
+    marks behind them, goes to the tokenizer's model as the word that its normalizer and splitter
+    would make of it, and its marks are looked up; any other chunk goes through the whole tokenizer.
+    Special tokens that a text spells out get their ids, as the library gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.tails = {t: self._whole([t])[0] for t in ",."}
-        probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ŸĐǄ", "ſƿ"]
-        self.direct = [self._word(c) for c in probe] == self._whole(probe)  # else everything goes through the tokenizer
+        self.model, letters = self.tokenizer.model, _byte_letters()
+        self.letters = np.array([10 if b == 10 else ord(letters[b]) for b in range(256)], dtype="<u2")  # line feeds stay: they stand between words
+        self.tails = {"": b""}
+        self.direct = True
+        probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ŸĐǄ", "ſƿ", "A***", "é$%<|>", *(f"a{chr(c)}" for c in range(33, 127) if _LATIN_WORD(f"a{chr(c)}"))]
+        self.direct = self(probe) == self._whole(probe)  # else everything goes through the tokenizer
         self.breaks_as_spaces = len(set(self._whole(["a. B", "a.\nB", "a.\n\nB", "a. \n B"]))) == 1  # line feeds are white space like any other
         self.stops_apart = len(set(self._whole(["ab, CD. e", "ab , CD . e"]))) == 1 and len(set(self._whole(["A'S, b", "A'S , b"]))) == 1  # a stop after a letter is a word
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -229,22 +232,29 @@ class ChunkEncoder:
     def _whole(self, chunk_list: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunk_list, add_special_tokens=False)]
 
-    def _word(self, chunk: str) -> bytes:
-        tail = self.tails.get(chunk[-1])
-        word = (chunk if tail is None else chunk[:-1]).lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        return ids if tail is None else ids + tail
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters: folded and brought to the letters of bytes all together."""
+        raw = np.frombuffer("\n".join(words).lower().encode(), dtype=np.uint8)
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in self.letters[raw].tobytes().decode("utf-16-le").split("\n")]
+
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            ids = self.tails[marks] = self._whole([marks])[0]
+        return ids
 
     def __call__(self, chunk_list: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(chunk_list)
-        rest = []
-        for i, c in enumerate(chunk_list):
-            if self.direct and _LATIN_WORD(c):
-                out[i] = self._word(c)
-            else:
-                rest.append(i)
+        rest = range(len(chunk_list))
+        if self.direct:
+            parts = [m and m.groups() for m in map(_LATIN_WORD, chunk_list)]
+            at, rest = [i for i, p in enumerate(parts) if p], [i for i, p in enumerate(parts) if not p]
+            for i, ids in zip(at, self._words([parts[i][0] for i in at]) if at else [], strict=True):
+                marks = parts[i][1]
+                out[i] = ids + self._tail(marks) if marks else ids
         for lo in range(0, len(rest), 20_000):
             for i, ids in zip(rest[lo : lo + 20_000], self._whole([chunk_list[i] for i in rest[lo : lo + 20_000]]), strict=True):
                 out[i] = ids
@@ -268,9 +278,11 @@ def _tokenize(path: str, end_id: int, kind: str):
             bounds, codes, different = chunks.cut(encoder.prepared(text))
             found = known.get_all(different)
             new = [i for i, f in enumerate(found) if f is None]
-            for i, ids in zip(new, encoder([different[i] for i in new]), strict=True):
+            fresh = [different[i] for i in new]
+            coded = encoder(fresh)
+            for i, ids in zip(new, coded, strict=True):
                 found[i] = ids
-                known.put(different[i], ids)
+            known.put_all(fresh, coded)
             sizes = np.array([len(f) for f in found], dtype=np.int64) // 4
             flat = np.frombuffer(b"".join(found), dtype="<u4")
             each = sizes[codes]

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, decontaminate, html_extract, line_dedup, near_dup, queries, sharding, token_store, toxicity, warc
+from tessera.llm import ann, bpe, chunks, decontaminate, html_extract, line_dedup, near_dup, queries, sharding, token_store, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 ENCODER: dict = {}
@@ -181,6 +181,28 @@ def test_chunks_are_encoded_as_the_library_does_for_every_letter():
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder(words)] == [x[:-1] for x in brute_ids(words)]
 
 
+def test_words_with_marks_pass_by_the_tokenizer():
+    """Only the marks go through the tokenizer; the ids are those of the library all the same."""
+    encoder = token_store.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
+    words = [w + a + b for w in ("Heat", "éÀ", "s", "ŸĐǄ") for a in marks for b in ("", a, *marks[::5])] + ["that$$$$$$$$", "<|", "a<|", "b|>", "x<|b|>"]
+    seen, whole = [], encoder._whole
+    encoder._whole = lambda texts: seen.extend(texts) or whole(texts)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder(words)] == [x[:-1] for x in brute_ids(words)]
+    assert [t for t in seen if any(c.isalpha() for c in t)] == ["x<|b|>"]
+    rest = ["don't", "a'", "x'S.", "a1.", "é\u0301***", "<|endoftext|>***", "a" * 70 + ".", "a" + "*" * 20, "a*\u0338"]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder(rest)] == [x[:-1] for x in brute_ids(rest)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 100])
+def test_what_came_last_is_remembered(size):
+    known = chunks.Recent(size)
+    for lo in range(0, 60, 12):
+        known.put_all(list(range(lo, lo + 12)), [str(k) for k in range(lo, lo + 12)])
+        last = list(range(max(0, lo + 12 - size), lo + 12))
+        assert len(known.new) <= size and known.get_all(last) == [str(k) for k in last]
+
+
 def brute_limited_cost(counts, limit):
     """The least cost of code lengths of at most ``limit`` bits, tried level by level from the root: of the nodes
     on a level some become leaves (the commonest symbols left), the others have two children."""
