@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,6 +41,12 @@ _MIX = np.uint64(0xD1342543DE82EF95)
 _SHORT = 40
 #: Text that is cut at once; equal words of more text are encoded once, for some more memory.
 RUN_CHARS = 1_000_000
+#: Chunks that stay known from one such text to the next, twice as many at most.
+REMEMBERED = 60_000
+#: A pattern by which letters are one match with the space before them and ASCII marks behind them another (an
+#: apostrophe may begin a longer one), and such chunks: they need not be cut by the pattern.
+_LETTERS_THEN_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -216,7 +223,7 @@ class ManyBPE:
         self.table[slots[more]] = -2  # several tokens share the slot: they are searched
         self.shared = hashes[more][np.argsort(hashes[more])]
         self.shared_ids = ids[more][np.argsort(hashes[more])]
-        self.size_list = [len(b) for b in bpe.bytes_of]
+        self.sizes = np.array([len(b) for b in bpe.bytes_of], dtype=np.int64)
         self.memo_keys = np.full(1 << 20, -1, dtype=np.int64)
         self.memo = np.zeros(1 << 20, dtype=bool)
 
@@ -266,17 +273,17 @@ class ManyBPE:
             live = live[on]
         return out
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(pieces)
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of every piece, four bytes each."""
+        out: list[bytes] = [b""] * len(pieces)
         short = []
-        for k, p in enumerate(pieces):
-            whole = self.bpe.ranks.get(p)
+        for k, whole in enumerate(map(self.bpe.ranks.get, pieces)):
             if whole is not None:
-                out[k] = [whole]
-            elif len(p) <= _SHORT:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(pieces[k]) <= _SHORT:
                 short.append(k)
             else:
-                out[k] = self.bpe.encode_piece(p)
+                out[k] = np.array(self.bpe.encode_piece(pieces[k]), dtype="<u4").tobytes()
                 if len(self.bpe.ok) > 500_000:
                     self.bpe.ok.clear()
         short.sort(key=lambda k: -len(pieces[k]))
@@ -286,7 +293,7 @@ class ManyBPE:
                 out[k] = ids
         return out
 
-    def _encode_short(self, pieces: list[bytes]) -> list[list[int]]:
+    def _encode_short(self, pieces: list[bytes]) -> list[bytes]:
         lengths = np.array([len(p) for p in pieces])  # descending
         width = int(lengths[0])
         data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), dtype=np.uint8).reshape(len(pieces), width).T.astype(np.uint64)
@@ -306,17 +313,19 @@ class ManyBPE:
                     open_ = np.delete(open_, hit)
                     if not len(open_):
                         break
-        out = []
-        sizes, columns = self.size_list, last.T.tolist()
-        for column, at in zip(columns, lengths.tolist(), strict=True):
-            ids = []
-            while at > 0:
-                token = column[at]
-                ids.append(token)
-                at -= sizes[token]
-            ids.reverse()
-            out.append(ids)
-        return out
+        # walk back from the ends of all pieces together; ids fill the rows from the right
+        ids = np.zeros((len(pieces), width), dtype="<u4")
+        at, live, place = lengths.copy(), np.arange(len(pieces)), width
+        while len(live):
+            place -= 1
+            token = last[at[live], live]
+            ids[live, place] = token
+            at[live] -= self.sizes[token]
+            ended = at[live] == 0
+            lengths[live[ended]] = width - place  # from here on the number of ids
+            live = live[~ended]
+        raw, row = ids.tobytes(), 4 * width
+        return [raw[end - 4 * n : end] for end, n in zip(range(row, len(raw) + 1, row), lengths.tolist(), strict=True)]
 
 
 def _odd(chunk: str) -> bool:
@@ -324,74 +333,124 @@ def _odd(chunk: str) -> bool:
     return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
 
+def _joined(items: pa.LargeBinaryArray, of: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes of items[of[0]], items[of[1]], ... one after the other, cut behind the first ``ends[0]`` of them and so on."""
+    taken = items.take(pa.array(of))
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[taken.offset :]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at[np.concatenate([[0], ends])].tobytes()), data])
+
+
 class TextEncoder:
     """Whole texts, batch by batch. Matches never cross a space that stands between
     two other characters, so a text is cut there and equal chunks are encoded once."""
 
-    def __init__(self, rank_path: str, pattern: str, run_chars: int = RUN_CHARS):
+    def __init__(self, rank_path: str, pattern: str, run_chars: int = RUN_CHARS, remembered: int = REMEMBERED):
         self.bpe = RankBPE(load_ranks(rank_path))
         self.many = ManyBPE(self.bpe)
         self.find = regex.compile(pattern).findall
-        self.chunks = chunks.Recent(60_000)
+        self.plain = pattern == _LETTERS_THEN_MARKS
+        self.chunks = chunks.Recent(remembered)
         self.run_chars = run_chars
+        self.decimal = pa.array([b"%d," % i for i in range(len(self.bpe.bytes_of))], pa.large_binary())
+        self.bytes_of = pa.array(self.bpe.bytes_of, pa.large_binary())
+
+    def _cut(self, text: str) -> list[str]:
+        word = _WORD(text) if self.plain else None
+        if word is None:
+            return self.find(text)
+        return [word[1], word[2]] if word[2] else [text]
 
-    def _encode_pieces(self, texts: list[str]) -> list[list[int]]:
-        cut = list(map(self.find, texts))
+    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
+        cut = list(map(self._cut, texts))
         need = list({p for ps in cut for p in ps})
         of = dict(zip(need, self.many.encode([p.encode() for p in need]), strict=True))
-        return [of[ps[0]] if len(ps) == 1 else [t for p in ps for t in of[p]] for ps in cut]
+        return [of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for ps in cut]
+
+    def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """bounds (of each text's chunks), codes (of all chunks), the ids of each code."""
+        bounds, codes, different = chunks.cut(texts)
+        known = self.chunks.get_all(different)
+        new = [i for i, ids in enumerate(known) if ids is None]
+        odd = {i for i in new if not _WORD(different[i]) and _odd(different[i])}
+        new = [i for i in new if i not in odd]
+        coded = self._encode_pieces([" " + different[i] for i in new])
+        for i, ids in zip(new, coded, strict=True):
+            known[i] = ids
+        kept = [k for k, i in enumerate(new) if len(different[i]) <= 100]
+        self.chunks.put_all([different[new[k]] for k in kept], [coded[k] for k in kept])
+        # a text's first chunk has no space before it
+        first = bounds[:-1]
+        heads, place = np.unique(codes[first], return_inverse=True)
+        codes = codes.astype(np.int64)
+        codes[first] = len(known) + place
+        head_texts = [different[k] for k in heads.tolist()]
+        known += self._encode_pieces(head_texts)
+        # texts in which white space meets a space are cut as a whole
+        meets = np.zeros(len(known), dtype=bool)
+        meets[sorted(odd)] = True
+        meets[len(different) :] = list(map(_odd, head_texts))
+        whole = meets[codes]
+        whole[first[np.diff(bounds) == 1]] = False
+        rows = np.flatnonzero(np.logical_or.reduceat(whole, first)) if len(first) else []
+        for i in odd:
+            known[i] = b""
+        if len(rows):
+            nothing = len(known)
+            for k, i in enumerate(rows):
+                codes[bounds[i] : bounds[i + 1]] = nothing
+                codes[bounds[i]] = nothing + 1 + k
+            known += [b"", *self._encode_pieces(texts.take(pa.array(rows)).to_pylist())]
+        return bounds, codes, known
 
     def batch(self, texts: pa.Array) -> Iterator[list[int]]:
+        """For every text its ids."""
         for a, b in chunks.runs(texts, self.run_chars):
-            yield from self.encode(texts[a:b].to_pylist())
+            bounds, codes, known = self._run(texts[a:b])
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield np.frombuffer(b"".join([known[c] for c in codes[lo:hi].tolist()]), dtype="<u4").tolist()
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """For every text its ids."""
-        parts = [t.split(" ") for t in texts]
-        recent = self.chunks
-        of = {c: recent.get(c) for c in set().union(*[p[1:] for p in parts])}
-        new = [c for c, ids in of.items() if ids is None and not _odd(c)]
-        for c, ids in zip(new, self._encode_pieces([" " + c for c in new]), strict=True):
-            of[c] = ids
-            if len(c) <= 100:
-                recent.put(c, ids)
-        heads = self._encode_pieces([p[0] for p in parts])
-        for text, chunk_list, head in zip(texts, parts, heads, strict=True):
-            rows = [of[c] for c in chunk_list[1:]]
-            if None in rows or (rows and _odd(chunk_list[0])):
-                yield self._encode_pieces([text])[0]
-                continue
-            ids = head[:]
-            for r in rows:
-                ids += r
-            yield ids
+        return self.batch(pa.array(texts, pa.string()))
 
-
-def _digests(rank_path: str, pattern: str, run_chars: int = RUN_CHARS):
+    def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """For every text the number of its ids, and the hashes of their decimals and of the bytes that they decode to.
+        Ids are written and decoded once for each different chunk."""
+        n: list[int] = []
+        hashes: tuple[list[str], list[str]] = ([], [])
+        for a, b in chunks.runs(texts, self.run_chars):
+            bounds, codes, known = self._run(texts[a:b])
+            ends = np.cumsum(np.fromiter(map(len, known), dtype=np.int64, count=len(known))) // 4
+            ids = np.frombuffer(b"".join(known), dtype="<u4")
+            n += np.diff(np.concatenate([[0], np.cumsum(np.diff(ends, prepend=0)[codes])])[bounds]).tolist()
+            for tokens, comma, out in ((self.decimal, 1, hashes[0]), (self.bytes_of, 0, hashes[1])):
+                rows = _joined(_joined(tokens, ids, ends), codes, bounds[1:])
+                _, offsets, data = rows.buffers()
+                at, view = np.frombuffer(offsets, dtype=np.int64).tolist(), memoryview(data or b"")
+                out += [hashlib.sha256(view[lo : max(lo, hi - comma)]).hexdigest() for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        return n, *hashes
+
+
+def _digests(rank_path: str, pattern: str, run_chars: int = RUN_CHARS, remembered: int = REMEMBERED):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        encoder = TextEncoder(rank_path, pattern, run_chars)
-        gc.disable()  # millions of lists without cycles
-        decimal = [str(i) for i in range(len(encoder.bpe.bytes_of))].__getitem__
+        encoder = TextEncoder(rank_path, pattern, run_chars, remembered)
+        gc.disable()  # millions of objects without cycles
         for batch in batches:
-            n, of_ids, of_bytes = [], [], []
-            for ids in encoder.batch(batch.column("text")):
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(encoder.bpe.decode(ids)).hexdigest())
+            n, of_ids, of_bytes = encoder.digests(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        del encoder, decimal
+        del encoder
         give_back()
 
     return run
 
 
-def encode_digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
+def encode_digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", run_chars: int = RUN_CHARS, remembered: int = REMEMBERED) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 (of the bytes that the ids decode to)."""
     python_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_digests(rank_path, pattern, run_chars), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_digests(rank_path, pattern, run_chars, remembered), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def encode_ids(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

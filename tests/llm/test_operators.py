@@ -307,6 +307,41 @@ def test_bpe_as_tiktoken(encoder, texts):
     assert list(e.encode(texts)) == [want.encode_ordinary(t) for t in texts]
 
 
+def brute_digests(want, texts):
+    ids = [want.encode_ordinary(t or "") for t in texts]
+    return [list(map(len, ids)), [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids], [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.one_of(st.sampled_from(" \n\t  aeiouthsñ'l.,*$0123日🙂"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=9), st.sampled_from([1, 50, 4_000_000]), st.integers(0, 2))
+def test_bpe_digests_as_tiktoken(encoder, texts, run_chars, skipped):
+    e, want = encoder
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(e, "run_chars", run_chars)
+        got = e.digests(pa.array(texts, pa.string())[skipped:])
+    assert list(got) == brute_digests(want, texts[skipped:])
+
+
+@pytest.mark.parametrize("texts", [[""], ["", ""], [None], [" "], ["  a", "a"], ["a ", "b\n", "\n"], ["x  y"] * 3 + ["x y", "y"], ["z" * 5000, "日本" * 500 + " z"]])
+def test_bpe_digests_of_little_and_long(encoder, texts):
+    assert list(encoder[0].digests(pa.array(texts, pa.string()))) == brute_digests(encoder[1], texts)
+
+
+def test_words_are_not_cut_by_the_pattern(encoder):
+    """Chunks of Latin letters with ASCII marks behind them, of every letter and mark, do not meet the pattern."""
+    e, want = encoder
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
+    letters = [chr(c) for c in range(0x250) if re.fullmatch("[^\\W\\d_]", chr(c)) and chr(c).isalpha() and chr(c) not in "ªµº"]
+    text = " ".join([f"a{c}b{m}{m}" for c, m in zip(letters, itertools.cycle(marks))] + [f"Wort{a}{b}" for a in marks for b in marks] + letters)
+    seen, find = [], e.find
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(e, "find", lambda t: seen.append(t) or find(t))
+        assert list(e.encode([text])) == [want.encode_ordinary(text)]
+        assert seen == []
+        assert list(e.encode(["it's a'b 'x aé1 \u00d7y 1."])) == [want.encode_ordinary("it's a'b 'x aé1 \u00d7y 1.")]
+        assert {" a'b", " 'x", " aé1", " \u00d7y", " 1."} <= set(seen)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=60), st.binary(max_size=20), st.data())
 def test_bpe_appends_and_edits(encoder, data, more, draw):
