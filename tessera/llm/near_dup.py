@@ -176,14 +176,19 @@ def _verify(threshold: float):
     return run
 
 
-def _weights(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of each text as rows, with their weights."""
-    for batch in batches:
-        for id_, h, c in zip(*(batch.column(x).to_pylist() for x in ("id", "h", "c")), strict=True):
-            h, w = np.frombuffer(h, dtype=np.int64), 1 + np.log2(np.frombuffer(c, dtype=np.int32))
-            for at in range(0, len(h), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[part]), id_), pa.int64()), pa.array(h[part]), pa.array(w[part])], ["id", "shingle", "weight"])
+def _weights(size: int):
+    """The shingles of each text as rows, with their weights. Made from the sets in one function: each Python step of
+    a stage has workers of its own, which stay for the stages after it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sets(size)(batches):
+            for id_, h, c in zip(*(batch.column(x).to_pylist() for x in ("id", "h", "c")), strict=True):
+                h, w = np.frombuffer(h, dtype=np.int64), 1 + np.log2(np.frombuffer(c, dtype=np.int32))
+                for at in range(0, len(h), 50_000):
+                    part = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[part]), id_), pa.int64()), pa.array(h[part]), pa.array(w[part])], ["id", "shingle", "weight"])
+
+    return run
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame, reps: DataFrame | None, broadcast_bytes: int) -> DataFrame:
@@ -218,8 +223,7 @@ def across(left: DataFrame, docs: DataFrame, size: int, threshold: float, broadc
     follows from this one. For classes a bit differs if all members of one have it and
     none of the other. The conditions stand in the join, so what cannot be alike makes no rows.
     """
-    sets = _texts_of(left.select("id"), docs, reps, broadcast_bytes).mapInArrow(_sets(size), "id long, h binary, c binary")
-    tokens = stored(sets.mapInArrow(_weights, "id long, shingle long, weight double"), "shingles")
+    tokens = stored(_texts_of(left.select("id"), docs, reps, broadcast_bytes).mapInArrow(_weights(size), "id long, shingle long, weight double"), "shingles")
     ranked = tokens.join(tokens.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle")
     own = Window.partitionBy("id")
     order, slack = own.orderBy("holders", "shingle"), 1 - threshold + 1e-9

@@ -245,3 +245,19 @@ def test_near_duplicates_find_nearly_all_pairs(spark):
     joined = {r.doc_id: label[k] for k, r in enumerate(rows)}
     first = {}
     assert all(first.setdefault(of[r.doc_id], joined[r.doc_id]) == joined[r.doc_id] for r in rows if r.text and r.text.strip())
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_near_dup_stages_have_one_python_step(spark, monkeypatch, limit):
+    """Each Python step of a stage has workers of its own, which keep memory in later stages."""
+    steps, store = [], near_dup.stored
+
+    def kept(df, label):
+        steps.append((label, df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")))
+        return store(df, label)
+
+    monkeypatch.setattr(near_dup, "stored", kept)
+    texts = [" ".join(f"w{(k * j) % 97}" for j in range(40)) for k in range(30)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    near_dup.across(rows.selectExpr("id", "id as class_id"), rows, 5, 0.8, limit).collect()
+    assert ("shingles", 1) in steps and max(n for _, n in steps) == 1
