@@ -91,7 +91,7 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
     bounds = parts.offsets.to_numpy().astype(np.int64)
     flat = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-    return bounds - bounds[0], flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+    return bounds - bounds[0], flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

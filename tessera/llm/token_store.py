@@ -26,6 +26,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks
-from tessera.llm.scratch import make_folder, new_path, python_batches, release, stored
+from tessera.llm.scratch import give_back, make_folder, new_path, python_batches, release, stored
 
 MAX_BITS = 20
 BLOCK = 1024
@@ -192,6 +193,22 @@ def _byte_letters() -> dict[int, str]:
 _LATIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,60})([!-&(-/:-@\\[-`{-~]{0,8})").fullmatch
 
 
+#: By code point below U+0250, whether it is such a letter; the last stands for all from there on.
+_LATIN = np.array([bool(_LATIN_WORD(chr(c))) for c in range(0x250)] + [False])
+
+
+def _latin(chunk_list: list[str]) -> np.ndarray:
+    """Which chunks are words of such letters alone."""
+    length = np.fromiter(map(len, chunk_list), dtype=np.int64, count=len(chunk_list))
+    code = np.frombuffer("".join(chunk_list).encode("utf-32-le"), dtype="<u4")
+    good = np.concatenate([[0], np.cumsum(_LATIN[np.minimum(code, len(_LATIN) - 1)])])
+    ends = np.cumsum(length)
+    return (length > 0) & (length <= 60) & (good[ends] - good[ends - length] == length)
+
+
+#: Marks that are split off the letter before them. A special token may hold any of <, | and >, an apostrophe may begin a word.
+_MARKS = "!-&(-/:;=?@\\[-`{}~"
+
 #: Rows whose letters keep their case until the tokenizer has them: special tokens are found before case is folded, and
 #: marks may compose with a letter of one case alone.
 _CASE_MATTERS = "<\\||[\u0300-\u036f]"
@@ -215,7 +232,8 @@ class ChunkEncoder:
         probe = ["The", "straße,", "éÉ.", "Ñandú", "x", "ŸĐǄ", "ſƿ", "A***", "é$%<|>", *(f"a{chr(c)}" for c in range(33, 127) if _LATIN_WORD(f"a{chr(c)}"))]
         self.direct = self(probe) == self._whole(probe)  # else everything goes through the tokenizer
         self.breaks_as_spaces = len(set(self._whole(["a. B", "a.\nB", "a.\n\nB", "a. \n B"]))) == 1  # line feeds are white space like any other
-        self.stops_apart = len(set(self._whole(["ab, CD. e", "ab , CD . e"]))) == 1 and len(set(self._whole(["A'S, b", "A'S , b"]))) == 1  # a stop after a letter is a word
+        apart = [("ab, CD. e", "ab , CD . e"), ("A'S, b", "A'S , b"), *((f"aB{m} c", f"aB {m} c") for c in map(chr, range(33, 127)) if re.match(f"[{_MARKS}]", c) for m in (c, f".{c}", c * 3))]
+        self.stops_apart = all(len(set(self._whole(list(pair)))) == 1 for pair in apart)  # marks after a letter are a word
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.folds_case = len(set(self._whole(["ABC Defg X'S", "abc defg x's"]))) == 1 and all(t.startswith("<|") for t in added)
 
@@ -224,7 +242,7 @@ class ChunkEncoder:
         if self.breaks_as_spaces:
             text = pc.replace_substring(text, "\n", " ")
         if self.stops_apart:
-            text = pc.replace_substring_regex(text, pattern="([A-Za-z])([.,]) ", replacement=r"\1 \2 ")
+            text = pc.replace_substring_regex(text, pattern=f"([A-Za-z])([{_MARKS}]+) ", replacement=r"\1 \2 ")
         if self.folds_case:
             text = pc.if_else(pc.match_substring_regex(text, _CASE_MATTERS), text, pc.ascii_lower(text))
         return text
@@ -232,11 +250,16 @@ class ChunkEncoder:
     def _whole(self, chunk_list: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunk_list, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of Latin letters: folded and brought to the letters of bytes all together."""
+    def _words(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        """How many ids each word of Latin letters has, and all ids: words are folded and brought to the letters of bytes all together."""
         raw = np.frombuffer("\n".join(words).lower().encode(), dtype=np.uint8)
-        tokenize = self.model.tokenize
-        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in self.letters[raw].tobytes().decode("utf-16-le").split("\n")]
+        tokenize, sizes, ids = self.model.tokenize, [], array("I")
+        spelled = self.letters[raw].tobytes().decode("utf-16-le").split("\n")
+        for lo in range(0, len(spelled), 500):  # few tokens are held at once: the garbage collector looks at what stays
+            tokens = list(map(tokenize, spelled[lo : lo + 500]))
+            sizes += map(len, tokens)
+            ids.extend([t.id for x in tokens for t in x])
+        return sizes, np.frombuffer(ids, dtype="<u4")
 
     def _tail(self, marks: str) -> bytes:
         ids = self.tails.get(marks)
@@ -246,19 +269,96 @@ class ChunkEncoder:
             ids = self.tails[marks] = self._whole([marks])[0]
         return ids
 
-    def __call__(self, chunk_list: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(chunk_list)
-        rest = range(len(chunk_list))
-        if self.direct:
-            parts = [m and m.groups() for m in map(_LATIN_WORD, chunk_list)]
-            at, rest = [i for i, p in enumerate(parts) if p], [i for i, p in enumerate(parts) if not p]
-            for i, ids in zip(at, self._words([parts[i][0] for i in at]) if at else [], strict=True):
-                marks = parts[i][1]
-                out[i] = ids + self._tail(marks) if marks else ids
+    def runs(self, chunk_list: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each chunk start, how many they are, and all ids."""
+        sizes, starts = np.zeros(len(chunk_list), dtype=np.int64), np.zeros(len(chunk_list), dtype=np.int64)
+        plain = _latin(chunk_list) if self.direct else np.zeros(len(chunk_list), dtype=bool)
+        at = np.flatnonzero(plain)
+        counted, ids = self._words([chunk_list[i] for i in at.tolist()]) if len(at) else ([], np.zeros(0, dtype="<u4"))
+        sizes[at] = counted
+        starts[at] = np.cumsum(sizes[at]) - sizes[at]
+        marked, rest = [], []
+        for i in np.flatnonzero(~plain).tolist():
+            part = _LATIN_WORD(chunk_list[i]) if self.direct else None
+            marked.append((i, *part.groups())) if part else rest.append(i)
+        others: list[tuple[int, bytes]] = []
+        if marked:
+            counted, flat = self._words([word for _, word, _ in marked])
+            ends = np.cumsum(counted).tolist()
+            others += [(i, flat[e - n : e].tobytes() + self._tail(marks)) for (i, _, marks), e, n in zip(marked, ends, counted, strict=True)]
         for lo in range(0, len(rest), 20_000):
-            for i, ids in zip(rest[lo : lo + 20_000], self._whole([chunk_list[i] for i in rest[lo : lo + 20_000]]), strict=True):
-                out[i] = ids
-        return out
+            others += zip(rest[lo : lo + 20_000], self._whole([chunk_list[i] for i in rest[lo : lo + 20_000]]), strict=True)
+        if others:
+            where = [i for i, _ in others]
+            sizes[where] = [len(x) // 4 for _, x in others]
+            starts[where] = len(ids) + np.cumsum(sizes[where]) - sizes[where]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(x for _, x in others), dtype="<u4")])
+        return starts, sizes, ids
+
+    def __call__(self, chunk_list: list[str]) -> list[bytes]:
+        starts, sizes, ids = self.runs(chunk_list)
+        return [ids[a:b].tobytes() for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+
+
+class KnownRuns:
+    """Ids of the chunks met lately: a chunk has a number, a number a run of ids. If more than ``size`` chunks would be
+    known, those are forgotten that were met only once, and if that is not half of them, all but those asked for just then."""
+
+    def __init__(self, encoder: ChunkEncoder, size: int, kind: str = "<u4"):
+        self.encoder, self.size = encoder, size
+        self.number: dict[str, int] = {}  # in the order of the numbers
+        self.starts, self.sizes, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
+        self.again = np.zeros(0, dtype=bool)
+
+    def _forget(self, numbers: np.ndarray) -> np.ndarray:
+        """Keep what was met again; the new numbers."""
+        known = numbers[numbers >= 0]
+        if 2 * np.count_nonzero(self.again) > self.size:
+            self.again[:] = False
+            self.again[known] = True
+        kept = np.flatnonzero(self.again)
+        self.number = {k: i for i, k in enumerate(compress(self.number, self.again.tolist()))}
+        self.ids = self.ids[chunks.gather(self.starts[kept], self.sizes[kept])]
+        self.sizes = self.sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        place = np.append(np.cumsum(self.again) - 1, -1)
+        self.again = np.zeros(len(kept), dtype=bool)
+        return place[numbers]
+
+    def __call__(self, chunk_list: list[str]) -> np.ndarray:
+        """The numbers of different chunks, good until the next call."""
+        numbers = np.fromiter(map(self.number.get, chunk_list, repeat(-1)), dtype=np.int64, count=len(chunk_list))
+        new = np.flatnonzero(numbers < 0)
+        self.again[numbers[numbers >= 0]] = True
+        if len(new) and len(self.number) + len(new) > self.size:
+            numbers = self._forget(numbers)
+        if len(new):
+            fresh = [chunk_list[i] for i in new.tolist()]
+            starts, sizes, ids = self.encoder.runs(fresh)
+            numbers[new] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(fresh, numbers[new].tolist(), strict=True))
+            self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+            self.again = np.concatenate([self.again, np.zeros(len(new), dtype=bool)])
+        return numbers
+
+
+#: What this Python worker knows of the tokenizer it used last, from one task to the next.
+_LAST: dict[tuple[str, str], KnownRuns] = {}
+
+
+def _known_runs(path: str, kind: str) -> KnownRuns:
+    if (path, kind) not in _LAST:
+        _LAST.clear()
+        _LAST[path, kind] = KnownRuns(ChunkEncoder(path), 400_000, kind)
+    return _LAST[path, kind]
+
+
+def _forget_runs() -> None:
+    if _LAST:
+        _LAST.clear()
+        give_back()
 
 
 def id_kind(path: str, end_id: int) -> str:
@@ -270,25 +370,15 @@ def id_kind(path: str, end_id: int) -> str:
 
 def _tokenize(path: str, end_id: int, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
-        known = chunks.Recent(400_000)
+        known = _known_runs(path, kind)
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in chunks.stretches(batches, "text", 4_000_000):
             text = batch.column("text")
-            bounds, codes, different = chunks.cut(encoder.prepared(text))
-            found = known.get_all(different)
-            new = [i for i, f in enumerate(found) if f is None]
-            fresh = [different[i] for i in new]
-            coded = encoder(fresh)
-            for i, ids in zip(new, coded, strict=True):
-                found[i] = ids
-            known.put_all(fresh, coded)
-            sizes = np.array([len(f) for f in found], dtype=np.int64) // 4
-            flat = np.frombuffer(b"".join(found), dtype="<u4")
-            each = sizes[codes]
-            ids = flat[chunks.gather((np.cumsum(sizes) - sizes)[codes], each)]
+            bounds, codes, different = chunks.cut(known.encoder.prepared(text))
+            number = known(different)[codes]
+            each = known.sizes[number]
+            ids = known.ids[chunks.gather(known.starts[number], each)]
             edge = np.concatenate([[0], np.cumsum(each)])[bounds]
-            ids = ids.astype(kind)
             rows = [ids[a:b].tobytes() + end for a, b in zip(edge[:-1], edge[1:], strict=True)]
             spread = pa.array(map(zlib.crc32, rows), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(edge) + 1, pa.int64()), spread, pa.array(rows, pa.binary())], ["id", "n", "spread", "ids"])
@@ -298,6 +388,7 @@ def _tokenize(path: str, end_id: int, kind: str):
 
 def _count(kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_runs()
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for a, b in chunks.runs(batch.column("ids")):

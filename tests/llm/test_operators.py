@@ -194,6 +194,47 @@ def test_words_with_marks_pass_by_the_tokenizer():
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder(rest)] == [x[:-1] for x in brute_ids(rest)]
 
 
+def token_rows(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    return [np.frombuffer(x, "<u2").tolist() for b in token_store._tokenize(path, 2, "<u2")(iter([batch])) for x in b.column("ids").to_pylist()]
+
+
+def test_a_worker_encodes_a_word_once(monkeypatch):
+    """A later task of the same worker, and the same word with other marks behind it, need no model."""
+    met, words = [], token_store.ChunkEncoder._words
+    monkeypatch.setattr(token_store.ChunkEncoder, "_words", lambda self, x: met.extend(x) or words(self, x))
+    monkeypatch.setattr(token_store, "_LAST", {}, raising=False)
+    texts = ["Heat*** heat%%% heat. Wave", "wave &&& heat (Ürün)", "ürün heat### x"]
+    assert token_rows(texts) == brute_ids(texts)
+    assert met.count("heat") == 1
+    met.clear()
+    assert token_rows(texts[::-1]) == brute_ids(texts[::-1]) and met == []
+    token_store._forget_runs()
+    assert token_store._LAST == {}
+
+
+def test_marks_are_split_off_as_the_library_does():
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [f"aB{a}{b} c É{a}{b} d'S{a} 1{a} x{a}\u0338 y{a} \u0338" for a in marks for b in ("", a, "'", "<", "|>", ".")]
+    texts += ["a<|endoftext|> b", "a<|endoftext|>. b", "a. <|endoftext|>, b", "x|> y", "don't. we'RE! a'*** b", "a" * 70 + "!!! b", "a" + "*" * 90 + " b", "a*\nb%% \n c", "", None]
+    assert token_rows(texts) == brute_ids(texts)
+
+
+@pytest.mark.parametrize("size", [1, 7, 30, 1000])
+def test_forgotten_chunks_are_encoded_anew(size):
+    encoder = token_store.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    known = token_store.KnownRuns(encoder, size)
+    rng = np.random.default_rng(size)
+    for _ in range(40):
+        asked = [f"Wörd{chr(97 + k)}." if k % 3 == 0 else f"x{k}" if k % 3 == 1 else "ab" * (k + 1) for k in sorted({int(k) for k in rng.integers(0, 26, 9)})]
+        number = known(asked)
+        got = [known.ids[a : a + n].tolist() for a, n in zip(known.starts[number], known.sizes[number], strict=True)]
+        assert got == [x[:-1] for x in brute_ids(asked)]
+        assert len(known.number) <= max(size, len(asked)) and list(known.number.values()) == list(range(len(known.sizes)))
+    assert len(known(asked)) == len(asked) and len(known([])) == 0
+
+
 @pytest.mark.parametrize("size", [1, 3, 10, 100])
 def test_what_came_last_is_remembered(size):
     known = chunks.Recent(size)
