@@ -213,7 +213,9 @@ _PARTY_NAME = _by_place(
     ],
     f"'Lone' || {_POS} || ' ' || {_LET}",
 )
-_PARTY_PHONE = _by_place([(0, 13, f"'(416) 1' || {digits(_B, 2)} || '-0014'"), (14, 28, f"'4169' || {digits(_B, 2)}|| '0015'"), (60, 60, f"'416 2' || {digits(_B, 2)} || ' 0100'"), (61, 61, f"'416.2' || {digits(_B, 2)} || '.0100'"), (62, 62, "'12345'")], "''")
+#: A block's own digits: two at least, never cut off, so that no two blocks have a phone in common.
+_OWN = when(f"{_B} < 100", digits(_B, 2), text(_B))
+_PARTY_PHONE = _by_place([(0, 13, f"'(416) 1' || {_OWN} || '-0014'"), (14, 28, f"'4169' || {_OWN} || '0015'"), (60, 60, f"'416 2' || {_OWN} || ' 0100'"), (61, 61, f"'416.2' || {_OWN} || '.0100'"), (62, 62, "'12345'")], "''")
 _PARTY_CONTACT = _by_place([(14, 20, "'Kim  Lee'"), (57, 57, "'Bo Ek'"), (58, 58, "' bo ek'"), (59, 59, "'Cy Ode'")], "''")
 _PARTY_PLACE = _by_place([(44, 47, f"{text(_B)} || '44 Common Rd'"), (48, 52, f"{text(_B)} || '55 Common Road'"), (62, 63, "'9 Elm St'")], "''")
 _IS_COMPANY = f"({_P} BETWEEN 29 AND 59 OR {_P} >= 62)"

@@ -40,6 +40,16 @@ def test_query(spark, db, name):
     assert sorted(repr([norm(r[c]) for c in columns]) for r in got.collect()) == sorted(repr([norm(r[i]) for i in at]) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["party_clusters"])
+def test_parties_of_a_hundred_blocks(spark, tmp_path, name):
+    """Blocks 12 and 120, and 1 and 1000: what begins alike stays apart."""
+    con = duckdb.connect()
+    con.execute("create table customer as select 64 * b + p as c_custkey from (values (1), (12), (120), (1000)) b(b), range(64) p(p)")
+    con.execute(f"copy customer to '{tmp_path}/customer.parquet' (format parquet)")
+    got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x"))).first()[0]
 
