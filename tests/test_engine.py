@@ -40,7 +40,7 @@ def test_query(spark, db, name):
     assert sorted(repr([norm(r[c]) for c in columns]) for r in got.collect()) == sorted(repr([norm(r[i]) for i in at]) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["party_clusters"])
+@pytest.mark.parametrize("name", ["party_clusters", "party_registry"])
 def test_parties_of_a_hundred_blocks(spark, tmp_path, name):
     """Blocks 12 and 120, and 1 and 1000: what begins alike stays apart."""
     con = duckdb.connect()
