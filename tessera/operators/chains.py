@@ -1,10 +1,14 @@
 """Evidence chains: how two parties hang together through what they share.
 
-Parties and attributes are the two sides of a graph. A search goes out from every asked source at once,
-a step at a time: the parties that the last step reached meet their attributes, each attribute that a
-source has not used yet meets its holders, and those not reached before are the next frontier. Rows are
-(source, party), so a join touches the frontier alone; a source that has its goal, and one whose frontier
-is empty, drop out. An attribute of very many holders is met in slices of ``SLICE``.
+Parties and attributes are the two sides of a graph. A search goes out from every asked goal at once, or from
+every source if these are fewer, a step at a time: the parties that the last step reached meet their attributes, each
+attribute meets its holders, and those not reached before are the next frontier. Rows are (start, party), so a join
+touches the frontier alone; a start that has all its ends, and one whose frontier is empty, drop out. An attribute of
+very many holders is met in slices of ``SLICE``.
+
+From goals, a party keeps the smallest of its shortest ways back, link by link from the goal: the smallest way to a
+party goes on from the smallest to the one before it. The last step meets the sources that are still open alone, not
+all whom it could reach.
 
 Ties: of the shortest chains, each party on the way was reached over the attribute of the smallest kind and
 value, and among equal ones from the smallest party.
@@ -44,6 +48,40 @@ def evidence_chains(attributes: DataFrame, pairs: DataFrame, steps: int = 3) ->
     sizes = attributes.groupBy("kind", "value").agg(F.count("*").alias("n")).filter("n > 1").select("kind", "value", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
     sizes = written(sizes)
     pairs = written(pairs.select("source", "goal").distinct())
+    sources, goals = (pairs.select(c).distinct().count() for c in ("source", "goal"))
+    whole = (_from_goals if goals <= sources else _from_sources)(attributes, sizes, pairs, steps)
+    return pairs.join(whole, ["source", "goal"], "left").select("source", "goal", "steps", "chain")
+
+
+def _from_goals(attributes: DataFrame, sizes: DataFrame, pairs: DataFrame, steps: int) -> DataFrame:
+    party = pairs.schema["goal"].dataType.simpleString()
+    held = written(attributes.join(sizes, ["kind", "value"]).withColumn("slice", F.pmod(F.xxhash64("party"), F.col("slices")).cast("int")))
+    open_ = pairs.filter("source <> goal")
+    whole = pairs.filter("source = goal").select("source", "goal", F.lit(0).alias("steps"), F.col("goal").cast("string").alias("chain"))
+    none = F.array().cast(f"array<struct<kind:string,value:string,via:{party}>>")
+    frontier = open_.select("goal", F.col("goal").alias("party"), none.alias("way")).distinct()
+    reached = frontier.select("goal", "party")
+    way = lambda c: F.concat("by.way", F.array(F.struct("by.kind", "by.value", F.col(c).alias("via")))).alias("way")
+    for step in range(1, steps + 1):
+        told = written(frontier.join(held, "party").groupBy("goal", "kind", "value", "slices").agg(F.min("way").alias("way")))
+        told = told.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        if step == steps:
+            asked = open_.join(held, open_["source"] == held["party"]).select("goal", "source", "kind", "value", "slice")
+            met = asked.join(told, ["goal", "kind", "value", "slice"]).groupBy("goal", "source").agg(F.min(F.struct("way", "kind", "value")).alias("by"))
+            done = written(met.select("source", "goal", way("source")))
+        else:
+            met = told.join(held, ["kind", "value", "slice"]).groupBy("goal", "party").agg(F.min(F.struct("way", "kind", "value")).alias("by")).select("goal", "party", way("party"))
+            fresh = written(met.join(reached, ["goal", "party"], "left_anti"))
+            done = written(open_.join(fresh.withColumnRenamed("party", "source"), ["source", "goal"]).select("source", "goal", "way"))
+            open_ = written(open_.join(done, ["source", "goal"], "left_anti"))
+            reached = reached.union(fresh.select("goal", "party"))
+            frontier = fresh.join(open_.select("goal").distinct(), "goal", "left_semi")
+        link = lambda said, x: F.concat(x["via"].cast("string"), F.lit(" -["), x["kind"], F.lit(": "), x["value"], F.lit("]- "), said)
+        whole = whole.unionByName(done.select("source", "goal", F.lit(step).alias("steps"), F.aggregate("way", F.col("goal").cast("string"), link).alias("chain")))
+    return whole
+
+
+def _from_sources(attributes: DataFrame, sizes: DataFrame, pairs: DataFrame, steps: int) -> DataFrame:
     open_ = pairs.filter("source <> goal")
     kind = pairs.schema["source"].dataType.simpleString()
     spark = pairs.sparkSession
@@ -70,4 +108,4 @@ def evidence_chains(attributes: DataFrame, pairs: DataFrame, steps: int = 3) ->
         back = reached.select("source", F.col("party").alias("now"), "kind", "value", "via").filter("via is not null")
         link = F.concat(F.lit(" -["), "kind", F.lit(": "), "value", F.lit("]- "), F.col("now").cast("string"), "tail")
         at = at.filter(F.col("now") != F.col("source")).join(back, ["source", "now"]).select("source", "goal", F.col("via").alias("now"), link.alias("tail"), (F.col("gone") + 1).alias("gone"))
-    return pairs.join(whole, ["source", "goal"], "left").select("source", "goal", "steps", "chain")
+    return whole

@@ -430,6 +430,17 @@ def test_overlaps_of_all_sizes(spark):
     assert O.overlaps(table.limit(0), table, 0.25).count() == 0
 
 
+def test_chains_to_few_goals_grow_with_the_sources(spark, monkeypatch):
+    """300 parties, each next to the one before it over every tenth party's attribute, all asked for one goal: no table on
+    the way has a row for each two of them."""
+    rows = [(k, "near", f"{j}") for k in range(300) for j in (k // 10, k // 10 + 1)]
+    sizes, keep = [], chains.written
+    monkeypatch.setattr(chains, "written", lambda df: sizes.append((out := keep(df)).count()) or out)
+    got = chains.evidence_chains(spark.createDataFrame(rows, "party long, kind string, value string"), spark.createDataFrame([(k, 0) for k in range(300)], "source long, goal long"), 3).collect()
+    assert max(sizes) <= 2 * 300 and {x.source: x.steps for x in got} == {k: (k > 0) + (k >= 20) + (k >= 30) if k < 40 else None for k in range(300)}
+    assert {x.source: x.chain for x in got}[35] == "35 -[near: 3]- 20 -[near: 2]- 10 -[near: 1]- 0"
+
+
 def test_edited_components_are_those_of_a_full_rebuild(spark):
     r = random.Random(9)
     frame = lambda rows: spark.createDataFrame(list(rows), "a long, b long")
