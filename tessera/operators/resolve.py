@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import difflib
 import math
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import alike
+
 _own: list[str] = []
 EARTH_M = 6_371_000.0
 
@@ -227,53 +231,60 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def _ratio():
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series(alike.ratios(a.tolist(), b.tolist()))
 
     return ratio
 
 
-#: Characters counted one by one for the bound on a similarity; all others are counted together.
-LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
-#: Right texts of a block that are met at once.
-MET = 1024
+#: Left and right texts of a block that are met at once.
+LEFT, MET = 64, 256
 
 
-def _profiled(rows: DataFrame, name: str) -> DataFrame:
-    """Adds the length of a text and how often it has each character."""
-    low, size = F.lower(name), F.length(name)
-    known = [size - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS]
-    return rows.withColumn(f"{name}_n", size).withColumn(f"{name}_has", F.array(*known)).withColumn(f"{name}_rest", size - F.length(F.regexp_replace(low, f"[^{LETTERS}]", "")))
+def _worth(least: float):
+    """Of packed texts, for each left one the right one of the greatest bound, scored, and those that may be better."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, left, right = (batch.column(c).slice(k, 1) for c in ("block", "left", "right"))
+                left, right = left.flatten(), right.flatten()
+                told, ids, a = right.field("tb"), right.field("match_id"), left.to_pylist()
+                b, bound = told.to_pylist(), alike.bounds(a, told.to_pylist())
+                first = bound.argmax(1)  # texts are in the order of their ids
+                score = alike.ratios(a, [b[j] for j in first])
+                at_least = np.maximum(score, least)[:, None]
+                places = np.arange(len(b))[None]
+                rest = (bound >= at_least) & (places != first[:, None]) & ((bound > at_least) | (places < first[:, None]) | (score[:, None] < least))
+                i, j = np.nonzero(rest)
+                met = np.flatnonzero(bound.max(1) >= least)
+                rows, columns = np.concatenate([met, i]), np.concatenate([first[met], j])
+                blocks = pa.concat_arrays([block]).take(pa.array(np.zeros(len(rows), np.int64)))
+                scores = pa.concat_arrays([pa.array(score[met], pa.float64()), pa.nulls(len(i), pa.float64())])
+                yield pa.RecordBatch.from_arrays([blocks, left.take(pa.array(rows)), told.take(pa.array(columns)), ids.take(pa.array(columns)), pa.array(bound[rows, columns], pa.float64()), scores], ["block", "ta", "tb", "match_id", "bound", "score"])
 
-def _bound(a: str, b: str) -> Column:
-    """The similarity of two texts is twice what they share over their lengths: no more than the characters that both
-    have, however ordered. Case does not count here, so the bound holds whatever it is."""
-    shared = F.least(f"{a}_rest", f"{b}_rest")
-    for k in range(len(LETTERS)):
-        shared = shared + F.least(F.get(f"{a}_has", F.lit(k)), F.get(f"{b}_has", F.lit(k)))
-    return F.coalesce(2.0 * shared / F.nullif(F.col(f"{a}_n") + F.col(f"{b}_n"), F.lit(0)), F.lit(1.0))
+    return run
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """What has to be compared character by character to find the best match of every left text (block, ta) among the
-    right ones (block, tb): first, for each left text, the right text of the greatest bound, scored; then the other
-    right texts whose bound is not below that score. All others can't be the best."""
-    a, b = _profiled(left, "ta"), _profiled(right, "tb")
-    sizes = b.groupBy("block").agg(F.ceil(F.count("*") / MET).cast("int").alias("slices"))
-    a = a.join(sizes, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    b = b.join(sizes, "block").withColumn("slice", F.pmod(F.xxhash64("tb"), "slices").cast("int")).drop("slices")
-    pairs = a.join(b, ["block", "slice"]).select("block", "ta", "tb", "match_id", _bound("ta", "tb").alias("bound")).filter(F.col("bound") >= least)
-    first = pairs.groupBy("block", "ta").agg(F.max_by(F.struct("tb", "match_id"), F.struct("bound", -F.col("match_id"))).alias("f")).select("block", "ta", "f.tb", "f.match_id")
-    first = written(first.withColumn("score", _ratio()("ta", "tb")))
-    known = first.select("block", "ta", F.col("tb").alias("seen"), F.greatest("score", F.lit(least)).alias("at_least"))
-    rest = pairs.join(known, ["block", "ta"]).filter((F.col("bound") >= F.col("at_least") - 1e-12) & (F.col("tb") != F.col("seen")))
+    right ones (block, tb, match_id): first, for each left text, the right text of the greatest bound among those that it
+    meets at once, scored; then the other right texts whose bound is not below its best score. All others can't be the
+    best: a bound that only equals the score counts for smaller ids alone."""
+    packs = lambda df, n, of, by: df.join(df.groupBy("block").agg(F.ceil(F.count("*") / n).cast("int").alias("packs")), "block").withColumn("pack", F.pmod(F.xxhash64(by), F.col("packs"))).groupBy("block", "pack").agg(F.sort_array(F.collect_list(of))).toDF("block", "pack", "texts")
+    a = packs(left, LEFT, "ta", "ta").select("block", F.col("texts").alias("left"))
+    b = packs(right, MET, F.struct("match_id", "tb"), "tb").select("block", F.col("texts").alias("right"))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((left, "block"), (left, "ta"), (right, "tb"), (right, "match_id")))
+    met = written(a.join(b, "block").mapInArrow(_worth(least), f"{kinds}, bound double, score double"))
+    first = met.filter("score is not null").select("block", "ta", "tb", "match_id", "score")
+    known = first.groupBy("block", "ta").agg(F.max("score").alias("at_least"))
+    rest = met.filter("score is null").join(known, ["block", "ta"]).filter("bound >= at_least")
     return first, rest.select("block", "ta", "tb", "match_id")
 
 
 def fuzzy_best(left: DataFrame, right: DataFrame, block: str, least: float = 0.6, digits: int = 6) -> DataFrame:
     """For each left row the right row of the same block whose text is most alike (id, text, block on both sides), if it
-    is ``least`` alike; the smaller id on ties. Equal texts of a block are compared once, and only where a bound in
-    columns allows it. Null texts and blocks match nothing."""
+    is ``least`` alike; the smaller id on ties. Equal texts of a block are compared once, and only where a bound
+    allows it. Null texts and blocks match nothing."""
     a = left.select(F.col(block).alias("block"), F.col("text").alias("ta")).dropna().distinct()
     b = right.filter(F.col("text").isNotNull() & F.col(block).isNotNull()).groupBy(F.col(block).alias("block"), F.col("text").alias("tb")).agg(F.min("id").alias("match_id"))
     first, rest = fuzzy_candidates(a, b, least)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import addresses as A
 from tessera.functions import text as T
+from tessera.operators import alike
 from tessera.operators import chains
 from tessera.operators import checks as C
 from tessera.operators import confirm
@@ -365,6 +366,23 @@ def test_store_matches_query(spark):
     assert first.count() + rest.count() < 0.8 * a.join(b, "block").count()  # fewer comparisons than pairs of different texts
 
 
+def test_similarity_of_many_pairs_is_that_of_difflib():
+    r = random.Random(4)
+    said = lambda: "".join(r.choice("abC0\u00e9\0 "[: r.randrange(2, 8)]) for _ in range(r.choice([0, 1, 5, 20, 63, 64, 210])))
+    a, b = [said() for _ in range(300)], [said() for _ in range(300)]
+    want = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
+    assert list(alike.ratios(a, b)) == want and all(alike.bounds([x], [y])[0, 0] >= w for x, y, w in zip(a, b, want, strict=True))
+    assert (alike.bounds(a[:40], b)[:, 7] == [alike.bounds([x], [b[7]])[0, 0] for x in a[:40]]).all()
+
+
+def test_numbered_names_are_hardly_compared(spark):
+    """Names that differ in the order of their digits alone have the same characters."""
+    row = spark.range(400)
+    a, b = row.select(F.lit("x").alias("block"), F.format_string("Customer#%09d", F.col("id") * 37).alias("ta")), row.select(F.lit("x").alias("block"), F.format_string("Supplier#%09d", "id").alias("tb"), F.col("id").alias("match_id"))
+    first, rest = R.fuzzy_candidates(a, b)
+    assert first.count() + rest.count() < 0.05 * 400 * 400
+
+
 def test_auto_confirm_of_stated_groups(spark):
     rows = [
         ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
