@@ -6,7 +6,7 @@ import math
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import alike
+from tessera.operators import alike, inside
 
 _own: list[str] = []
 EARTH_M = 6_371_000.0
@@ -146,26 +146,43 @@ def ring_area_m2(ring: Column) -> Column:
     return F.round(F.abs(twice) / 2 * 111_320.0 * 111_320.0 * F.cos(F.radians(lat)), 1)
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies in a ring that is a column, by crossings."""
-    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+def _packed(rows: DataFrame, keys: list[str], size: int, value: Column | str, by: Column | str, name: str) -> DataFrame:
+    """The rows of each key in sorted arrays of some ``size`` values."""
+    of = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("_packs"))
+    packs = rows.join(of, keys).withColumn("_pack", F.pmod(F.xxhash64(by), F.col("_packs")))
+    return packs.groupBy(*keys, "_pack").agg(F.sort_array(F.collect_list(value)).alias(name)).drop("_pack")
 
 
-def _meeting(points: DataFrame, polygons: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
-    """Points (id, lat, lng) with the polygons (polygon_id, ring of x, y) that may hold them. A polygon stands in every
-    cell of its bounding box and ``margin`` degrees around it, so points meet the polygons of their own cell only."""
+#: Points and polygons of a cell that meet at once.
+POINTS, POLYGONS = 2048, 256
+
+
+def _meeting(points: DataFrame, polygons: DataFrame, cell: float, found: Callable, margin: float = 0.0) -> DataFrame:
+    """id, polygon_id, away: what ``found`` finds of points (id, lat, lng) and the polygons (polygon_id, ring of x, y) that
+    may hold them. A polygon stands in every cell of its bounding box and ``margin`` degrees around it, so points meet the
+    polygons of their own cell only. Both come in packs, and those that meet are dealt out, however full a cell is."""
     at = lambda c: F.floor(c / cell)
     values = lambda name: F.transform("ring", lambda v: v[name])
     ends = {f"{n}{d}": at(f(values(d)) + by) for d in "xy" for n, f, by in (("lo", F.array_min, -margin), ("hi", F.array_max, margin))}
     boxes = polygons.select("polygon_id", "ring", *[c.alias(n) for n, c in ends.items()])
     boxes = boxes.withColumn("ci", F.explode(F.sequence("lox", "hix"))).withColumn("cj", F.explode(F.sequence("loy", "hiy")))
-    return points.select("id", "lat", "lng", at(F.col("lng")).alias("ci"), at(F.col("lat")).alias("cj")).join(boxes, ["ci", "cj"])
+    placed = points.select("id", "lat", "lng", at(F.col("lng")).alias("ci"), at(F.col("lat")).alias("cj")).dropna(subset=["ci", "cj"])
+    a = _packed(placed, ["ci", "cj"], POINTS, F.struct("id", "lat", "lng"), "id", "points")
+    b = _packed(boxes, ["ci", "cj"], POLYGONS, F.struct("polygon_id", "ring"), "polygon_id", "polygons")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = a.join(b, ["ci", "cj"]).select("points", "polygons").repartition(tasks)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((points, "id"), (polygons, "polygon_id")))
+    return met.mapInArrow(found, f"{kinds}, away double")
 
 
 def containing(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """id, polygon_id: points and the polygons that hold them."""
-    return _meeting(points, polygons, cell).filter(in_ring(F.col("lng"), F.col("lat"), F.col("ring"))).select("id", "polygon_id")
+    return _meeting(points, polygons, cell, inside.every()).select("id", "polygon_id")
+
+
+def first_containing(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """id, polygon_id: points and the smallest of the polygons that hold them."""
+    return _meeting(points, polygons, cell, inside.one()).groupBy("id").agg(F.min("polygon_id").alias("polygon_id"))
 
 
 #: Metres of a degree in distances to polygons, and in the margin around them.
@@ -175,18 +192,8 @@ DEGREE_M, MARGIN_M = 95_000.0, 79_000.0
 def nearest_polygon(points: DataFrame, polygons: DataFrame, metres: float, cell: float) -> DataFrame:
     """id, polygon_id, metres: each point's nearest polygon within ``metres``, 0 if it lies inside; the smaller id on
     ties. Points without one are left out."""
-    x, y = F.col("lng"), F.col("lat")
-
-    def to_edge(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        length = dx * dx + dy * dy
-        along = F.when(length == 0, F.lit(0.0)).otherwise(((x - e["x1"]) * dx + (y - e["y1"]) * dy) / length)
-        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-        return F.sqrt(F.pow(e["x1"] + along * dx - x, 2) + F.pow(e["y1"] + along * dy - y, 2))
-
-    away = F.when(in_ring(x, y, F.col("ring")), F.lit(0.0)).otherwise(F.array_min(F.transform(_edges(F.col("ring")), to_edge))) * DEGREE_M
-    met = _meeting(points, polygons, cell, metres / MARGIN_M).select("id", "polygon_id", away.alias("m")).filter(F.col("m") <= metres)
-    return met.groupBy("id").agg(F.min_by("polygon_id", F.struct("m", "polygon_id")).alias("polygon_id"), F.round(F.min("m"), 2).alias("metres"))
+    met = _meeting(points, polygons, cell, inside.one(metres, DEGREE_M), metres / MARGIN_M)
+    return met.groupBy("id").agg(F.min_by("polygon_id", F.struct("away", "polygon_id")).alias("polygon_id"), F.round(F.min("away"), 2).alias("metres"))
 
 
 def in_polygon(lng: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:
@@ -270,9 +277,8 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float = 0.6) -> t
     right ones (block, tb, match_id): first, for each left text, the right text of the greatest bound among those that it
     meets at once, scored; then the other right texts whose bound is not below its best score. All others can't be the
     best: a bound that only equals the score counts for smaller ids alone."""
-    packs = lambda df, n, of, by: df.join(df.groupBy("block").agg(F.ceil(F.count("*") / n).cast("int").alias("packs")), "block").withColumn("pack", F.pmod(F.xxhash64(by), F.col("packs"))).groupBy("block", "pack").agg(F.sort_array(F.collect_list(of))).toDF("block", "pack", "texts")
-    a = packs(left, LEFT, "ta", "ta").select("block", F.col("texts").alias("left"))
-    b = packs(right, MET, F.struct("match_id", "tb"), "tb").select("block", F.col("texts").alias("right"))
+    a = _packed(left, ["block"], LEFT, "ta", "ta", "left")
+    b = _packed(right, ["block"], MET, F.struct("match_id", "tb"), "tb", "right")
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((left, "block"), (left, "ta"), (right, "tb"), (right, "match_id")))
     met = written(a.join(b, "block").mapInArrow(_worth(least), f"{kinds}, bound double, score double"))
     first = met.filter("score is not null").select("block", "ta", "tb", "match_id", "score")

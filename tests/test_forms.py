@@ -383,6 +383,32 @@ def test_numbered_names_are_hardly_compared(spark):
     assert first.count() + rest.count() < 0.05 * 400 * 400
 
 
+def full_cell(spark, n, m):
+    """Points and rings in one cell, about half of which meet."""
+    x = lambda k: (F.col("id") * k % 1009) / 100_000.0
+    points = spark.range(n).select("id", x(37).alias("lng"), x(101).alias("lat"))
+    corner = lambda dx, dy: F.struct((x(53) + dx).alias("x"), (x(211) + dy).alias("y"))
+    rings = spark.range(m).select(F.col("id").alias("polygon_id"), F.array(corner(-0.004, -0.004), corner(0.004, -0.003), corner(0.001, 0.0), corner(0.004, 0.005), corner(-0.004, 0.004)).alias("ring"))
+    return points, rings
+
+
+def crossings(lng, lat, ring):
+    return sum((y1 > lat) != (y2 > lat) and lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))
+
+
+def test_rings_that_hold_points_of_a_full_cell(spark):
+    began = time.time()
+    points, rings = full_cell(spark, 6000, 800)
+    assert R.containing(points, rings, 1.0).count() > 6000 * 800 / 10 and time.time() - began < 30
+    points, rings = full_cell(spark, 50, 40)
+    known = {r.polygon_id: [tuple(c) for c in r.ring] for r in rings.collect()}
+    want = {(p.id, k) for p in points.collect() for k, ring in known.items() if crossings(p.lng, p.lat, ring) % 2}
+    odd = spark.createDataFrame([(900, None), (901, []), (902, [(None, 1.0), (0.0, None), (0.005, 0.005)])], "polygon_id long, ring array<struct<x:double,y:double>>")
+    got = R.containing(points.union(points.select(F.lit(99), F.lit(None), "lat").limit(1)), rings.union(odd), 0.002)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert R.containing(points.limit(0), rings, 0.002).count() == 0
+
+
 def test_auto_confirm_of_stated_groups(spark):
     rows = [
         ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
