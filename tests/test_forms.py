@@ -409,6 +409,26 @@ def test_rings_that_hold_points_of_a_full_cell(spark):
     assert R.containing(points.limit(0), rings, 0.002).count() == 0
 
 
+def test_nearest_of_the_rings_of_a_full_cell(spark):
+    began = time.time()
+    points, rings = full_cell(spark, 6000, 800)
+    assert R.nearest_polygon(points, rings, 900, 1.0).count() == 6000 and time.time() - began < 30
+    points, rings = full_cell(spark, 60, 3)
+    known, want = {r.polygon_id: [tuple(c) for c in r.ring] for r in rings.collect()}, {}
+
+    def away(p, a, b):
+        (x1, y1), (x2, y2) = a, b
+        u = max(0.0, min(1.0, ((p.lng - x1) * (x2 - x1) + (p.lat - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return math.hypot(x1 + u * (x2 - x1) - p.lng, y1 + u * (y2 - y1) - p.lat) * 95_000
+
+    for p in points.collect():
+        m, k = min((0.0 if crossings(p.lng, p.lat, ring) % 2 else min(away(p, a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)), k) for k, ring in known.items())
+        if m <= 200:
+            want[p.id] = (k, round(m, 2))
+    got = {r.id: (r.polygon_id, r.metres) for r in R.nearest_polygon(points, rings, 200, 0.003).collect()}
+    assert 0 < sum(m > 0 for _, m in want.values()) and len(want) < 60 and got == want
+
+
 def test_auto_confirm_of_stated_groups(spark):
     rows = [
         ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
