@@ -99,7 +99,7 @@ _STORED = "id % 4 = 0"
 def _parcels(s, d) -> DataFrame:
     """Points in parcels: by a stored map for every fourth, else by the rings that hold them."""
     rows = points._points(s, d)
-    held = R.containing(rows, points.rings(s, d), 0.02).select("id", F.col("polygon_id").alias("parcel"))
+    held = R.first_containing(rows, points.rings(s, d), 0.02).select("id", F.col("polygon_id").alias("parcel"))
     return V.consolidated(rows, rows.filter(_STORED).select("id", F.expr("id % 17").alias("parcel")), held)
 
 

@@ -429,6 +429,13 @@ def test_nearest_of_the_rings_of_a_full_cell(spark):
     assert 0 < sum(m > 0 for _, m in want.values()) and len(want) < 60 and got == want
 
 
+def test_first_ring_that_holds_a_point(spark):
+    points, rings = full_cell(spark, 500, 300)
+    every = R.containing(points, rings, 0.002).groupBy("id").agg(F.min("polygon_id")).collect()
+    got = R.first_containing(points, rings, 0.002).collect()
+    assert len(got) > 300 and {tuple(r) for r in got} == {tuple(r) for r in every}
+
+
 def test_auto_confirm_of_stated_groups(spark):
     rows = [
         ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
