@@ -130,8 +130,76 @@ def overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return out.filter(F.col("area") > LEAST * F.least("area_a", "area_b"))
 
 
+def _convex(ring: list[Point]) -> bool:
+    """Whether a ring of different neighbours always turns to one side and goes around once."""
+    steps = [(q[0] - p[0], q[1] - p[1]) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
+    turns = [a[0] * b[1] - a[1] * b[0] for a, b in zip(steps, steps[1:] + steps[:1], strict=True)]
+    right = [x > (0.0, 0.0) for x in steps]
+    return (min(turns) >= 0 or max(turns) <= 0) and sum(x != y for x, y in zip(right, right[1:] + right[:1], strict=True)) == 2
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each ring's area, and how often it goes around a place at most: once, if it is convex."""
+    for batch in batches:
+        rows = []
+        for ring in map(_points, batch.column("ring").to_pylist()):
+            moved = [(p - ring[0][0], q - ring[0][1]) for p, q in ring]
+            corners = [p for k, p in enumerate(moved) if p != moved[k - 1]]
+            signs = triangles(moved)
+            around = 1.0 if len(corners) > 2 and _convex(corners) else float(max(sum(s > 0 for s, _ in signs), sum(s < 0 for s, _ in signs)))
+            rows.append((abs(sum(s * _area(t) for s, t in signs)), around))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(2))], ["key", "own", "around"])
+
+
+def _sized(polygons: DataFrame, name: str, cell: float) -> DataFrame:
+    """The boxes of polygons with a key, the ends of each, its area and how often it goes around a place at most."""
+    rows = written(_boxes(polygons, name, cell).withColumn("key", F.monotonically_increasing_id()))
+    sizes = rows.select("key", F.col(f"ring_{name}").alias("ring")).mapInArrow(_sizes, "key long, own double, around double")
+    ends = [f(F.col(f"ring_{name}").getField(c)).alias(f"{c}{k}") for c in "xy" for k, f in ((1, F.array_min), (2, F.array_max))]
+    return written(rows.select("*", *ends).join(sizes, "key").filter("own > 0"))
+
+
+def _may_share(a: DataFrame, b: DataFrame, levels: list[int], more: list[str]) -> DataFrame:
+    """key_a, key_b, b, most: the pairs whose boxes overlap, and what part of a lies in b at most, to nine digits and
+    rounded up by far less than one of them."""
+    out = None
+    kept = ["a", "b", "x1", "x2", "y1", "y2", "own", "around", "key"]
+    for k in levels:
+        sides = []
+        for df, name in ((a, "a"), (b, "b")):
+            at = lambda c, k=k: F.floor(F.col(c) / 2.0**k).cast("long")
+            rows = df.filter(F.col("level") <= k).select("level", *[c for c in [*kept, *more] if c in df.columns], at("lx").alias("lx"), at("ly").alias("ly"), F.sequence(at("lx"), at("hx")).alias("_x"), F.sequence(at("ly"), at("hy")).alias("_y"))
+            rows = rows.withColumn("ci", F.explode("_x")).withColumn("cj", F.explode("_y")).drop("_x", "_y")
+            sides.append(rows.select("ci", "cj", *[F.col(c).alias(c if c in ("a", "b", *more) else f"{c}_{name}") for c in rows.columns if c not in ("ci", "cj")]))
+        met = sides[0].join(sides[1], ["ci", "cj"]).filter((F.greatest("level_a", "level_b") == k) & (F.col("ci") == F.greatest("lx_a", "lx_b")) & (F.col("cj") == F.greatest("ly_a", "ly_b")))
+        met = met.filter("x1_a < x2_b and x1_b < x2_a and y1_a < y2_b and y1_b < y2_a")
+        out = met if out is None else out.unionAll(met)
+    both = F.expr("(least(x2_a, x2_b) - greatest(x1_a, x1_b)) * (least(y2_a, y2_b) - greatest(y1_a, y1_b))")
+    area = F.when((F.col("around_a") == 1) & (F.col("around_b") == 1), F.least(both, "own_a", "own_b")).otherwise(both * F.col("around_a") * F.col("around_b"))
+    return out.select("key_a", "key_b", "b", *more, F.round(area / F.col("own_a") + 1e-11, 9).alias("most"))
+
+
 def most_overlapped(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """a, b, area, share: for each left polygon the right one it overlaps most, the smaller id on ties (to nine digits of
-    the share), and the part of it that lies there. Polygons without an overlap are left out."""
-    rows = overlaps(left, right, cell).withColumn("share", F.round(F.col("area") / F.col("area_a"), 9))
-    return rows.groupBy("a").agg(F.min_by(F.struct("b", "area", "share"), F.struct(-F.col("share"), "b")).alias("m")).select("a", "m.b", "m.area", "m.share")
+    the share), and the part of it that lies there. Polygons without an overlap are left out.
+
+    Boxes and areas tell what two polygons share at most, so areas are cut out only for the pair of each left polygon
+    that may share most, and then for those that may share more than it does."""
+    a, b = _sized(left, "a", cell), _sized(right, "b", cell)
+    levels = sorted({r.level for r in a.select("level").union(b.select("level")).distinct().collect()})  # the logarithm of a size: few
+    kinds = [f"{n} {x.schema[n].dataType.simpleString()}" for n, x in (("a", a), ("b", b))]
+    if not levels:
+        return left.sparkSession.createDataFrame([], f"{kinds[0]}, {kinds[1]}, area double, share double")
+
+    def cut_out(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(a.select(F.col("key").alias("key_a"), "ring_a"), "key_a").join(b.select(F.col("key").alias("key_b"), "ring_b"), "key_b")
+        rows = rows.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "ring_a", "ring_b").mapInArrow(_areas, "a long, b long, area double, area_a double, area_b double")
+        rows = rows.filter(F.col("area") > LEAST * F.least("area_a", "area_b")).select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "area", (F.col("area") / F.col("area_a")).alias("share"))
+        return rows.join(b.select(F.col("key").alias("key_b"), "b"), "key_b")
+
+    first = written(_may_share(a, b, levels, []).groupBy("key_a").agg(F.min_by(F.struct("key_b", "b"), F.struct(-F.col("most"), "b")).alias("f")).select("key_a", "f.key_b", F.col("f.b").alias("b_first")))
+    best = written(cut_out(first.select("key_a", "key_b")))
+    known = first.join(best.select("key_a", F.round("share", 9).alias("at_least")), "key_a", "left").select(F.col("key_a").alias("key"), F.col("key_b").alias("seen"), "b_first", F.coalesce("at_least", F.lit(-1.0)).alias("at_least"))
+    rest = _may_share(written(a.join(known, "key")), b, levels, ["seen", "b_first", "at_least"]).filter("key_b <> seen and (most > at_least or most = at_least and b < b_first)")
+    rows = best.unionByName(cut_out(written(rest.select("key_a", "key_b")))).join(a.select(F.col("key").alias("key_a"), "a"), "key_a")
+    return rows.groupBy("a").agg(F.min_by(F.struct("b", "area", "share"), F.struct(-F.round("share", 9), "b")).alias("m")).select("a", "m.b", "m.area", "m.share")

@@ -436,6 +436,35 @@ def test_first_ring_that_holds_a_point(spark):
     assert len(got) > 300 and {tuple(r) for r in got} == {tuple(r) for r in every}
 
 
+def test_most_overlapped_cuts_out_few_pairs(spark, monkeypatch):
+    """Rings of many shapes over each other: convex, concave, wound around twice, null."""
+    r = random.Random(8)
+    sizes, keep = [], O.written
+    monkeypatch.setattr(O, "written", lambda df: sizes.append(((out := keep(df)).columns, out.count())) or out)
+
+    def ring():
+        x, y, w, h = r.randrange(40) / 8, r.randrange(40) / 8, r.randrange(2, 9) / 4, r.randrange(2, 9) / 4
+        square = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        return r.choice([square, square[::-1], square + square[:1], [*square[:3], (x + w / 2, y + h / 2), square[3]], square + square, square[:3]])
+
+    rings = {k: ring() for k in range(160)} | {200: None, 201: [(0.0, 0.0), (1.0, 1.0)]}
+    table = spark.createDataFrame(list(rings.items()), "polygon_id long, ring array<struct<x:double,y:double>>")
+    left, right = table.filter("polygon_id % 2 = 1"), table.filter("polygon_id % 2 = 0")
+    got = {x.a: (x.b, round(x.share, 9)) for x in O.most_overlapped(left, right, 0.5).collect()}
+    pairs = next(n for columns, n in sizes[::-1] if columns == ["key_a", "key_b"])
+    every, want = O.overlaps(left, right, 0.5).collect(), {}
+    for x in every:
+        want[x.a] = min(want.get(x.a, (0, 0)), (-round(x.area / x.area_a, 9), x.b))
+    assert got == {a: (b, -s) for a, (s, b) in want.items()} and len(got) > 60 and pairs < len(every) / 2
+    assert O.most_overlapped(left.limit(0), right.limit(0), 0.5).count() == 0
+
+
+def test_shares_are_rounded_once(spark):
+    ring = lambda w: [(0.0, 0.0), (w, 0.0), (w, 1.0), (0.0, 1.0)]
+    table = spark.createDataFrame([(1, ring(1.0)), (2, ring(0.89850349996))], "polygon_id long, ring array<struct<x:double,y:double>>")
+    assert O.most_overlapped(table.filter("polygon_id = 1"), table.filter("polygon_id = 2"), 1.0).select(F.round("share", 6)).first()[0] == 0.898503
+
+
 def test_auto_confirm_of_stated_groups(spark):
     rows = [
         ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
