@@ -5,7 +5,7 @@ a query says what has to come out without parsing anything.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import checks as C
@@ -157,7 +157,7 @@ def _rendered(s, d: str, e: str, name: str) -> DataFrame:
     return transactions(s, d).select("rt_id", F.expr(e).alias(name))
 
 
-def _flat(record: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+def _flat(record: DataFrame, fields: dict[str, tuple[str, str]], *more: Column) -> DataFrame:
     kinds = {f.name: f for f in record.schema.fields}
 
     def column(path: str):
@@ -166,7 +166,7 @@ def _flat(record: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
             value, kind = value.getField(p), kind[p].dataType
         return F.array_join(value, "|") if kind.typeName() == "array" else value
 
-    return record.select("rt_id", *[column(path).alias(c) for c, (path, _) in fields.items()])
+    return record.select("rt_id", *[column(path).alias(c) for c, (path, _) in fields.items()], *more)
 
 
 def _wanted(fields: dict[str, tuple[str, str]]) -> str:
@@ -218,7 +218,7 @@ ASSESSMENT_FIELDS = {
 def _assessments(s, d) -> DataFrame:
     rows = P.assessment_pages(_rendered(s, d, ASSESSED, "page")).filter("record is not null")
     sales = F.array_join(F.transform("record.sales_history", lambda x: F.concat_ws(" ", x["sale_date"], x["sale_amount"], x["type"], x["party_to"])), "|")
-    return _flat(rows, ASSESSMENT_FIELDS).join(rows.select("rt_id", sales.alias("sales")), "rt_id")
+    return _flat(rows, ASSESSMENT_FIELDS, sales.alias("sales"))
 
 
 # JSON records
