@@ -77,9 +77,11 @@ def _address_keys(s, d) -> DataFrame:
 
 
 def _loose_merges(s, d) -> DataFrame:
-    """Pairs of addresses that are one place: one key equal to the other's without its direction."""
+    """Pairs of addresses that are one place: one key equal to the other's without its direction. What is written alike is
+    normalized once, and the keys are stored, as both sides of the join read them."""
     a, c = F.col("address"), F.col("city")
-    rows = _addresses(s, d).select(A.dedup_key(a, c).alias("key"), A.loose_key(a, c).alias("loose")).distinct()
+    rows = R.written(_addresses(s, d).select("address", "city").distinct()).select(A.dedup_key(a, c).alias("key"), A.loose_key(a, c).alias("loose")).distinct()
+    rows = R.written(rows)
     bare, pointed = rows.filter("key = loose").select(F.col("key").alias("short")), rows.filter("key <> loose")
     return pointed.join(bare, pointed["loose"] == bare["short"]).select("key", "short")
 

@@ -50,6 +50,18 @@ def test_parties_of_a_hundred_blocks(spark, tmp_path, name):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
+def test_assessment_pages_are_read_once(spark):
+    plan = QUERIES["assessment_pages"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_addresses_are_told_apart_before_they_are_normalized(spark, monkeypatch):
+    stored, keep = [], R.written
+    monkeypatch.setattr(R, "written", lambda df: stored.append((out := keep(df)).columns) or out)
+    QUERIES["loose_merges"](spark, SF)
+    assert stored[-2:] == [["address", "city"], ["key", "loose"]]
+
+
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x"))).first()[0]
 
