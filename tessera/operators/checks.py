@@ -7,6 +7,7 @@ something missing, and none for a wrong type.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,14 +30,26 @@ def without_comments(html: Column) -> Column:
     return F.array_join(F.transform(F.split(html, "<!--"), lambda x, i: F.when(i == 0, x).otherwise(rest(x))), "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def html_flags(html: Column) -> Column:
     """The ids, H001 to H014, of the checks that a page fails."""
-    page = without_comments(F.coalesce(html, F.lit("")))
-    tagged = page.rlike(ADDRESS)
+    return _let(without_comments(F.coalesce(html, F.lit(""))), lambda page: _let(_pieces(page), _page_flags))
+
+
+def _pieces(page: Column) -> Column:
+    """Whether a page has an address, what it is, what stands behind it, and the grey captions."""
     first = F.trim(_plain(F.regexp_replace(F.regexp_extract(page, ADDRESS, 1), r"(?i)<br[^>]*>", "\n")))
-    lead = F.regexp_replace(first, r"^\s+", "")
     header = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract(page, AFTER, 1), r"<[^>]*>", " ")), r"\s+", " ")
     gray = F.transform(F.regexp_extract_all(page, F.lit(GRAY), F.lit(1)), lambda x: F.trim(_plain(x)))
+    return F.struct(page.rlike(ADDRESS).alias("tagged"), F.regexp_replace(first, r"^\s+", "").alias("lead"), header.alias("header"), gray.alias("gray"))
+
+
+def _page_flags(piece: Column) -> Column:
+    tagged, lead, header, gray = (piece[c] for c in ("tagged", "lead", "header", "gray"))
     holds = lambda word: F.exists(gray, lambda x: x.contains(word))
     last = F.when(F.size(gray) > 0, F.element_at(gray, -1)).otherwise("")
     checks = {
@@ -63,7 +76,7 @@ def record_flags(record: Column) -> Column:
 
 def flag_counts(rows: DataFrame, flags: Column) -> DataFrame:
     """flag, n: how many rows fail each check, and under "clean" how many fail none."""
-    named = rows.select(F.when(F.size(flags) == 0, F.array(F.lit("clean"))).otherwise(flags).alias("flags"))
+    named = rows.select(_let(flags, lambda f: F.when(F.size(f) == 0, F.array(F.lit("clean"))).otherwise(f)).alias("flags"))
     return named.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 

@@ -465,6 +465,14 @@ def test_shares_are_rounded_once(spark):
     assert O.most_overlapped(table.filter("polygon_id = 1"), table.filter("polygon_id = 2"), 1.0).select(F.round("share", 6)).first()[0] == 0.898503
 
 
+def test_captions_and_values_are_looked_for_once(spark):
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    rows = spark.createDataFrame([(PAGE, "{}")], "page string, record string")
+    assert plan(rows.select(C.html_flags(F.col("page")))).count("regexp_extract_all") == 1
+    counted = C.flag_counts(rows, C.record_flags(F.col("record")))
+    assert plan(counted).count("get_json_object") == 10 and {r.flag for r in counted.collect()} == {f"P{k:03d}" for k in range(1, 7)}
+
+
 def test_auto_confirm_of_stated_groups(spark):
     rows = [
         ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
