@@ -468,11 +468,23 @@ def test_shares_are_rounded_once(spark):
 def test_captions_and_values_are_looked_for_once(spark):
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     rows = spark.createDataFrame([(PAGE, "{}")], "page string, record string")
-    assert plan(rows.select(C.html_flags(F.col("page")))).count("regexp_extract_all") == 1
+    assert plan(rows.select(C.html_flags(F.col("page")).alias("x"))).count("regexp_extract_all") == 1
     counted = C.flag_counts(rows, C.record_flags(F.col("record")))
     assert plan(counted).count("get_json_object") == 10 and {r.flag for r in counted.collect()} == {f"P{k:03d}" for k in range(1, 7)}
 
 
+def test_clusters_of_a_crowd_have_few_links(spark, monkeypatch):
+    """Two crowds of 1,500 points within 150 m, a chain of single points, two lone ones and one without a place."""
+    linked, keep = [], R.components
+    monkeypatch.setattr(R, "components", lambda edges: linked.append(edges.count()) or keep(edges))
+    place = lambda k, c: c + (F.col("id") * k % 997) / 997 * 0.0012
+    crowds = [spark.range(n, n + 1500).select("id", place(31, 43.6).alias("lat"), place(57, lng).alias("lng")) for n, lng in ((0, -79.5), (2000, -79.4))]
+    singles = [(9000 + k, 10.0 + k * 0.0013, 59.9) for k in range(5)] + [(9100, 11.0, 0.0), (9101, 0.0, 0.0), (9102, None, 1.0), (9200, 59.9, 5.0), (9201, 59.9, 5.0026)]
+    table = crowds[0].union(crowds[1]).union(spark.createDataFrame(singles, "id long, lat double, lng double"))
+    got = {r.id: r.component for r in R.spatial_clusters(table, 150.0).collect()}
+    assert linked[0] < 2 * 3000 and got == {k: 0 for k in range(1500)} | {k: 2000 for k in range(2000, 3500)} | {k: 9000 for k in range(9000, 9005)} | {9200: 9200, 9201: 9200}
+
+
 def test_auto_confirm_of_stated_groups(spark):
     rows = [
         ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
