@@ -98,24 +98,48 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(a))
 
 
-def _near(probe: DataFrame, build: DataFrame, metres: float, max_lat: float) -> DataFrame:
-    """probe_id, build_id, d: all pairs within ``metres``: an equi-join on grid cells and their neighbours.
-    A cell is as wide as ``metres`` at ``max_lat``, so that the nine hold little more than the circle."""
-    cell = metres / (111_000 * math.cos(math.radians(max_lat)))
-    at = lambda c: F.floor(F.col(c) / cell)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = probe.select(F.col("id").alias("probe_id"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), at("lat").alias("ci"), at("lng").alias("cj"), F.inline(around))
-    p = p.select("probe_id", "plat", "plng", (F.col("ci") + F.col("i")).alias("ci"), (F.col("cj") + F.col("j")).alias("cj"))
-    b = build.select(F.col("id").alias("build_id"), "lat", "lng", at("lat").alias("ci"), at("lng").alias("cj"))
-    d = haversine_m(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng"))
-    return p.join(b, ["ci", "cj"]).withColumn("d", d).filter((F.col("d") <= metres) & (F.col("probe_id") != F.col("build_id"))).select("probe_id", "build_id", "d")
+def _nearest(metres: float):
+    """Of packs of two cells, for each point of the first its nearest one of the second within ``metres``, and how many
+    there are. Points of a pack are in the order of their ids."""
+    high = metres / (EARTH_M * math.radians(1)) * 1.001
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                probes, builds = (batch.column(n).slice(k, 1).flatten() for n in ("probes", "builds"))
+                (a, alat, alng), (b, blat, blng) = ([np.array(p.field(c).to_pylist()) for c in ("id", "lat", "lng")] for p in (probes, builds))
+                order, found = np.argsort(alat), []
+                for at in np.split(order, range(64, len(order), 64)):
+                    of = np.flatnonzero((blat >= alat[at[0]] - high) & (blat <= alat[at[-1]] + high))
+                    if len(of):
+                        d = _metres(alat[at, None], alng[at, None], blat[of], blng[of])
+                        near = (d <= metres) & (a[at, None] != b[of])
+                        d = np.where(near, d, np.inf)
+                        j, n = d.argmin(1), near.sum(1)
+                        met = n > 0
+                        found.append((at[met], of[j[met]], d[np.arange(len(at)), j][met], n[met]))
+                if found:
+                    p, q, d, n = (np.concatenate([f[c] for f in found]) for c in range(4))
+                    yield pa.RecordBatch.from_arrays([probes.field("id").take(pa.array(p)), builds.field("id").take(pa.array(q)), pa.array(d, pa.float64()), pa.array(n, pa.int64())], ["probe_id", "build_id", "d", "n"])
+
+    return run
 
 
 def nearest_within(probe: DataFrame, build: DataFrame, metres: float, max_lat: float = 60.0) -> DataFrame:
     """For each probe row its nearest build row within ``metres``, and how many others there are. Both sides
-    have id, lat, lng, up to ``max_lat`` degrees north or south; ties go to the smaller id."""
-    met = _near(probe, build, metres, max_lat)
-    best = met.groupBy("probe_id").agg(F.min_by("build_id", F.struct("d", "build_id")).alias("build_id"), F.min("d").alias("d"), (F.count("*") - 1).alias("alternatives"))
+    have id, lat, lng, up to ``max_lat`` degrees north or south; ties go to the smaller id.
+
+    Points meet in packs of a cell and the cells around it, as wide as ``metres`` at ``max_lat``; no row is made for a
+    pair, only for each point and pack that it meets."""
+    cell = metres / (111_000 * math.cos(math.radians(max_lat)))
+    at = lambda c: F.floor(F.col(c) / cell)
+    packs = lambda df, name: _packed(df.select("id", "lat", "lng", at("lat").alias("ci"), at("lng").alias("cj")).dropna(), ["ci", "cj"], POINTS, F.struct("id", "lat", "lng"), "id", name)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    p = packs(probe, "probes").withColumn("step", F.explode(around)).select("probes", (F.col("ci") + F.col("step.i")).alias("ci"), (F.col("cj") + F.col("step.j")).alias("cj"))
+    tasks = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(f"{n} {df.schema['id'].dataType.simpleString()}" for n, df in (("probe_id", probe), ("build_id", build)))
+    met = p.join(packs(build, "builds"), ["ci", "cj"]).select("probes", "builds").repartition(tasks).mapInArrow(_nearest(metres), f"{kinds}, d double, n long")
+    best = met.groupBy("probe_id").agg(F.min_by("build_id", F.struct("d", "build_id")).alias("build_id"), F.min("d").alias("d"), (F.sum("n") - 1).alias("alternatives"))
     return best.select("probe_id", "build_id", F.round("d", 3).alias("metres"), "alternatives")
 
 

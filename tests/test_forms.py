@@ -485,6 +485,19 @@ def test_clusters_of_a_crowd_have_few_links(spark, monkeypatch):
     assert linked[0] < 2 * 3000 and got == {k: 0 for k in range(1500)} | {k: 2000 for k in range(2000, 3500)} | {k: 9000 for k in range(9000, 9005)} | {9200: 9200, 9201: 9200}
 
 
+def test_nearest_of_a_crowd_makes_no_rows_of_pairs(spark):
+    place = lambda k, c: c + (F.col("id") * k % 997) / 997 * 0.0008
+    table = spark.range(1500).select("id", place(31, 43.6).alias("lat"), place(57, -79.5).alias("lng"))
+    table = table.union(spark.createDataFrame([(2000, 43.6, -79.4), (2001, 43.6, -79.4), (2001, 43.6, -79.4), (2002, None, 0.0)], "id long, lat double, lng double"))
+    near = R.nearest_within(table, table, 150.0)
+    got = {r.probe_id: (r.build_id, r.metres, r.alternatives) for r in near.collect()}
+    assert "MapInArrow" in near._jdf.queryExecution().optimizedPlan().toString() and len(got) == 1502
+    assert all(got[k][2] == 1498 for k in range(1500)) and got[2000] == (2001, 0.0, 1) and got[2001] == (2000, 0.0, 1)
+    a, b = table.select(F.col("id").alias("a"), "lat", "lng").filter("a < 40"), table.select(F.col("id").alias("b"), F.col("lat").alias("y"), F.col("lng").alias("x"))
+    pairs = a.join(b, F.col("a") != F.col("b")).select("a", R.haversine_m(F.col("lat"), F.col("lng"), F.col("y"), F.col("x")).alias("d"))
+    assert all(abs(got[r.a][1] - r.d) < 0.001 for r in pairs.groupBy("a").agg(F.min("d").alias("d")).collect())
+
+
 def test_auto_confirm_of_stated_groups(spark):
     rows = [
         ("G1", "ALONE", "", "", []), ("G1", "ALONE", "5", "", None), ("G1", "", "5", "x", ["acme"]),
